@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from inkwell.llm import chat, decontaminate as decon, quality_rules, warc
+from inkwell.llm import chat, decontaminate as decon, packing, quality_model, quality_rules, secrets, warc
 from inkwell.llm.common import shared_dir, table
 
 
@@ -82,6 +82,31 @@ from f join ok on f.source is not distinct from ok.source
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), str(tokenizer_path()))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -124,6 +149,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_decontaminate": op2_decontaminate,
         "op3_quality_rules": op3_quality_rules,
+        "op4_secrets": op4_secrets,
+        "op5_packing": op5_packing,
+        "op6_quality_model": op6_quality_model,
         "op9_chat": op9_chat,
     }
 
