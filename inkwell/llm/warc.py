@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -35,18 +36,24 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int = 100) -> DataFrame:
-    """(record_id, url, payload, size, digest, refers_to): of equal payloads of ``min_revisit`` bytes the smallest id responds.
+    """Record rows (turn 1) and, for records that revisit, a narrow mark (turn 0) to be sorted in front of them.
+
+    Of equal payloads of ``min_revisit`` bytes the smallest id responds and the others revisit it, as their marks say.
+    Payloads thus meet no join and move once, to their shard.
 
     Sizes and digests are of the whole payload; a null one counts as empty. Rows that repeat the smallest id and payload
     all respond; a null id revisits the smallest id, and payloads under null ids alone all respond. The digest side is
     aggregated with map-side combining and holds repeated payloads only. Other input columns are not carried.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1 and first_id is not null").drop("n")
-    revisit = (F.col("size") >= min_revisit) & ~F.col("record_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    narrow = pages.select(F.col(id_col).cast("long").alias("record_id"), payload.alias("p")).where(F.octet_length("p") >= min_revisit)
+    narrow = narrow.select("record_id", F.sha2("p", 256).alias("digest"))
+    first = narrow.groupBy("digest").agg(F.min("record_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    marks = narrow.join(first.drop("n"), "digest").where("record_id is null or record_id <> refers_to").distinct()
+    rows = rows.select("record_id", "digest", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    return rows.unionByName(marks.select("record_id", "digest", F.lit(0).alias("turn"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")))
 
 
 def assign_shards(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> DataFrame:
@@ -73,32 +80,30 @@ def assign_shards(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> Dat
     return binned.join(F.broadcast(dims), "bin").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("parts"))).drop("bin", "first", "parts")
 
 
-def _record(r, date: str) -> bytes:
+def _record(record_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record; block digest, lengths and the HTTP head are made anew from the payload."""
-    payload = bytes(r.payload)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    revisit = not pd.isna(r.refers_to)
+    revisit = refers_to is not None
     block = head if revisit else head + payload
-    rid = "null" if pd.isna(r.record_id) else str(int(r.record_id))
+    rid = "null" if record_id is None else str(record_id)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{rid} {r.digest}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{rid} {digest}')}>",
         f"WARC-Date: {date}",
         f"X-Record-Key: {rid}",
-        f"WARC-Payload-Digest: sha256:{r.digest}",
+        f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
-    if r.url is not None and not pd.isna(r.url):
-        lines.append("WARC-Target-URI: " + str(r.url).replace("\r", "%0D").replace("\n", "%0A"))
+    if url is not None:
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        first = str(int(r.refers_to))
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{first} {r.digest}')}>",
-            f"X-Refers-To-Key: {first}",
+            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to} {digest}')}>",
+            f"X-Refers-To-Key: {refers_to}",
         ]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -128,9 +133,12 @@ def write_archives(
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     records = plan_records(pages, id_col, url_col, payload_col, min_revisit)
     sizes = pages.select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(F.octet_length(F.col(payload_col).cast("string")), F.lit(0)).cast("long").alias("size"))
-    sharded = assign_shards(records, sizes, shard_bytes).repartition(n, "shard").sortWithinPartitions("shard", "record_id", "digest")
+    sharded = assign_shards(records, sizes, shard_bytes).repartition(n, "shard").sortWithinPartitions("shard", "record_id", "digest", "turn")
+
+    order = ("shard", "record_id", "digest", "turn", "refers_to", "url", "payload")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(out)
         task = TaskContext.get()
         attempt = f"{task.stageId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
@@ -140,26 +148,32 @@ def write_archives(
         def close():
             nonlocal sink
             sink.close()
-            done.append((key[0], key[1], temp, f"shard-{key[0]:06d}-{key[1]:04d}.warc.gz", count, size, digest.hexdigest()))
+            done.append((key[0], key[1], temp, f"shard-{key[0]:06d}-{key[1]:04d}.warc.gz", count, size, whole.hexdigest()))
             sink = None
 
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                if sink is not None and (r.shard != key[0] or size >= roll_bytes):
+        mark = None
+        for b in batches:
+            for shard, record_id, digest, turn, refers_to, url, payload in zip(*(b.column(c).to_pylist() for c in order), strict=True):
+                if not turn:
+                    mark = (record_id, digest, refers_to)
+                    continue
+                if sink is not None and (shard != key[0] or size >= roll_bytes):
                     close()
                 if sink is None:
-                    key = (r.shard, key[1] + 1 if r.shard == key[0] else 0)
-                    temp, count, size, digest = f"_temporary/{attempt}/{key[0]}-{key[1]}", 0, 0, hashlib.sha256()
+                    key = (shard, key[1] + 1 if shard == key[0] else 0)
+                    temp, count, size, whole = f"_temporary/{attempt}/{key[0]}-{key[1]}", 0, 0, hashlib.sha256()
                     sink = fs.open_output_stream(f"{base}/{temp}", compression=None)
-                data = _member(_record(r, date))
+                first = mark[2] if mark and mark[:2] == (record_id, digest) else None
+                data = _member(_record(record_id, url, payload, digest, first, date))
                 sink.write(data)
-                digest.update(data)
+                whole.update(data)
                 count, size = count + 1, size + len(data)
         if sink is not None:
             close()
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
+        cols = zip(*done, strict=True) if done else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    manifest = checkpointed(sharded.mapInPandas(write, MANIFEST))
+    manifest = checkpointed(sharded.mapInArrow(write, MANIFEST))
 
     def publish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _open(out)
