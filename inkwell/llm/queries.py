@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from inkwell.llm import chat, decontaminate as decon, html_extract, packing, quality_model, quality_rules, secrets, warc
+from inkwell.llm import chat, decontaminate as decon, html_extract, ngram_join, packing, quality_model, quality_rules, secrets, warc
 from inkwell.llm.common import shared_dir, table
 
 
@@ -149,6 +149,21 @@ select conv_id, n_turns, sha256(said) as turns_sha256, cast(len(loss) as bigint)
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from d, unnest(generate_series(1, greatest(len(w) - 4, 1))) t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+r as (select doc_id, doc_id as c from d union select l.y, r.c from r join l on l.x = r.doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, (select min(c) from r where r.doc_id = d.doc_id) as component_id from d left join n using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -159,8 +174,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_model": op6_quality_model,
         "op8_html": op8_html,
         "op9_chat": op9_chat,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_chat": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_chat": OP9_SQL, "op10_ngram_join": OP10_SQL}
