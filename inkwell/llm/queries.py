@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from inkwell.llm import chat, decontaminate as decon, html_extract, ngram_join, packing, quality_model, quality_rules, secrets, warc
+from inkwell.llm import chat, decontaminate as decon, html_extract, ngram_join, packing, paragraph_dedup, quality_model, quality_rules, secrets, warc
 from inkwell.llm.common import shared_dir, table
 
 
@@ -107,6 +107,10 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_extract.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
     return text.withColumn("n_chars", F.length("text").cast("long"))
@@ -172,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_packing": op5_packing,
         "op6_quality_model": op6_quality_model,
+        "op7_paragraph_dedup": op7_paragraph_dedup,
         "op8_html": op8_html,
         "op9_chat": op9_chat,
         "op10_ngram_join": op10_ngram_join,
