@@ -33,7 +33,7 @@ def word_code(w: bytes) -> int:
     digit = not plain and any(48 <= c <= 57 for c in w)
     symbol = not plain and len(w.translate(None, _SYMBOLS)) < n
     ends = w[-1:] in b".?;:" and n > 1
-    other = max(w) > 127
+    other = not w.isascii()
     flags = size | caps << 3 | title << 4 | digit << 5 | symbol << 6 | ends << 7 | other << 8
     return flags << _WORD_BITS | xxhash.xxh3_64_intdigest(w) & ((1 << _WORD_BITS) - 1)
 
@@ -93,6 +93,19 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
+def chunks(texts: list[bytes | None], size: int = 4 << 20):
+    """Runs of whole texts of about ``size`` bytes, so that what encoding holds does not depend on the batch."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or b"")
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def _distinct(group: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     key = np.sort(group.astype(np.int64) << _WORD_BITS | word)
     new = np.ones(len(key), bool)
@@ -187,7 +200,10 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_co
     """Add ``score`` in [0, 1] to every row, higher where label 1 is likelier. Null and empty texts are one empty passage."""
 
     def run(texts):
-        x, first = encode(texts)
-        return {"score": model.forward(x, first)["score"].astype(np.float64)}
+        out = []
+        for part in chunks(texts):
+            x, first = encode(part)
+            out.append(model.forward(x, first)["score"].astype(np.float64))
+        return {"score": np.concatenate(out)}
 
     return map_text(docs, text_col, carry if carry is not None else docs.columns, [T.StructField("score", T.DoubleType())], run)
