@@ -17,56 +17,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_BREAK = "\x01"
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a ``tokenizers`` file whose pre-tokens never cross white space, through a bounded word cache.
+    """Ids of whole texts by a ``tokenizers`` file, through a bounded cache of words.
 
-    Words between spaces and line breaks are encoded once, many at a time, and looked up after that; the ids equal those
-    of ``encode(text, add_special_tokens=False)``.
+    It is for vocabularies whose pre-tokens never cross white space and keep letters and punctuation apart, with a mark
+    on the last piece of each pre-token. Words between spaces and line breaks are encoded once, letters-only words many
+    at a time, and looked up after that; the ids equal those of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 600_000, end_mark: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
-        mark = self.tok.encode(_BREAK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(end_mark)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters alone are one pre-token each, so each ends where a piece is marked as last."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = self._encode(" ".join(part))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and len(ids) == ends[-1]:
+                data, cuts = ids.tobytes(), (ends * 4).tolist()
+                self.known.update(zip(part, (data[i:j] for i, j in zip([0, *cuts], cuts)), strict=False))
+            else:
+                self.known.update((w, self._encode(w).tobytes()) for w in part)
+
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.max_words:
             self.known = {"": b""}
-        plain = [w for w in words if _BREAK not in w and self.mark is not None]
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            ids = self._encode(f" {_BREAK} ".join(part))
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(part) - 1:
-                for w, x in zip(part, np.split(ids, cuts), strict=True):
-                    self.known[w] = (x[1:] if len(x) and x[0] == self.mark else x).tobytes()
-            else:
-                for w in part:
-                    self.known[w] = self._encode(w).tobytes()
-        for w in words.difference(plain):
-            self.known[w] = self._encode(w).tobytes()
-
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                data = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                if len(words) > self.max_words // 4:
-                    data = self._encode(text).tobytes()
-                else:
-                    self.learn(set(words).difference(self.known))
-                    data = b"".join([self.known[w] if w in self.known else self._encode(w).tobytes() for w in words])
-            yield np.frombuffer(data, "<u4")
+        known, plain, made = self.known, set(), []
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if not core.isalpha():
+                if core or w not in known:
+                    known[w] = self._encode(w).tobytes()
+                continue
+            key = core.lower() if core.isascii() else core
+            if key not in known:
+                plain.add(key)
+            if key != w:
+                made.append((w, key, w[len(core) :]))
+        self._letters(list(plain))
+        for w, key, tail in made:
+            if tail not in known:
+                known[tail] = self._encode(tail).tobytes()
+            known[w] = known[key] + known[tail]
+
+    def batch(self, texts: list[str], group: int = 64) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), group):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + group]]
+            words = set().union(*split)
+            words = words.difference(self.known)
+            if len(words) > self.max_words // 2:  # texts of very many different words, one at a time
+                for t in texts[at : at + group]:
+                    yield self._encode(t)
+                continue
+            if words:
+                self.learn(words)
+                if len(self.known) <= len(words) + 100_000:  # the cache began anew; words known before may be gone
+                    self.learn(set().union(*split).difference(self.known))
+            for ws in split:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, ws)), "<u4")
 
 
 def piece_cost(length: np.ndarray | int, linear: float, quadratic: float):

@@ -27,7 +27,7 @@ LIKELY = r"(?i)(password|passwd|secret|token|api_?key)[\x22']?\x20*[:=]|AKIA[A-Z
 _DELIMITERS = b" \t\n\x0b\x0c\r\"'=:,;()<>|[]{}"
 _SPLIT = bytes(32 if bytes([c]) in [bytes([d]) for d in _DELIMITERS] else c for c in range(256))
 _TOKEN = re.compile(rb"[^\s\"'=:,;()<>|\[\]{}]+")
-_WORDLIKE = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|cred")
+_WORDLIKE = re.compile(rb"pass|pwd|secret|token|key|auth|cred")
 B, I, O = 0, 1, 2  # noqa: E741
 
 
@@ -49,19 +49,26 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+#: Each byte's kind: digit, upper, lower, special, beyond ASCII or other mark, rest.
+_KINDS = bytes(
+    ord("d") if 48 <= c <= 57 else ord("U") if 65 <= c <= 90 else ord("l") if 97 <= c <= 122 else ord("s") if c in b"+/_.-" else ord("o") if c > 127 or 33 <= c <= 42 or c in b"?@\\^`~" else ord("r")
+    for c in range(256)
+)
+_SIZES = bytes(0 if n < 6 else 1 if n < 10 else 2 if n < 16 else 3 if n < 20 else 4 if n < 24 else 5 if n < 32 else 6 for n in range(64))
+
+
 def shape(token: bytes) -> int:
     """Eleven-bit shape of a token: length class, character kinds, hexadecimal only, key-like word."""
     n = len(token)
-    size = 0 if n < 6 else 1 if n < 10 else 2 if n < 16 else 3 if n < 20 else 4 if n < 24 else 5 if n < 32 else 6 if n < 64 else 7
-    plain = token.isalpha()
-    digit = not plain and any(48 <= c <= 57 for c in token)
-    upper = any(65 <= c <= 90 for c in token[1:])
-    lower = any(97 <= c <= 122 for c in token)
-    special = not plain and any(c in b"+/_.-" for c in token[:-1])
-    other = max(token) > 127 or (not plain and any(33 <= c <= 42 or c in b"?@\\^`~" for c in token))
-    hexed = n >= 8 and digit and not token.translate(None, b"0123456789abcdef")
-    word = bool(_WORDLIKE.search(token)) and n < 20
-    return size | digit << 3 | upper << 4 | lower << 5 | special << 6 | other << 7 | hexed << 8 | word << 9 | (token[:4] == b"AKIA") << 10
+    kinds = token.translate(_KINDS)
+    out = (_SIZES[n] if n < 64 else 7) | (b"U" in kinds[1:]) << 4 | (b"l" in kinds) << 5 | (b"s" in kinds[:-1]) << 6 | (b"o" in kinds) << 7
+    if b"d" in kinds:
+        out |= 1 << 3
+        if n >= 8 and not token.translate(None, b"0123456789abcdef"):
+            out |= 1 << 8
+    if n < 20 and _WORDLIKE.search(token.lower()):
+        out |= 1 << 9
+    return out | (token[:4] == b"AKIA") << 10
 
 
 N_SHAPES = 1 << 11
