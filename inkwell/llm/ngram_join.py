@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkwell.llm.common import checkpointed, components
-from inkwell.llm.similar import blocked, leader_groups, link_groups, shingles, signature
+from inkwell.llm.similar import attach, blocked, compatible, leader_groups, link_groups, shingles, signature
 
 LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets of a batch
 
@@ -44,7 +44,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int
         often = np.zeros(n, bool)
     rare = s[~often]
     heavy = counts[at[often]] if often.any() else np.zeros(0, np.int64)
-    order = np.argsort(heavy, kind="stable")
+    order = np.argsort(heavy, kind="stable")  # of sorted tokens, so ties stay in order of the token
     before = np.concatenate(([0], np.cumsum(heavy[order])))
     tries = np.unique(np.clip(np.concatenate((2 ** np.arange(0, 24), [int((spread * n) ** 0.5)])), 1, o))
     posts = n - o + tries
@@ -114,9 +114,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     done.clear()
                 done.add(sig)
                 k, p = prefix(s, frequent, counts, percent)
+                base = np.arange(len(p)) <= len(s) - least_overlap(len(s), percent)  # these alone meet every partner
                 tok.append(p)
                 member.append(np.full(len(p), sig))
-                need.append(np.full(len(p), k))
+                need.append(k << 1 | base)
             if tok:
                 yield _batch(["token", "member", "need"], token=np.concatenate(tok), member=np.concatenate(member), need=np.concatenate(need))
 
@@ -124,24 +125,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token = W.partitionBy("token")
     posted = src.where("id is not null").mapInArrow(post, "token long, member long, need long")
     posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token)).withColumn("least", F.min("need").over(token))
-    posted = checkpointed(posted.where("lo <> hi").drop("lo", "hi").distinct())
+    posted = posted.where("lo <> hi").select("token", "member", F.shiftright("need", 1).alias("need"), F.shiftright("least", 1).alias("least"), F.expr("need & 1 = 1").alias("base"))
+    posted = checkpointed(posted.distinct())
     enough = posted.groupBy("member").agg(F.count("*").alias("k"), F.min(F.least("need", "least")).alias("least")).where("k >= least").select("member")
-    groups = leader_groups(posted.join(enough, "member", "left_semi").select("token", "member"))
-    blocks = checkpointed(blocked(groups))
-    wanted = classes.join(blocks.select(F.col("member").alias("sig")).distinct(), "sig").select(F.col("node").alias("id"), F.col("sig").alias("want"))
+    groups = leader_groups(posted.where("base").join(enough, "member", "left_semi").select("token", "member"))
+    sizes = classes.select(F.col("sig").alias("member"), "n")
+    blocks = blocked(compatible(groups, sizes, percent))
+    places = blocks.groupBy("member").agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
+    wanted = checkpointed(classes.withColumnRenamed("sig", "member").join(places, "member").select(F.col("node").alias("id"), F.col("member").alias("want"), "places"))
 
     def load(batches):
         for b in batches:
-            member, node, tokens = [], [], []
-            for i, want, s in zip(b.column("id").to_pylist(), b.column("want").to_pylist(), _sets(b.column("text")), strict=True):
+            kept, tokens = [], []
+            for k, (want, s) in enumerate(zip(b.column("want").to_pylist(), _sets(b.column("text")), strict=True)):
                 if signature(s) == want:
-                    member.append(want)
-                    node.append(i)
+                    kept.append(k)
                     tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(node, pa.int64()), pa.array(tokens, pa.binary())], names=["member", "node", "tokens"])
+            rows = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("places"), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
 
-    sets = src.join(wanted, "id").select("id", "want", "text").mapInArrow(load, "member long, node long, tokens binary")
-    edges = link_groups(blocks, sets, percent, lambda s: _gate(s, frequent, counts, percent))
+    sets = attach(src, wanted, "id").select("id", "want", "text", "places").mapInArrow(load, "node long, places array<struct<leader long, i int, j int>>, tokens binary")
+    rows_of = sets.select(F.explode("places").alias("p"), "node", "tokens").select("p.leader", "p.i", "p.j", "node", "tokens")
+    edges = link_groups(rows_of, percent, lambda s: _gate(s, frequent, counts, percent))
     found = components(edges)
     named = classes.join(found, "node", "left").select("sig", "n", F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkwell.llm.common import checkpointed, components
-from inkwell.llm.similar import blocked, leader_groups, link_groups, shingles, signature
+from inkwell.llm.similar import attach, blocked, compatible, leader_groups, link_groups, shingles, signature
 
 
 def tune_bands(percent: int, recall: float, max_rows: int = 6) -> tuple[int, int]:
@@ -79,7 +79,7 @@ def repeated_paragraphs(
     """
     bands, per = tune_bands(percent, recall)
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    names = ["id", "paragraph", "start", "end", "n_words", "sig"]
+    names = ["id", "paragraph", "start", "end", "n_words", "sig", "size"]
 
     def occurrences(batches):
         for b in batches:
@@ -90,13 +90,14 @@ def repeated_paragraphs(
                     first = point + len(text[done:start].decode("utf-8", "replace"))
                     point = first + len(text[start:end].decode("utf-8", "replace"))
                     done = end
-                    for c, v in zip(cols, (i, k, first, point, len(words), signature(shingles(words))), strict=True):
+                    s = shingles(words)
+                    for c, v in zip(cols, (i, k, first, point, len(words), signature(s), len(s)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     seen = checkpointed(src.mapInArrow(occurrences, ", ".join(f"`{n}` long" for n in names)))
     place = F.struct("id", "paragraph")
-    classes = seen.groupBy("sig").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    classes = seen.groupBy("sig").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"))
 
     def post(batches):
         done: set[int] = set()
@@ -119,28 +120,33 @@ def repeated_paragraphs(
     token = W.partitionBy("token")
     posted = src.mapInArrow(post, "token long, member long")
     posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token)).where("lo <> hi")
-    blocks = checkpointed(blocked(leader_groups(posted.select("token", "member").distinct())))
-    wanted = classes.join(blocks.select(F.col("member").alias("sig")).distinct(), "sig").select(F.col("first.id").alias("id"), "first.paragraph", "sig")
-    wanted = wanted.groupBy("id").agg(F.collect_set("sig").alias("want"))
+    groups = leader_groups(posted.select("token", "member").distinct())
+    blocks = blocked(compatible(groups, classes.select(F.col("sig").alias("member"), F.col("size").alias("n")), percent))
+    if max_edit_percent is not None:
+        blocks = checkpointed(blocks)
+    places = blocks.groupBy(F.col("member").alias("sig")).agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
+    held = classes.join(places, "sig").select(F.col("first.id").alias("id"), F.struct("sig", "places").alias("w"))
+    wanted = checkpointed(held.groupBy("id").agg(F.collect_list("w").alias("want")))
+    kind = "array<struct<leader long, i int, j int>>"
 
     def load(batches):
         for b in batches:
-            member, tokens, done = [], [], set()
+            member, at, tokens = [], [], []
             for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
-                want = set(want)
+                left = {w["sig"]: w["places"] for w in want}
                 for _, _, _, words in paragraphs(text, min_words):
                     s = shingles(words)
-                    sig = signature(s)
-                    if sig in want and sig not in done:
-                        done.add(sig)
-                        member.append(sig)
+                    if (where := left.pop(signature(s), None)) is not None:
+                        member.append(signature(s))
+                        at.append(where)
                         tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(member, pa.int64()), pa.array(tokens, pa.binary())], names=["member", "node", "tokens"])
+            places_type = pa.list_(pa.struct([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(at, places_type), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
 
-    sets = src.join(wanted, "id").select("text", "want").mapInArrow(load, "member long, node long, tokens binary")
-    edges = link_groups(blocks, sets, percent)
+    sets = attach(src, wanted, "id").select("text", "want").mapInArrow(load, f"node long, places {kind}, tokens binary")
+    edges = link_groups(sets.select(F.explode("places").alias("p"), "node", "tokens").select("p.leader", "p.i", "p.j", "node", "tokens"), percent)
     if max_edit_percent is not None:
-        edges = edges.unionByName(_edit_edges(src, blocks, wanted, min_words, max_edit_percent))
+        edges = edges.unionByName(_edit_edges(src, blocks, wanted.select("id", F.col("want.sig").alias("want")), min_words, max_edit_percent))
     found = components(edges).withColumnRenamed("node", "sig")
     named = classes.join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     whole = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")).where("class_size > 1")

@@ -7,6 +7,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from inkwell.llm.common import checkpointed
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _x64 = xxhash.xxh3_64_intdigest
 SHINGLE = 5
@@ -98,11 +100,17 @@ def leader_groups(postings: DataFrame) -> DataFrame:
     """``(leader, member)`` of postings ``(token, member)``: every token's members meet under the token's smallest member.
 
     Any two members of one token share a group, and a group of near copies, whose tokens mostly have the same smallest
-    member, becomes one group of its members rather than one for each token. Tokens of a single member are left out.
+    member, becomes one group of its members rather than one for each token. Tokens of a single member are left out,
+    and so is a group all of whose members also meet in the group that its leader belongs to under a smaller leader.
     """
     token = W.partitionBy("token")
     led = postings.withColumn("leader", F.min("member").over(token)).withColumn("last", F.max("member").over(token))
-    return led.where("leader <> last").select("leader", "member").distinct()
+    groups = checkpointed(led.where("leader <> last").select("leader", "member").distinct())
+    above = groups.groupBy("member").agg(F.min("leader").alias("above")).where("above < member").withColumnRenamed("member", "leader")
+    there = groups.select(F.col("leader").alias("above"), "member", F.lit(1).alias("hit"))
+    met = groups.join(above, "leader").join(there, ["above", "member"], "left")
+    covered = met.groupBy("leader").agg(F.count("*").alias("n"), F.count("hit").alias("k")).where("n = k").select("leader")
+    return groups.join(covered, "leader", "left_anti")
 
 
 def blocked(groups: DataFrame, block: int = 512) -> DataFrame:
@@ -115,34 +123,46 @@ def blocked(groups: DataFrame, block: int = 512) -> DataFrame:
     return g.select("leader", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "member")
 
 
-def link_groups(blocks: DataFrame, sets: DataFrame, percent: int, gate=None) -> DataFrame:
-    """Spanning edges ``(a, b)`` of the exact links inside every block pair.
+def compatible(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Only members that have another member of their group within the size ratio; ``sizes(member, n)``."""
+    w = W.partitionBy("leader").orderBy("n", "member")
+    g = groups.join(sizes, "member").withColumn("below", F.lag("n").over(w)).withColumn("next", F.lead("n").over(w))
+    near = (F.col("below") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("next") * percent)
+    return g.where(F.coalesce(near, F.lit(False))).select("leader", "member")
+
+
+def link_groups(rows: DataFrame, percent: int, gate=None) -> DataFrame:
+    """Spanning edges ``(a, b)`` of the exact links inside every block pair of ``rows(leader, i, j, node, tokens)``.
 
-    ``sets(member, node, tokens)`` has one row per member. ``gate(tokens) -> (need, prefix)`` gives the shared prefix
-    tokens that a pair must have before it is verified: the smaller need of the two.
+    ``gate(tokens) -> (need, prefix)`` gives the shared prefix tokens that a pair must have before it is verified: the
+    smaller need of the two.
     """
     schema = "a long, b long"
 
     def run(t: pa.Table) -> pa.Table:
         node = np.array(t.column("node").to_pylist())
         order = np.argsort(node, kind="stable")
-        rows = t.column("tokens").to_pylist()
-        sets_ = [np.frombuffer(rows[k], np.int64) for k in order]
+        packed = t.column("tokens").to_pylist()
+        sets = [np.frombuffer(packed[k], np.int64) for k in order]
         node = node[order]
         may = None
-        if gate is not None and len(sets_) <= 48:
+        if gate is not None and len(sets) <= 48:
             known: dict[int, tuple[int, np.ndarray]] = {}
 
             def may(i: int, j: int) -> bool:
                 for k in (i, j):
                     if k not in known:
-                        known[k] = gate(sets_[k])
+                        known[k] = gate(sets[k])
                 (need, p), (other, q) = known[i], known[j]
                 return shared(p, q) >= min(need, other)
 
-        root = flood(sets_, percent, may)
+        root = flood(sets, percent, may)
         keep = root != np.arange(len(root))
         return pa.table({"a": pa.array(node[root[keep]], pa.int64()), "b": pa.array(node[keep], pa.int64())})
 
-    joined = blocks.join(sets, "member").select("leader", "i", "j", "node", "tokens")
-    return joined.groupBy("leader", "i", "j").applyInArrow(run, schema)
+    return rows.groupBy("leader", "i", "j").applyInArrow(run, schema)
+
+
+def attach(src: DataFrame, wanted: DataFrame, key: str, max_broadcast: int = 500_000) -> DataFrame:
+    """``src`` joined with the checkpointed ``wanted``: broadcast after a count has shown that it is small, else shuffled."""
+    return src.join(F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted, key)
