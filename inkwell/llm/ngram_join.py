@@ -9,6 +9,7 @@ others meet under the smallest member of their tokens and are verified exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int, spread: int = 5) -> tuple[int, np.ndarray]:
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """The document's number of required matches and its prefix tokens.
 
     Estimated cost of l matches: the tokens posted, plus n for each candidate to verify; candidates are the postings of
-    the prefix's frequent tokens and ``spread`` others, divided by the matches asked for.
+    the prefix's frequent tokens and one chance partner for every hundred shingles, divided by the matches asked for.
     """
     n = len(s)
     if not n:
@@ -46,9 +47,9 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int
     heavy = counts[at[often]] if often.any() else np.zeros(0, np.int64)
     order = np.argsort(heavy, kind="stable")  # of sorted tokens, so ties stay in order of the token
     before = np.concatenate(([0], np.cumsum(heavy[order])))
-    tries = np.unique(np.clip(np.concatenate((2 ** np.arange(0, 24), [int((spread * n) ** 0.5)])), 1, o))
+    tries = np.unique(np.clip(np.concatenate((2 ** np.arange(0, 24), [n // 10])), 1, o))
     posts = n - o + tries
-    cost = posts + n * (spread + before[np.maximum(posts - len(rare), 0)]) / tries
+    cost = posts + n * (n / 100 + before[np.maximum(posts - len(rare), 0)]) / tries
     k = int(cost.argmin())
     take = int(posts[k])
     return int(tries[k]), np.concatenate((rare[:take], s[often][order][: max(0, take - len(rare))]))
@@ -106,7 +107,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def post(batches):
         done: set[int] = set()  # copies in this task post once
         for b in batches:
-            tok, member, need = [], [], []
+            tok, member, meta = [], [], []
             for s in _sets(b.column("text")):
                 if not len(s) or (sig := signature(s)) in done:
                     continue
@@ -117,18 +118,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 base = np.arange(len(p)) <= len(s) - least_overlap(len(s), percent)  # these alone meet every partner
                 tok.append(p)
                 member.append(np.full(len(p), sig))
-                need.append(k << 1 | base)
+                meta.append(len(s) << 26 | min(k, (1 << 25) - 1) << 1 | base)
             if tok:
-                yield _batch(["token", "member", "need"], token=np.concatenate(tok), member=np.concatenate(member), need=np.concatenate(need))
+                yield _batch(["token", "member", "meta"], token=np.concatenate(tok), member=np.concatenate(member), meta=np.concatenate(meta))
 
     # A token that a single set posts links nothing; copies posted by several tasks are one set and are dropped after that.
     token = W.partitionBy("token")
-    posted = src.where("id is not null").mapInArrow(post, "token long, member long, need long")
-    posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token)).withColumn("least", F.min("need").over(token))
-    posted = posted.where("lo <> hi").select("token", "member", F.shiftright("need", 1).alias("need"), F.shiftright("least", 1).alias("least"), F.expr("need & 1 = 1").alias("base"))
-    posted = checkpointed(posted.distinct())
-    enough = posted.groupBy("member").agg(F.count("*").alias("k"), F.min(F.least("need", "least")).alias("least")).where("k >= least").select("member")
-    groups = leader_groups(posted.where("base").join(enough, "member", "left_semi").select("token", "member"))
+    posted = src.where("id is not null").mapInArrow(post, "token long, member long, meta long")
+    posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token))
+    posted = checkpointed(posted.where("lo <> hi").select("token", "member", "meta").distinct())
+    # Sizes within the ratio lie in the same or in neighbouring classes, so partners meet in a class or the one above.
+    size_class = F.floor(F.log(F.shiftright("meta", 26)) / F.lit(math.log(100 / (percent - 0.1))))
+    slots = posted.withColumn("slot", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("token", "slot").alias("place"), "token", "member", "meta")
+    for _ in range(2):  # partners that drop out may leave others without enough matches
+        slots = _with_matches(slots)
+    slots = checkpointed(slots)
+    groups = leader_groups(slots.where(F.expr("meta & 1 = 1")).select(F.col("place").alias("token"), "member"))
     sizes = classes.select(F.col("sig").alias("member"), "n")
     blocks = blocked(compatible(groups, sizes, percent))
     places = blocks.groupBy("member").agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
@@ -155,6 +160,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _with_matches(slots: DataFrame) -> DataFrame:
+    """Postings of members that share enough different tokens with others of about their size: as many as they ask for,
+    or as the least demanding of these others does. ``place`` is a token in a size class."""
+    w = W.partitionBy("place")
+    need = F.expr("shiftright(meta, 1) & 33554431")
+    met = slots.withColumn("lo", F.min("member").over(w)).withColumn("hi", F.max("member").over(w)).withColumn("least", F.min(need).over(w)).where("lo <> hi")
+    tokens = met.groupBy("member", "token").agg(F.min(F.least(need, "least")).alias("least"))
+    enough = tokens.groupBy("member").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("member")
+    return met.join(enough, "member", "left_semi").select("place", "token", "member", "meta")
+
+
 def _gate(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     need, p = prefix(s, frequent, counts, percent)
     return need, np.sort(p)
