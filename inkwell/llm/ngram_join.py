@@ -32,6 +32,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int
 
     Estimated cost of l matches: the tokens posted, plus n for each candidate to verify; candidates are the postings of
     the prefix's frequent tokens and one chance partner for every hundred shingles, divided by the matches asked for.
+    A tenth of the shingles is asked for at least, so that what a partner asks for is bounded by its size.
     """
     n = len(s)
     if not n:
@@ -47,7 +48,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int
     heavy = counts[at[often]] if often.any() else np.zeros(0, np.int64)
     order = np.argsort(heavy, kind="stable")  # of sorted tokens, so ties stay in order of the token
     before = np.concatenate(([0], np.cumsum(heavy[order])))
-    tries = np.unique(np.clip(np.concatenate((2 ** np.arange(0, 24), [n // 10])), 1, o))
+    tries = np.unique(np.clip(max(n // 10, 1) * 2 ** np.arange(0, 5), 1, o))
     posts = n - o + tries
     cost = posts + n * (n / 100 + before[np.maximum(posts - len(rare), 0)]) / tries
     k = int(cost.argmin())
@@ -122,18 +123,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if tok:
                 yield _batch(["token", "member", "meta"], token=np.concatenate(tok), member=np.concatenate(member), meta=np.concatenate(meta))
 
-    # A token that a single set posts links nothing; copies posted by several tasks are one set and are dropped after that.
-    token = W.partitionBy("token")
-    posted = src.where("id is not null").mapInArrow(post, "token long, member long, meta long")
-    posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token))
-    posted = checkpointed(posted.where("lo <> hi").select("token", "member", "meta").distinct())
-    # Sizes within the ratio lie in the same or in neighbouring classes, so partners meet in a class or the one above.
-    size_class = F.floor(F.log(F.shiftright("meta", 26)) / F.lit(math.log(100 / (percent - 0.1))))
-    slots = posted.withColumn("slot", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("token", "slot").alias("place"), "token", "member", "meta")
+    # A token links nothing where no other set of about the size posts it. Copies posted by several tasks are one set.
+    size, percents = F.shiftright("meta", 26), F.lit(percent)
+    posted = src.where("id is not null").mapInArrow(post, "token long, member long, meta long").withColumn("n", size)
+    by_size = W.partitionBy("token").orderBy("n", "member")
+    for way, step in (("before", F.lag), ("after", F.lead)):
+        posted = posted.withColumn(way, step(F.struct("n", "member")).over(by_size))
+    fits = (F.col("before.n") * 100 >= F.col("n") * percents) | (F.col("n") * 100 >= F.col("after.n") * percents)
+    posted = checkpointed(posted.where(F.coalesce(fits, F.lit(False))).select("token", "member", "meta", "n").distinct())
+    needs = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percents / 100) / 10))  # the least that a partner of the size asks for
     for _ in range(2):  # partners that drop out may leave others without enough matches
-        slots = _with_matches(slots)
-    slots = checkpointed(slots)
-    groups = leader_groups(slots.where(F.expr("meta & 1 = 1")).select(F.col("place").alias("token"), "member"))
+        enough = posted.groupBy("member").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= needs).select("member")
+        token = W.partitionBy("token")
+        posted = posted.join(enough, "member", "left_semi").withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token))
+        posted = checkpointed(posted.where("lo <> hi").select("token", "member", "meta", "n"))
+    # Sizes within the ratio lie in the same or in neighbouring classes, so partners meet in a class or the one above.
+    size_class = F.floor(F.log("n") / F.lit(math.log(100 / (percent - 0.1))))
+    slots = posted.where(F.expr("meta & 1 = 1")).withColumn("slot", F.explode(F.array(size_class, size_class + 1)))
+    groups = leader_groups(slots.select(F.xxhash64("token", "slot").alias("token"), "member"))
     sizes = classes.select(F.col("sig").alias("member"), "n")
     blocks = blocked(compatible(groups, sizes, percent))
     places = blocks.groupBy("member").agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
@@ -160,17 +167,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _with_matches(slots: DataFrame) -> DataFrame:
-    """Postings of members that share enough different tokens with others of about their size: as many as they ask for,
-    or as the least demanding of these others does. ``place`` is a token in a size class."""
-    w = W.partitionBy("place")
-    need = F.expr("shiftright(meta, 1) & 33554431")
-    met = slots.withColumn("lo", F.min("member").over(w)).withColumn("hi", F.max("member").over(w)).withColumn("least", F.min(need).over(w)).where("lo <> hi")
-    tokens = met.groupBy("member", "token").agg(F.min(F.least(need, "least")).alias("least"))
-    enough = tokens.groupBy("member").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("member")
-    return met.join(enough, "member", "left_semi").select("place", "token", "member", "meta")
-
-
 def _gate(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     need, p = prefix(s, frequent, counts, percent)
     return need, np.sort(p)
