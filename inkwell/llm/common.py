@@ -8,24 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from inkwell.functions.checkpoint import checkpointed, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a local default where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder and cut the lineage there, so a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def map_text(
     df: DataFrame,
     text_col: str,
@@ -39,8 +28,11 @@ def map_text(
     """
     names = {f.name for f in fields}
     carry = [c for c in carry if c not in names]
-    src = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
-    schema = T.StructType([src.schema[c] for c in carry] + list(fields))
+    kind = df.schema[text_col].dataType
+    others = [c for c in carry if c != text_col]  # the text itself crosses once, as bytes
+    src = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
+    passed = [*others, *(["__text"] if text_col in carry else [])]
+    schema = T.StructType([src.schema[c] for c in passed] + list(fields))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,12 +40,26 @@ def map_text(
             if not batch.num_rows:
                 continue
             out = fn(batch.column("__text").to_pylist())
-            cols = [batch.column(c) for c in carry]
+            cols = [batch.column(c) for c in passed]
             for f in fields:
                 cols.append(pa.array(out[f.name], type=arrow.field(f.name).type))
             yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(cols)], schema=arrow)
 
-    return src.mapInArrow(run, schema)
+    made = src.mapInArrow(run, schema)
+    text = F.col("__text").cast("string").cast(kind).alias(text_col)
+    return made.select(*[text if c == text_col else F.col(f"`{c}`") for c in carry], *[F.col(f"`{f.name}`") for f in fields])
+
+
+_CACHES: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object] = dict):
+    """A cache of this Python worker that outlives a task. A worker keeps the one it used last, so that the operators of a
+    pipeline do not fill it up between them."""
+    if name not in _CACHES:
+        _CACHES.clear()
+        _CACHES[name] = make()
+    return _CACHES[name]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

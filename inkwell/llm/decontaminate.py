@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from inkwell.llm.common import map_text
+from inkwell.llm.common import map_text, worker_cache
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -197,10 +197,10 @@ def decontaminate(
     """
     blocks = item_blocks(benchmark, item_id, item_text, max_block_words)
     share = round(min_coverage * 10_000)
-    key = hashlib.sha256(repr((window, blocks)).encode()).digest()
+    key = "automata " + hashlib.sha256(repr((window, blocks)).encode()).hexdigest()
 
     def run(texts):
-        automata = _automata(key, blocks, window)
+        automata = worker_cache(key, lambda: [SuffixAutomaton(b, window) for b in blocks])
         out = {k: [] for k in ("n_words", "n_hit", "item_ids", "longest_match", "contaminated", "clean_text")}
         for text in texts:
             words = normal_words(text)
@@ -229,14 +229,3 @@ def decontaminate(
         T.StructField("contaminated", T.BooleanType()),
     ] + [T.StructField("clean_text", T.StringType())] * with_text
     return map_text(docs, text_col, carry if carry is not None else docs.columns, fields, run)
-
-
-_CACHE: dict[bytes, list[SuffixAutomaton]] = {}
-
-
-def _automata(key: bytes, blocks, window: int) -> list[SuffixAutomaton]:
-    """Built once in each Python worker, which may run many tasks."""
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = [SuffixAutomaton(b, window) for b in blocks]
-    return _CACHE[key]

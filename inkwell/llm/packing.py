@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from inkwell.llm.common import worker_cache
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -28,7 +30,7 @@ class WordTokenizer:
     at a time, and looked up after that; the ids equal those of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000, end_mark: str = "</w>"):
+    def __init__(self, path: str, max_words: int = 400_000, end_mark: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
@@ -147,7 +149,7 @@ def pack_documents(
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer_path)
+        tok = worker_cache(f"tokenizer {tokenizer_path}", lambda: WordTokenizer(tokenizer_path))
         next_seq = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
         pool: list[tuple] = []  # (doc_id, ids, first token, doc_tokens)
@@ -192,12 +194,3 @@ def pack_documents(
         yield batch()
 
     return src.mapInArrow(run, schema)
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]

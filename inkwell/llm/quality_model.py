@@ -13,7 +13,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from inkwell.llm.common import map_text
+from inkwell.llm.common import map_text, worker_cache
 
 PASSAGE = 64  # words in a passage; the last may be shorter
 BUCKETS = 32
@@ -38,15 +38,12 @@ def word_code(w: bytes) -> int:
     return flags << _WORD_BITS | xxhash.xxh3_64_intdigest(w) & ((1 << _WORD_BITS) - 1)
 
 
-_CODES: dict[bytes, int] = {}
-
-
 def _codes(words: list[bytes]) -> np.ndarray:
-    known = _CODES
+    known = worker_cache("word codes")
     try:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     except KeyError:
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = word_code(w)

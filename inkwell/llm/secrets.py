@@ -13,7 +13,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from inkwell.llm.common import map_text
+from inkwell.llm.common import map_text, worker_cache
 
 _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -246,7 +246,7 @@ def scan_secrets(docs: DataFrame, carry: list[str] | None = None, id_col: str =
     field = train_field(training_texts(docs, id_col, text_col, max_train_rows, max_train_bytes))
 
     def run(texts):
-        known = _SHAPES
+        known = worker_cache("token shapes")
         out = []
         for text in texts:
             if not text:
@@ -256,7 +256,7 @@ def scan_secrets(docs: DataFrame, carry: list[str] | None = None, id_col: str =
             try:
                 sh = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
             except KeyError:
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 for t in set(tokens).difference(known):
                     known[t] = shape(t)
@@ -282,9 +282,6 @@ def scan_secrets(docs: DataFrame, carry: list[str] | None = None, id_col: str =
     return map_text(docs, text_col, carry if carry is not None else docs.columns, [T.StructField("spans", T.ArrayType(span))], run)
 
 
-_SHAPES: dict[bytes, int] = {}
-
-
 def mask_secrets(text_col: str, spans_col: str = "spans", mask: str = "[SECRET]"):
     """The text with every span replaced by ``mask``; overlapping spans are masked once."""
 
