@@ -36,9 +36,8 @@ def map_text(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        parts = (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000))  # what Python holds at once
+        for batch in parts:
             out = fn(batch.column("__text").to_pylist())
             cols = [batch.column(c) for c in passed]
             for f in fields:
