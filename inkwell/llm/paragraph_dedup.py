@@ -4,6 +4,10 @@ Paragraphs (lines of enough words) are hashed to a MinHash signature whose bands
 similarity limit collides with the wanted recall. Colliding paragraphs meet under the smallest member of a band,
 their exact shingle Jaccard (or word edit distance) is verified, and connected components are the repeat classes:
 the first occurrence stays, the others are removals. Exact copies post once per task and link without verification.
+
+Passages are found wherever they stand, inside longer lines or across short ones: every run of ``RUN`` words that another
+document has word for word (case and white space aside). A run's least inner window is its fingerprint; runs whose
+fingerprint is in one document only are not looked at again, all others are compared by the hash of the whole run.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkwell.llm.common import checkpointed, components
@@ -60,6 +65,118 @@ def paragraphs(text: bytes | None, min_words: int) -> Iterator[tuple[int, int, i
         at += len(line) + 1
 
 
+RUN, INNER = 50, 25
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def windows(h: np.ndarray, size: int) -> np.ndarray:
+    """63-bit hashes of all windows of ``size`` word hashes, in order."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    power = np.full(len(h), _ODD)
+    power[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(power))))
+    back = np.full(n, _INVERSE)
+    back[0] = 1
+    w = (sums[size:] - sums[:n]) * np.cumprod(back)
+    w ^= w >> np.uint64(31)
+    w *= _A[0]
+    return ((w ^ (w >> np.uint64(32))) >> np.uint64(1)).view(np.int64)
+
+
+def fingerprints(h: np.ndarray) -> np.ndarray:
+    """The fingerprint of every run of ``RUN`` words: the least hash of its windows of ``INNER`` words."""
+    low, span = windows(h, INNER), RUN - INNER + 1
+    width = 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[: len(low) - (span - width)], low[span - width :])
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, (text or b"").lower().split())), np.uint64)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, line) of the words: code points, end exclusive, and line numbers from 0."""
+    b = np.frombuffer(text, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    point = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+    line = np.concatenate(([0], np.cumsum(b == 10)))
+    return point[start], point[end], line[start]
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per stretch of text whose every run of ``RUN`` words other rows have too; columns as in repeated_paragraphs.
+
+    A run's class is the rows of the table that have it; a stretch is cut where its runs first occur in another
+    document or elsewhere in it. ``paragraph`` is the line in which it begins, ``class_doc`` and ``class_paragraph`` say
+    where it begins in its first occurrence, ``class_size`` is that of its most frequent run. Null ids and texts of fewer
+    words give no rows; a run that only its own document repeats is none.
+    """
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+    def post(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                low, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if text is not None and len(text) >= 2 * RUN - 1 and len(h := word_hashes(text)) >= RUN:
+                        low.append(np.unique(fingerprints(h)))
+                        ids.append(np.full(len(low[-1]), i))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (low, ids)], names=["low", "id"])
+
+    posted = src.mapInArrow(post, "low long, id long").withColumn("n", F.count("*").over(W.partitionBy("low"))).where("n > 1")
+    wanted = checkpointed(posted.groupBy("id").agg(F.collect_set("low").alias("want")))
+    names = ["run", "id", "place", "span", "fresh"]
+
+    def runs(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                text = b.column("text")[k].as_py()
+                if len(h := word_hashes(text)) < RUN:
+                    continue
+                want = np.sort(b.column("want")[k].values.to_numpy(zero_copy_only=False))
+                low = fingerprints(h)
+                at = np.searchsorted(want, low)
+                at[at == len(want)] = 0
+                at = np.flatnonzero(want[at] == low)
+                run = windows(h, RUN)[at]
+                fresh = np.zeros(len(at), np.int64)
+                fresh[np.unique(run, return_index=True)[1]] = 1  # a text counts once
+                start, end, line = word_places(text)
+                cols = run, np.full(len(at), b.column("id")[k].as_py()), (at << 32) | line[at], (start[at] << 32) | end[at + RUN - 1], fresh
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    found = attach(src, wanted, "id").select("id", "text", "want").mapInArrow(runs, ", ".join(f"{n} long" for n in names))
+    same = W.partitionBy("run")
+    met = found.withColumn("n", F.sum("fresh").over(same)).withColumn("first", F.min(F.struct("id", "place")).over(same)).where("n > 1")
+    met = met.select("id", "place", "span", "n", F.col("first.id").alias("class_doc"), F.col("first.place").alias("origin"), F.shiftright("place", 32).alias("at"))
+    met = met.withColumn("shift", F.col("at") - F.shiftright("origin", 32))
+    whole = ["id", "class_doc", "shift"]
+    met = met.withColumn("stretch", F.col("at") - F.dense_rank().over(W.partitionBy(*whole).orderBy("at")))
+    low = F.lit((1 << 32) - 1)
+    out = met.groupBy(*whole, "stretch").agg(F.min("place").alias("p"), F.max("at").alias("z"), F.min("span").alias("s"), F.max("span").alias("e"), F.min("origin").alias("o"), F.max("n").alias("class_size"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("p").bitwiseAND(low).alias("paragraph"), F.shiftright("s", 32).alias("start"), F.col("e").bitwiseAND(low).alias("end"),
+        (F.col("z") - F.shiftright("p", 32) + RUN).alias("n_words"), "class_doc", F.col("o").bitwiseAND(low).alias("class_paragraph"), "class_size", ((F.col("id") != F.col("class_doc")) | (F.col("shift") != 0)).alias("removed"),
+    )
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """Repeated paragraphs (``limits`` as there) and repeated passages; the rows of both may overlap."""
+    return repeated_paragraphs(docs, id_col, text_col, **limits).unionByName(repeated_passages(docs, id_col, text_col))
+
+
 def repeated_paragraphs(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -121,9 +238,10 @@ def repeated_paragraphs(
     posted = src.mapInArrow(post, "token long, member long")
     posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token)).where("lo <> hi")
     groups = leader_groups(posted.select("token", "member").distinct())
-    blocks = blocked(compatible(groups, classes.select(F.col("sig").alias("member"), F.col("size").alias("n")), percent))
-    if max_edit_percent is not None:
-        blocks = checkpointed(blocks)
+    if max_edit_percent is None:
+        blocks = blocked(compatible(groups, classes.select(F.col("sig").alias("member"), F.col("size").alias("n")), percent))
+    else:  # the size ratio of Jaccard says nothing about edits
+        blocks = checkpointed(blocked(groups))
     places = blocks.groupBy(F.col("member").alias("sig")).agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
     held = classes.join(places, "sig").select(F.col("first.id").alias("id"), F.struct("sig", "places").alias("w"))
     wanted = checkpointed(held.groupBy("id").agg(F.collect_list("w").alias("want")))
@@ -158,7 +276,7 @@ def repeated_paragraphs(
 
 
 def _edit_edges(src: DataFrame, blocks: DataFrame, wanted: DataFrame, min_words: int, max_edit_percent: int) -> DataFrame:
-    """Links by word edit distance among colliding paragraphs: every member against its group's smallest one."""
+    """Links by word edit distance among colliding paragraphs: all pairs of a block."""
 
     def load(batches):
         for b in batches:
@@ -174,15 +292,16 @@ def _edit_edges(src: DataFrame, blocks: DataFrame, wanted: DataFrame, min_words:
             yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(body, pa.binary())], names=["member", "body"])
 
     bodies = src.join(wanted, "id").select("text", "want").mapInArrow(load, "member long, body binary").dropDuplicates(["member"])
-    pairs = blocks.where("leader <> member").select("leader", "member").distinct()
-    pairs = pairs.join(bodies, "member").join(bodies.select(F.col("member").alias("leader"), F.col("body").alias("other")), "leader")
+    block = ["leader", "i", "j"]
+    pairs = blocks.join(blocks.withColumnRenamed("member", "to"), block).where("member < to").select("member", "to").distinct()
+    pairs = pairs.join(bodies, "member").join(bodies.select(F.col("member").alias("to"), F.col("body").alias("other")), "to")
 
     def near(batches):
         for b in batches:
             keep = [edit_distance(x.split(), y.split(), max_edit_percent) for x, y in zip(b.column("body").to_pylist(), b.column("other").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v.as_py() for v, k in zip(b.column(c), keep, strict=True) if k], pa.int64()) for c in ("leader", "member")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([v.as_py() for v, k in zip(b.column(c), keep, strict=True) if k], pa.int64()) for c in ("to", "member")], names=["a", "b"])
 
-    return pairs.select("leader", "member", "body", "other").mapInArrow(near, "a long, b long")
+    return pairs.select("to", "member", "body", "other").mapInArrow(near, "a long, b long")
 
 
 def edit_distance(a: list[bytes], b: list[bytes], percent: int) -> bool:
@@ -204,9 +323,18 @@ def edit_distance(a: list[bytes], b: list[bytes], percent: int) -> bool:
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their removed paragraphs cut out of the text, line breaks included; others untouched."""
-    cuts = repeats.where("removed").groupBy(id_col).agg(F.collect_set("paragraph").alias("__cut"))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__cut", s["i"]))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    """The documents with their removed paragraphs and passages cut out of the text, whole lines with their break."""
+    cuts = repeats.where("removed").groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cut"))
+    t, n = F.col(text_col), F.length(text_col)
+    piece = lambda a, b: t.substr((a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+    def cut(done, c):
+        line = ((c["start"] == 0) | (piece(c["start"] - 1, c["start"]) == "\n")) & ((c["end"] >= n) | (piece(c["end"], c["end"] + 1) == "\n"))
+        to = F.when(line, c["end"] + 1).otherwise(c["end"])
+        return F.struct(F.concat(done["out"], piece(done["at"], c["start"])).alias("out"), F.greatest(done["at"], to).alias("at"))
+
+    def rest(done):  # the last line goes with the break before it
+        return F.when(done["at"] > n, F.regexp_replace(done["out"], r"\n\z", "")).otherwise(F.concat(done["out"], piece(done["at"], n)))
+
+    text = F.when(F.col("__cut").isNull(), t).otherwise(F.aggregate("__cut", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), cut, rest))
     return docs.join(cuts, id_col, "left").withColumn(text_col, text).drop("__cut").select(*docs.columns)

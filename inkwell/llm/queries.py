@@ -108,7 +108,7 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,6 +288,53 @@ def test_bands_and_edit_distance(spark):
     assert len(paragraph_dedup.repeated_paragraphs(d, percent=75, recall=0.99999, max_edit_percent=20).collect()) in (0, 2)
 
 
+def test_passages_inside_lines_and_across_them(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
+    passage, short = fresh(60), fresh(49)
+    words = passage.split()
+    texts = [f"{fresh(150)} {passage} {fresh(80)}", f"{fresh(30)}\n{fresh(90)} é {passage.upper()} {fresh(200)}", "\n".join([fresh(3), *(" ".join(words[k : k + 12]) for k in range(0, 60, 12)), fresh(4)])]
+    texts += [f"{fresh(40)} {short} {fresh(40)}", f"{fresh(70)} {short} {fresh(10)}", fresh(300), "word " * 500, None, ""]
+    d = docs(spark, texts)
+    rows = {r.doc_id: r for r in paragraph_dedup.repeats(d).collect()}
+    assert {i: (r.paragraph, r.n_words, r.class_doc, r.class_paragraph, r.class_size, r.removed) for i, r in rows.items()} == {0: (0, 60, 0, 0, 3, False), 1: (1, 60, 0, 0, 3, True), 2: (1, 60, 0, 0, 3, True)}
+    assert all(texts[i][r.start : r.end].lower().split() == words for i, r in rows.items())
+    left = {r.doc_id: r.text for r in paragraph_dedup.remove_repeats(d, paragraph_dedup.repeats(d)).collect()}
+    assert [k for k in left if left[k] != texts[k]] == [k for k in left if k in (1, 2)]
+    assert passage.upper() not in left[1] and left[1].startswith(texts[1].split(" é ")[0] + " é") and len(left[2].split()) == 7
+
+
+def test_passages_match_brute_force(spark):
+    rng = random.Random(13)
+    base = [prose(rng.randrange(30, 140), rng) for _ in range(10)]
+    texts = [" ".join(near(rng.choice(base), rng, rng.randrange(0, 2)) + rng.choice("\n ") for _ in range(3)) for _ in range(40)] + [prose(300, rng) for _ in range(5)] + AWKWARD
+    texts += [f"{base[0]} {base[0]}"]  # both places count
+    runs = [[tuple(w[i : i + 50]) for i in range(len(w) - 49)] for w in ((t or "").lower().split() for t in texts)]
+    seen = collections.Counter(r for s in runs for r in set(s))
+    want = {(k, i + j) for k, s in enumerate(runs) for i, r in enumerate(s) if seen[r] > 1 for j in range(50)}
+    got = set()
+    for r in paragraph_dedup.repeated_passages(docs(spark, texts)).collect():
+        at = len(texts[r.doc_id][: r.start].split())
+        assert len(texts[r.doc_id][r.start : r.end].split()) == r.n_words
+        got |= {(r.doc_id, at + j) for j in range(r.n_words)}
+    assert got == want and paragraph_dedup.repeated_passages(docs(spark, [])).collect() == []
+
+
+def test_edit_links_need_not_pass_the_smallest_member(spark):
+    rng = random.Random(14)
+    linked = 0
+    for _ in range(3):  # b is one edit from a and from c; a and c are too far apart
+        a = prose(40, rng).split()
+        b, c = list(a), list(a)
+        for k in range(0, 40, 10):
+            b[k] = c[k] = f"b{k}"
+        for k in range(5, 40, 10):
+            c[k] = f"c{k}"
+        rows = paragraph_dedup.repeated_paragraphs(docs(spark, [" ".join(x) for x in (a, b, c)]), percent=30, recall=0.99999, max_edit_percent=10).collect()
+        linked += len(rows) == 3 and {r.class_size for r in rows} == {3}
+    assert linked == 3
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (None, 3)] + [(200, x) for x in range(201, 230)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
