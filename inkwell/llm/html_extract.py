@@ -5,7 +5,7 @@ literals. The wrapper of a host is the alignment of its pages' streams, taken on
 a text slot arises, where tokens are missing on one side an optional group, where they recur a repeated group. Tasks
 align the pages they read, so that a host's pages need not meet; the few distinct partial wrappers are aligned in turn.
 The wrapper says which texts are the host's template. A page's main text is then read from its article (or else from
-what is neither template nor furniture), block by block.
+what is not furniture), block by block, without the blocks that are template.
 """
 
 from __future__ import annotations
@@ -99,22 +99,29 @@ def furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(_CLASS.search(named)) or (not in_article and bool(_HEADER_CLASS.search(named)))
 
 
-def blocks(page: str) -> list[tuple[int, bool, str]]:
-    """Text blocks outside furniture, in order: (region, linked, text). Region 2: article or main; 1: content box; 0: else."""
-    out: list[tuple[int, bool, str]] = []
+def label_of(name: str, attrs: dict[str, str]) -> str:
+    return name + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())[:4])
+
+
+def blocks(page: str, template: set[int]) -> list[tuple[int, bool, bool, str]]:
+    """Text blocks outside furniture, in order: (region, linked, all its texts are template, text). Region 2: article or
+    main; 1: content box; 0: else."""
+    out: list[tuple[int, bool, bool, str]] = []
     buf: list[str] = []
     linked = length = 0
-    stack: list[tuple[str, bool, int]] = []  # name, furniture here or above, region
+    fixed = True
+    stack: list[tuple[str, bool, int, str]] = []  # name, furniture here or above, region, label
     off, region = False, 0
 
     def end_block():
-        nonlocal linked, length
+        nonlocal linked, length, fixed
         if buf:
             text = " ".join("".join(buf).split())
             if text:
-                out.append((region, length > 0 and linked * 10 >= length * 6, text))
+                out.append((region, length > 0 and linked * 10 >= length * 6, fixed, text))
             buf.clear()
         linked = length = 0
+        fixed = True
 
     def pop():
         nonlocal off, region
@@ -130,6 +137,7 @@ def blocks(page: str) -> list[tuple[int, bool, str]]:
                 buf.append(x)
                 size = len(x.strip())
                 length += size
+                fixed = fixed and (not size or bool(template) and placed(stack[-1][3] if stack else "", text_key(" ".join(x.split()))) in template)
                 if any(s[0] == "a" for s in stack):
                     linked += size
         elif kind == "open":
@@ -166,7 +174,7 @@ def blocks(page: str) -> list[tuple[int, bool, str]]:
                     here = 1
             if gone and not off or here != region:
                 end_block()
-            stack.append((name, gone, here))
+            stack.append((name, gone, here, label_of(name, x)))
             off, region = gone, here
         else:
             for k in range(len(stack) - 1, -1, -1):
@@ -186,6 +194,11 @@ def text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def placed(label: str, key: int) -> int:
+    """The key of a text directly in an element of that label."""
+    return text_key(label) ^ key
+
+
 # Wrapper nodes: ["#", quantifier, literal key or None for a slot] or [label, quantifier, children]; "()" labels a group.
 # Quantifiers: "" once, "?" optional, "+" repeated, "*" both.
 
@@ -253,8 +266,8 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return fold([*out, *map(_optional, a[i:]), *map(_optional, b[j:])])
 
 
-def stream(page: str, max_depth: int = 64, max_literal: int = 300) -> list[list]:
-    """The page's tokens as nested nodes, repeats folded; texts too long for a template are slots from the start."""
+def stream(page: str, max_depth: int = 64) -> list[list]:
+    """The page's tokens as nested nodes, repeats folded; texts of any length are literals."""
     root: list[list] = []
     stack: list[tuple[str, list[list]]] = [("", root)]
 
@@ -264,9 +277,7 @@ def stream(page: str, max_depth: int = 64, max_literal: int = 300) -> list[list]
 
     for kind, name, x in tokens(page):
         if kind == "text":
-            if len(x) > max_literal:
-                stack[-1][1].append(["#", "", None])
-            elif text := " ".join(x.split()):
+            if text := " ".join(x.split()):
                 stack[-1][1].append(["#", "", text_key(text)])
         elif kind == "open":
             if name in CLOSES_P or name in ("li", "tr", "td", "th"):
@@ -277,8 +288,7 @@ def stream(page: str, max_depth: int = 64, max_literal: int = 300) -> list[list]
                         break
                     if stack[k][0] in BLOCK:
                         break
-            label = name + "".join(f".{c}" for c in sorted(x.get("class", "").split())[:4])
-            node = [label, "", []]
+            node = [label_of(name, x), "", []]
             stack[-1][1].append(node)
             if name not in VOID and len(stack) < max_depth:
                 stack.append((name, node[2]))
@@ -306,6 +316,18 @@ def literals(nodes: list[list], sure: bool = True) -> set[int]:
     return out
 
 
+def placed_literals(nodes: list[list], parent: str = "", sure: bool = True) -> set[int]:
+    """:func:`literals`, each with the label of the element that it stands in."""
+    out: set[int] = set()
+    for label, quantifier, x in nodes:
+        here = sure and quantifier in ("", "+")
+        if label != "#":
+            out |= placed_literals(x, parent if label == "()" else label, here)
+        elif here and x is not None:
+            out.add(placed(parent, x))
+    return out
+
+
 def expression(nodes: list[list]) -> str:
     """The wrapper as a regular expression over tags, ``#text`` literals and ``#PCDATA`` slots."""
     parts = []
@@ -359,23 +381,28 @@ def infer_wrappers(pages: DataFrame, host: Column, html_col: str = "html", max_h
 
 
 def template_keys(wrappers: DataFrame, min_pages: int = 8) -> DataFrame:
-    """``(host, template)``: keys of the texts that are template at hosts of at least ``min_pages`` pages."""
+    """``(host, template)``: placed keys of the texts that are template at hosts of at least ``min_pages`` pages; on fewer
+    pages, texts alike are as likely copies of an article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [sorted(literals(json.loads(w))) for w in b.column("wrapper").to_pylist()]
+            keys = [sorted(placed_literals(json.loads(w))) for w in b.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(keys, pa.list_(pa.int64()))], names=["host", "template"])
 
     return wrappers.where(F.col("n_pages") >= min_pages).select("host", "wrapper").mapInArrow(run, "host string, template array<long>")
 
 
 def main_text(page: str, template: set[int]) -> str:
-    """The article's blocks, or the content box's, or else the blocks that are neither template nor mostly links."""
-    found = blocks(page)
-    top = max((r for r, _, _ in found), default=0)
-    if top:
-        return "\n\n".join(t for r, _, t in found if r == top)
-    return "\n\n".join(t for _, linked, t in found if not linked and text_key(t) not in template)
+    """The article's blocks, or the content box's, or else those not mostly links; blocks that are template go.
+
+    An article that is all template stays: its host has nothing but copies, and the wrapper cannot tell.
+    """
+    found = blocks(page, template)
+    top = max((r for r, _, _, _ in found), default=0)
+    if not top:
+        return "\n\n".join(t for _, linked, fixed, t in found if not linked and not fixed)
+    own = [t for r, _, fixed, t in found if r == top and not fixed]
+    return "\n\n".join(own or [t for r, _, _, t in found if r == top])
 
 
 def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -400,6 +400,15 @@ def test_extract(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+def test_wrapper_decides_inside_articles(spark):
+    notice = "All rights of this house are kept. " * 12  # over 300 characters
+    page = "<body><div class=nav><a href=/>Home</a></div><article><h1>Title %d</h1><div class=zz>Tell <b>a friend</b></div><p>own %d</p><p>Home</p><div class=yy>" + notice + "</div></article></body>"
+    rows = [(k, "http://h.example/x", page % (k, k)) for k in range(9)]
+    rows += [(20 + k, "http://copies.example/x", "<article><p>same</p></article>") for k in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\n\nown {k}\n\nHome" for k in range(9)} | {20 + k: "same" for k in range(9)}
+
+
 # -- chat --
 
 
