@@ -32,8 +32,10 @@ def leaf_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     ``nodes(tree, node, parent)`` has unique (tree, node); a null or unknown parent makes a root. The self-join is
     iterated by doubling: round k knows each node's ancestor 2^k steps up, and extends every path by what lies above
-    its last 2^k steps, so a path of d nodes takes log2(d) joins, each on the unique key (tree, node).
+    its last 2^k steps, so a path of d nodes takes log2(d) joins, each on the unique key (tree, node). A null tree is a
+    tree like others: joins see it inside a struct, which is never null.
     """
+    nodes = nodes.withColumn("tree", F.struct("tree"))
     known = nodes.select("tree", F.col("node").alias("parent"))
     jump = nodes.select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").where("parent <> node")
     jump = checkpointed(jump.select("tree", "node", F.col("parent").alias("anc")))
@@ -47,7 +49,7 @@ def leaf_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
         paths = checkpointed(paths.unionByName(more))
         step *= 2
         if jump.isEmpty():
-            return paths
+            return paths.withColumn("tree", F.col("tree.tree"))
     raise RuntimeError("a reply chain loops or is deeper than 2^max_rounds")
 
 
@@ -56,8 +58,10 @@ def format_trees(nodes: DataFrame, top: int | None = None) -> DataFrame:
 
     ``nodes(tree, node, parent, score, role, text)``; a branch's score is the mean score of its nodes (null: 0), ties
     go to the smaller leaf. Null roles and texts are empty. Returns ``(tree, leaf, rank, n_turns, formatted)``. An
-    empty table gives no rows. Repeated (tree, node) rows keep one, the smallest by (role, text).
+    empty table gives no rows. Repeated (tree, node) rows keep one, the smallest by (role, text). Rows of a null tree form
+    one tree, whose key is null in the result.
     """
+    nodes = nodes.withColumn("tree", F.struct("tree"))
     first = W.partitionBy("tree", "node").orderBy("role", "text", "parent")
     nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     nodes = checkpointed(nodes.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))
@@ -70,7 +74,7 @@ def format_trees(nodes: DataFrame, top: int | None = None) -> DataFrame:
     turn = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
     turns = paths.join(branches.drop("score"), ["tree", "leaf"]).join(nodes.select("tree", "node", turn.alias("turn")), ["tree", "node"])
     packed = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("o"), "turn"))).alias("t"))
-    return packed.select("tree", "leaf", "rank", F.size("t").cast("long").alias("n_turns"), F.array_join(F.col("t.turn"), "").alias("formatted"))
+    return packed.select("tree.tree", "leaf", "rank", F.size("t").cast("long").alias("n_turns"), F.array_join(F.col("t.turn"), "").alias("formatted"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -424,6 +424,13 @@ def test_trees(spark):
     assert chat.format_trees(nodes.limit(0)).collect() == []
 
 
+def test_null_tree(spark):
+    rows = [(None, 1, None, 0.0, "user", "a"), (None, 2, 1, 0.0, "assistant", "b"), ("t", 1, None, 0.0, "user", "c")]
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string")
+    assert {(r.tree, r.leaf, r.n_turns) for r in chat.format_trees(nodes).collect()} == {(None, 2, 2), ("t", 1, 1)}
+    assert {(r.tree, r.leaf, r.node, r.up) for r in chat.leaf_paths(nodes).collect()} == {(None, 2, 2, 0), (None, 2, 1, 1), ("t", 1, 1, 0)}
+
+
 def test_long_chain(spark):
     nodes = spark.range(1, 301).selectExpr("0L as tree", "id as node", "case when id > 1 then id - 1 end as parent", "0.0D as score", "'user' as role", "cast(id as string) as text")
     r = chat.format_trees(nodes).first()
