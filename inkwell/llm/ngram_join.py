@@ -3,23 +3,24 @@
 Shingles are ordered with frequent ones last. A document of n shingles whose partners must share at least o of them
 shares at least l tokens of the first n - o + l with each partner, for any l up to o; with different l, the smaller
 counts. Each document picks its own l by estimated cost: a longer prefix posts more tokens, but asks for more matches
-and so leaves fewer candidates. Documents without enough shared prefix tokens drop out before any set is moved; the
-others meet under the smallest member of their tokens and are verified exactly. Exact copies count once.
+and so leaves fewer candidates. Tokens meet in buckets, packed in one row per document and bucket; documents without
+enough shared prefix tokens drop out before any set is moved; the others meet under the smallest member of their tokens
+and are verified exactly. Exact copies count once.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from inkwell.llm.common import checkpointed, components
-from inkwell.llm.similar import attach, blocked, compatible, leader_groups, link_groups, shingles, signature
+from inkwell.llm.similar import attach, blocked, compatible, link_groups, shingles, signature, uncovered
 
 LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets of a batch
+PART = 1000  # documents that Python looks at together
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -27,8 +28,23 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """The document's number of required matches and its prefix tokens.
+class Frequent:
+    """The most frequent shingles (sorted), how often each was seen and the set under which its sets meet."""
+
+    def __init__(self, token: np.ndarray, count: np.ndarray, lead: np.ndarray):
+        self.token, self.count, self.lead = token, count, lead
+
+    def find(self, s: np.ndarray) -> np.ndarray:
+        """Place of each shingle in the list, -1 if it is not there."""
+        if not len(self.token):
+            return np.full(len(s), -1)
+        at = np.searchsorted(self.token, s)
+        at[at == len(self.token)] = 0
+        return np.where(self.token[at] == s, at, -1)
+
+
+def prefix(s: np.ndarray, frequent: Frequent, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The document's number of required matches and its prefix: rare tokens, then places of frequent ones in the list.
 
     Estimated cost of l matches: the tokens posted, plus n for each candidate to verify; candidates are the postings of
     the prefix's frequent tokens and one chance partner for every hundred shingles, divided by the matches asked for.
@@ -36,24 +52,18 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int
     """
     n = len(s)
     if not n:
-        return 0, s
+        return 0, s, s
     o = least_overlap(n, percent)
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        often = frequent[at] == s
-    else:
-        often = np.zeros(n, bool)
-    rare = s[~often]
-    heavy = counts[at[often]] if often.any() else np.zeros(0, np.int64)
-    order = np.argsort(heavy, kind="stable")  # of sorted tokens, so ties stay in order of the token
-    before = np.concatenate(([0], np.cumsum(heavy[order])))
+    at = frequent.find(s)
+    rare, at = s[at < 0], at[at >= 0]
+    at = at[np.argsort(frequent.count[at], kind="stable")]  # of sorted tokens, so ties stay in order of the token
+    before = np.concatenate(([0], np.cumsum(frequent.count[at])))
     tries = np.unique(np.clip(max(n // 10, 1) * 2 ** np.arange(0, 5), 1, o))
     posts = n - o + tries
     cost = posts + n * (n / 100 + before[np.maximum(posts - len(rare), 0)]) / tries
     k = int(cost.argmin())
     take = int(posts[k])
-    return int(tries[k]), np.concatenate((rare[:take], s[often][order][: max(0, take - len(rare))]))
+    return int(tries[k]), rare[:take], at[: max(0, take - len(rare))]
 
 
 def _sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -67,82 +77,151 @@ def _batch(names, **cols) -> pa.RecordBatch:
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """One row per document (id, n, sig) and, with a token, rows of shingles that are frequent in a task's batch."""
-    names = ["id", "n", "sig", "token", "c"]
+    names = ["id", "n", "sig", "token", "c", "lead"]
 
     def run(batches):
         for b in batches:
-            ids, n, sig, seen, fresh = b.column("id").to_pylist(), [], [], set(), []
+            ids, n, sig, fresh = b.column("id").to_pylist(), [], [], {}
             for s in _sets(b.column("text")):
                 n.append(len(s))
                 sig.append(signature(s))
-                if len(s) and sig[-1] not in seen:
-                    seen.add(sig[-1])
-                    fresh.append(s)
+                if len(s):
+                    fresh[sig[-1]] = s
             none = [None] * len(ids)
-            yield _batch(names, id=ids, n=n, sig=sig, token=none, c=none)
+            yield _batch(names, id=ids, n=n, sig=sig, token=none, c=none, lead=none)
             if fresh:
-                tok, c = np.unique(np.concatenate(fresh), return_counts=True)
-                tok, c = tok[c >= LOCAL], c[c >= LOCAL]
-                none = np.zeros(len(tok), np.int64)
-                yield _batch(names, id=none, n=none, sig=none, token=tok, c=c)
-
-    return docs.mapInArrow(run, "id long, n long, sig long, token long, c long")
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, min_frequent: int = 16, max_frequent: int = 200_000) -> DataFrame:
+                order = sorted(fresh)  # so the first set that has a token is the smallest
+                sets = [fresh[x] for x in order]
+                tok, first, c = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                lead = np.repeat(np.array(order), [len(s) for s in sets])[first]
+                often = c >= LOCAL
+                none = np.zeros(int(often.sum()), np.int64)
+                yield _batch(names, id=none, n=none, sig=none, token=tok[often], c=c[often], lead=lead[often])
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values that hold the stretches of ``values`` between the cuts."""
+    offsets = np.append(cuts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind) if len(col) else np.zeros(0, kind), np.diff(at) // size
+
+
+def posting_rows(sets: list[np.ndarray], frequent: Frequent, percent: int, buckets: int) -> pa.RecordBatch | None:
+    """``(bucket, member, n, tokens)``: the rare prefix tokens of each set by bucket, 31 bits each and a bit for those of the
+    shortest prefix, which alone meet every partner. Frequent tokens need no meeting: a row with negative ``n`` holds
+    their number and the sets that lead them."""
+    tok, short, own, rows = [], [], [], []
+    for d, s in enumerate(sets):
+        _, rare, at = prefix(s, frequent, percent)
+        base = len(s) - least_overlap(len(s), percent) + 1
+        tok.append(rare)
+        short.append(np.arange(len(rare)) < base)
+        own.append(np.full(len(rare), d))
+        if len(at):
+            rows.append((d, np.concatenate(([len(at)], np.unique(frequent.lead[at[: max(0, base - len(rare))]])))))
+    if not tok:
+        return None
+    member, size = np.array([signature(s) for s in sets]), np.array([len(s) for s in sets])
+    tok, short, own = np.concatenate(tok), np.concatenate(short), np.concatenate(own)
+    bucket = ((tok.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket, own = bucket[order], own[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])))) if len(tok) else np.zeros(0, np.int64)
+    kept = packed(((tok & 0x7FFFFFFF) << 1 | short).astype(np.uint32)[order], cuts)
+    hot = np.array([d for d, _ in rows], np.int64)
+    lead = packed(np.concatenate([x for _, x in rows] or [np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum([len(x) for _, x in rows])))[:-1].astype(np.int64))
+    cols = np.append(bucket[cuts], member[hot] % buckets), np.append(member[own[cuts]], member[hot]), np.append(size[own[cuts]], -size[hot])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2]), pa.concat_arrays([kept, lead])], names=["bucket", "member", "n", "tokens"])
+
+
+def meet(t: pa.Table, percent: int) -> pa.Table:
+    """What the tokens of one bucket say: per member its size, how many of its tokens a set of about its size has too, and
+    the smallest members of the tokens of its shortest prefix."""
+    member, n = t.column("member").to_numpy(), t.column("n").to_numpy()
+    col = t.column("tokens").combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    out = []
+    for hot in (False, True):  # copies that several tasks posted count once
+        rows = np.flatnonzero((n < 0) == hot)
+        rows = rows[np.unique(member[rows], return_index=True)[1]]
+        who, size = member[rows], np.abs(n[rows])
+        value, lens = unpacked(col.take(pa.array(rows)), np.int64 if hot else np.uint32)
+        own = np.repeat(np.arange(len(rows)), lens)
+        if hot:
+            first = np.concatenate(([0], np.cumsum(lens)))[:-1]
+            count, lead = value[first], np.delete(value, first)
+            out.append((who, size, count, own[np.delete(np.arange(len(own)), first)], lead))
+            continue
+        order = np.argsort((value >> 1).astype(np.int64) << 32 | np.minimum(size[own], 0xFFFFFFFF))
+        value, own = value[order], own[order]
+        token, s = value >> 1, size[own]
+        near = (token[1:] == token[:-1]) & (s[:-1] * 100 >= s[1:] * percent)
+        fits = np.concatenate((near, [False])) | np.concatenate(([False], near)) if len(token) else np.zeros(0, bool)
+        count = np.bincount(own[fits], minlength=len(rows))
+        some = fits & (value & 1 == 1)
+        token, own = token[some], own[some]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        lens = np.diff(np.append(start, len(token)))
+        lead = np.repeat(np.minimum.reduceat(who[own], start), lens) if len(start) else np.zeros(0, np.int64)
+        own, lead = own[np.repeat(lens > 1, lens)], lead[np.repeat(lens > 1, lens)]
+        out.append((who, size, count, own, lead))
+    parts = []
+    for who, size, count, own, lead in out:
+        order = np.lexsort((lead, own))
+        own, lead = own[order], lead[order]
+        fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (lead[1:] != lead[:-1]))) if len(own) else np.zeros(0, bool)
+        own, lead = own[fresh], lead[fresh]
+        has = np.flatnonzero(count > 0)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(who))[has]))).astype(np.int32)
+        parts.append(pa.table([pa.array(who[has], pa.int64()), pa.array(size[has], pa.int64()), pa.array(count[has], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(lead, pa.int64()))], names=["member", "n", "k", "leaders"]))
+    return pa.concat_tables(parts)
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, min_frequent: int = 16, max_frequent: int = 200_000, bucket_shingles: int = 8_000_000) -> DataFrame:
     """Per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links of ``percent``.
 
     Null, empty and wordless texts have no shingles, link with nothing and are their own component. Rows of a repeated
     id are judged each by its text. A null id has a null component and links nothing. An empty table gives no rows;
     extra columns are ignored. ``max_frequent`` bounds the list of frequent shingles sent to the tasks; it shapes the
-    order of tokens, never the result.
+    order of tokens, never the result; a frequent shingle's sets meet under a set named in the list, so no task has to hold
+    them. ``bucket_shingles`` is about how many shingles share a bucket, three tenths of which are posted.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     seen = checkpointed(document_sets(src))
     rows = seen.where("token is null").select("id", "n", "sig")
-    top = seen.where("token is not null").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= min_frequent)
+    top = seen.where("token is not null").groupBy("token").agg(F.sum("c").alias("c"), F.min("lead").alias("lead")).where(F.col("c") >= min_frequent)
     top = top.orderBy(F.desc("c"), "token").limit(max_frequent).toPandas().sort_values("token")
-    frequent, counts = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    frequent = Frequent(*(top[c].to_numpy(np.int64) for c in ("token", "c", "lead")))
     classes = rows.where("n > 0 and id is not null").groupBy("sig", "n").agg(F.min("id").alias("node"))
+    buckets = max(64, (classes.agg(F.sum("n")).first()[0] or 0) // bucket_shingles)
 
     def post(batches):
         done: set[int] = set()  # copies in this task post once
         for b in batches:
-            tok, member, meta = [], [], []
-            for s in _sets(b.column("text")):
-                if not len(s) or (sig := signature(s)) in done:
-                    continue
+            for at in range(0, b.num_rows, PART):
+                fresh = {signature(s): s for s in _sets(b.column("text").slice(at, PART)) if len(s)}
+                made = posting_rows([s for sig, s in fresh.items() if sig not in done], frequent, percent, buckets)
                 if len(done) >= 1_000_000:
                     done.clear()
-                done.add(sig)
-                k, p = prefix(s, frequent, counts, percent)
-                base = np.arange(len(p)) <= len(s) - least_overlap(len(s), percent)  # these alone meet every partner
-                tok.append(p)
-                member.append(np.full(len(p), sig))
-                meta.append(len(s) << 26 | min(k, (1 << 25) - 1) << 1 | base)
-            if tok:
-                yield _batch(["token", "member", "meta"], token=np.concatenate(tok), member=np.concatenate(member), meta=np.concatenate(meta))
-
-    # A token links nothing where no other set of about the size posts it. Copies posted by several tasks are one set.
-    size, percents = F.shiftright("meta", 26), F.lit(percent)
-    posted = src.where("id is not null").mapInArrow(post, "token long, member long, meta long").withColumn("n", size)
-    by_size = W.partitionBy("token").orderBy("n", "member")
-    for way, step in (("before", F.lag), ("after", F.lead)):
-        posted = posted.withColumn(way, step(F.struct("n", "member")).over(by_size))
-    fits = (F.col("before.n") * 100 >= F.col("n") * percents) | (F.col("n") * 100 >= F.col("after.n") * percents)
-    posted = checkpointed(posted.where(F.coalesce(fits, F.lit(False))).select("token", "member", "meta", "n").distinct())
-    needs = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percents / 100) / 10))  # the least that a partner of the size asks for
-    for _ in range(2):  # partners that drop out may leave others without enough matches
-        enough = posted.groupBy("member").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= needs).select("member")
-        token = W.partitionBy("token")
-        posted = posted.join(enough, "member", "left_semi").withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token))
-        posted = checkpointed(posted.where("lo <> hi").select("token", "member", "meta", "n"))
-    # Sizes within the ratio lie in the same or in neighbouring classes, so partners meet in a class or the one above.
-    size_class = F.floor(F.log("n") / F.lit(math.log(100 / (percent - 0.1))))
-    slots = posted.where(F.expr("meta & 1 = 1")).withColumn("slot", F.explode(F.array(size_class, size_class + 1)))
-    groups = leader_groups(slots.select(F.xxhash64("token", "slot").alias("token"), "member"))
-    sizes = classes.select(F.col("sig").alias("member"), "n")
-    blocks = blocked(compatible(groups, sizes, percent))
+                done.update(fresh)
+                if made is not None:
+                    yield made
+
+    # Every prefix token meets its like in its bucket; what comes back is one row per member and bucket.
+    posted = src.where("id is not null").mapInArrow(post, "bucket int, member long, n long, tokens binary")
+    met = posted.groupBy("bucket").applyInArrow(lambda t: meet(t, percent), "member long, n long, k long, leaders array<long>")
+    needs = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * F.lit(percent) / 100) / 10))  # the least that a partner of the size asks for
+    whole = met.groupBy("member").agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
+    groups = uncovered(checkpointed(whole.where(F.col("k") >= needs).select(F.explode("leaders").alias("leader"), "member", "n")))
+    blocks = blocked(compatible(groups, percent))
     places = blocks.groupBy("member").agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
     wanted = checkpointed(classes.withColumnRenamed("sig", "member").join(places, "member").select(F.col("node").alias("id"), F.col("member").alias("want"), "places"))
 
@@ -158,7 +237,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets = attach(src, wanted, "id").select("id", "want", "text", "places").mapInArrow(load, "node long, places array<struct<leader long, i int, j int>>, tokens binary")
     rows_of = sets.select(F.explode("places").alias("p"), "node", "tokens").select("p.leader", "p.i", "p.j", "node", "tokens")
-    edges = link_groups(rows_of, percent, lambda s: _gate(s, frequent, counts, percent))
+    edges = link_groups(rows_of, percent, lambda s: _gate(s, frequent, percent))
     found = components(edges)
     named = classes.join(found, "node", "left").select("sig", "n", F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
@@ -167,6 +246,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _gate(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    need, p = prefix(s, frequent, counts, percent)
-    return need, np.sort(p)
+def _gate(s: np.ndarray, frequent: Frequent, percent: int) -> tuple[int, np.ndarray]:
+    need, rare, at = prefix(s, frequent, percent)
+    return need, np.sort(np.concatenate((rare, frequent.token[at])))

@@ -239,7 +239,7 @@ def repeated_paragraphs(
     posted = posted.withColumn("lo", F.min("member").over(token)).withColumn("hi", F.max("member").over(token)).where("lo <> hi")
     groups = leader_groups(posted.select("token", "member").distinct())
     if max_edit_percent is None:
-        blocks = blocked(compatible(groups, classes.select(F.col("sig").alias("member"), F.col("size").alias("n")), percent))
+        blocks = blocked(compatible(groups.join(classes.select(F.col("sig").alias("member"), F.col("size").alias("n")), "member"), percent))
     else:  # the size ratio of Jaccard says nothing about edits
         blocks = checkpointed(blocked(groups))
     places = blocks.groupBy(F.col("member").alias("sig")).agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))

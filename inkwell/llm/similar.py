@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkwell.llm.common import checkpointed
 
@@ -100,15 +102,19 @@ def leader_groups(postings: DataFrame) -> DataFrame:
     """``(leader, member)`` of postings ``(token, member)``: every token's members meet under the token's smallest member.
 
     Any two members of one token share a group, and a group of near copies, whose tokens mostly have the same smallest
-    member, becomes one group of its members rather than one for each token. Tokens of a single member are left out,
-    and so is a group all of whose members also meet in the group that its leader belongs to under a smaller leader.
+    member, becomes one group of its members rather than one for each token. Tokens of a single member are left out.
     """
     token = W.partitionBy("token")
     led = postings.withColumn("leader", F.min("member").over(token)).withColumn("last", F.max("member").over(token))
-    groups = checkpointed(led.where("leader <> last").select("leader", "member").distinct())
+    return uncovered(checkpointed(led.where("leader <> last").select("leader", "member").distinct()))
+
+
+def uncovered(groups: DataFrame) -> DataFrame:
+    """The checkpointed ``groups(leader, member, ...)`` without those all of whose members also meet in the group that their
+    leader belongs to under a smaller leader."""
     above = groups.groupBy("member").agg(F.min("leader").alias("above")).where("above < member").withColumnRenamed("member", "leader")
     there = groups.select(F.col("leader").alias("above"), "member", F.lit(1).alias("hit"))
-    met = groups.join(above, "leader").join(there, ["above", "member"], "left")
+    met = groups.select("leader", "member").join(above, "leader").join(there, ["above", "member"], "left")
     covered = met.groupBy("leader").agg(F.count("*").alias("n"), F.count("hit").alias("k")).where("n = k").select("leader")
     return groups.join(covered, "leader", "left_anti")
 
@@ -123,12 +129,18 @@ def blocked(groups: DataFrame, block: int = 512) -> DataFrame:
     return g.select("leader", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "member")
 
 
-def compatible(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Only members that have another member of their group within the size ratio; ``sizes(member, n)``."""
-    w = W.partitionBy("leader").orderBy("n", "member")
-    g = groups.join(sizes, "member").withColumn("below", F.lag("n").over(w)).withColumn("next", F.lead("n").over(w))
-    near = (F.col("below") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("next") * percent)
-    return g.where(F.coalesce(near, F.lit(False))).select("leader", "member")
+def size_class(n: Column, percent: int) -> Column:
+    """Sizes within the ratio lie in the same or in neighbouring classes."""
+    return F.floor(F.log(n) / F.lit(math.log(100 / (percent - 0.1))))
+
+
+def compatible(groups: DataFrame, percent: int) -> DataFrame:
+    """Of ``groups(leader, member, n)`` the members that another member of their group may fit in size. Members are counted
+    per leader and size class with map-side combining, so a group of any size is spread over its members."""
+    g = groups.where("n > 0").withColumn("slot", size_class(F.col("n"), percent))
+    g = g.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1)))
+    several = g.groupBy("leader", "slot").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return g.join(several, ["leader", "slot"]).select("leader", "member").distinct()
 
 
 def link_groups(rows: DataFrame, percent: int, gate=None) -> DataFrame:
@@ -163,6 +175,18 @@ def link_groups(rows: DataFrame, percent: int, gate=None) -> DataFrame:
     return rows.groupBy("leader", "i", "j").applyInArrow(run, schema)
 
 
-def attach(src: DataFrame, wanted: DataFrame, key: str, max_broadcast: int = 500_000) -> DataFrame:
-    """``src`` joined with the checkpointed ``wanted``: broadcast after a count has shown that it is small, else shuffled."""
-    return src.join(F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted, key)
+def attach(src: DataFrame, wanted: DataFrame, key: str, max_words: int = 1 << 20) -> DataFrame:
+    """``src`` joined with the checkpointed ``wanted`` on a long key, moving little of ``src`` but the rows wanted.
+
+    The wanted keys set bits in at most ``max_words`` words of 64, which are broadcast (16 MB at most, whatever the size of
+    ``wanted``); rows whose bit is not set stay where they are, all others meet their key in a shuffle join. With more
+    keys than bits, more rows move and none is lost.
+    """
+    words = min(max_words, max(1 << 10, 1 << wanted.count().bit_length()))
+    h = F.xxhash64(F.col(key))
+    word, bit = F.pmod(h, F.lit(words)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+    ones = wanted.where(F.col(key).isNotNull()).select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__one"))
+    bits = ones.groupBy("__word").agg(F.bit_or("__one").alias("__bits"))
+    held = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1)) == 1
+    near = src.withColumn("__word", word).join(F.broadcast(bits), "__word").where(held).select(*src.columns)
+    return near.join(wanted, key)
