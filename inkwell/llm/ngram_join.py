@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from inkwell.llm.common import checkpointed, components
 from inkwell.llm.similar import attach, blocked, compatible, link_groups, shingles, signature, uncovered
 
-LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets of a batch
+LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets
+SHINGLES = 2_000_000  # of about so many shingles
 PART = 1000  # documents that Python looks at together
 
 
@@ -76,27 +77,37 @@ def _batch(names, **cols) -> pa.RecordBatch:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """One row per document (id, n, sig) and, with a token, rows of shingles that are frequent in a task's batch."""
+    """One row per document (id, n, sig) and, with a token, rows of shingles that a task finds frequent."""
     names = ["id", "n", "sig", "token", "c", "lead"]
 
+    def often(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        order = sorted(sets)  # so the first set that has a token is the smallest
+        tok, first, c = np.unique(np.concatenate([sets[x] for x in order]), return_index=True, return_counts=True)
+        lead = np.repeat(np.array(order), [len(sets[x]) for x in order])[first]
+        keep = c >= LOCAL
+        none = np.zeros(int(keep.sum()), np.int64)
+        return _batch(names, id=none, n=none, sig=none, token=tok[keep], c=c[keep], lead=lead[keep])
+
     def run(batches):
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for b in batches:
-            ids, n, sig, fresh = b.column("id").to_pylist(), [], [], {}
-            for s in _sets(b.column("text")):
-                n.append(len(s))
-                sig.append(signature(s))
-                if len(s):
-                    fresh[sig[-1]] = s
-            none = [None] * len(ids)
-            yield _batch(names, id=ids, n=n, sig=sig, token=none, c=none, lead=none)
-            if fresh:
-                order = sorted(fresh)  # so the first set that has a token is the smallest
-                sets = [fresh[x] for x in order]
-                tok, first, c = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-                lead = np.repeat(np.array(order), [len(s) for s in sets])[first]
-                often = c >= LOCAL
-                none = np.zeros(int(often.sum()), np.int64)
-                yield _batch(names, id=none, n=none, sig=none, token=tok[often], c=c[often], lead=lead[often])
+            for at in range(0, b.num_rows, PART):
+                part = b.slice(at, PART)
+                n, sig = [], []
+                for s in _sets(part.column("text")):
+                    n.append(len(s))
+                    sig.append(signature(s))
+                    if len(s) and sig[-1] not in sets:
+                        sets[sig[-1]] = s
+                        held += len(s)
+                    if held >= SHINGLES:
+                        yield often(sets)
+                        sets, held = {}, 0
+                none = [None] * len(n)
+                yield _batch(names, id=part.column("id").to_pylist(), n=n, sig=sig, token=none, c=none, lead=none)
+        if sets:
+            yield often(sets)
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,25 +39,37 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(end_mark)]] = True
         self.known: dict[str, bytes] = {"": b""}
+        letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c).islower()] + ["ª", "º"]
+        self.forms = {ord(c): "".join(p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _letters(self, words: list[str]) -> None:
-        """Words of letters alone are one pre-token each, so each ends where a piece is marked as last."""
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        """Words of letters alone are one pre-token each. Those of Latin-1 letters go to the vocabulary's model at once, in the
+        form that the pre-tokenizer gives each letter; among others, a word ends where a piece is marked as last."""
+        ids, ends, rest, tokenize = [], [], [], self.tok.model.tokenize
+        for w in words:
+            if w.isascii() or max(w) < "\u0100":
+                ids += [t.id for t in tokenize(w.translate(self.forms))]
+                ends.append(len(ids))
+            else:
+                rest.append(w)
+        self._keep([w for w in words if w.isascii() or max(w) < "\u0100"] if rest else words, np.array(ids, "<u4"), np.array(ends, np.int64))
+        for at in range(0, len(rest), 64):
+            part = rest[at : at + 64]
             ids = self._encode(" ".join(part))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and len(ids) == ends[-1]:
-                data, cuts = ids.tobytes(), (ends * 4).tolist()
-                self.known.update(zip(part, (data[i:j] for i, j in zip([0, *cuts], cuts)), strict=False))
+                self._keep(part, ids, ends)
             else:
                 self.known.update((w, self._encode(w).tobytes()) for w in part)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.max_words:
-            self.known = {"": b""}
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, cuts = ids.tobytes(), (ends * 4).tolist()
+        self.known.update(zip(words, (data[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
+
+    def learn(self, words: list[str]) -> None:
         known, plain, made = self.known, set(), []
         for w in words:
             core = w.rstrip(_PUNCTUATION)
@@ -64,7 +77,7 @@ class WordTokenizer:
                 if core or w not in known:
                     known[w] = self._encode(w).tobytes()
                 continue
-            key = core.lower() if core.isascii() else core
+            key = core.lower() if max(core) < "\u0100" else core
             if key not in known:
                 plain.add(key)
             if key != w:
@@ -75,21 +88,39 @@ class WordTokenizer:
                 known[tail] = self._encode(tail).tobytes()
             known[w] = known[key] + known[tail]
 
-    def batch(self, texts: list[str], group: int = 64) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), group):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + group]]
-            words = set().union(*split)
-            words = words.difference(self.known)
-            if len(words) > self.max_words // 2:  # texts of very many different words, one at a time
-                for t in texts[at : at + group]:
-                    yield self._encode(t)
+    def batch(self, texts: pa.Array, group_bytes: int = 6 << 20) -> Iterator[np.ndarray]:
+        """The ids of every text. Texts are split and their words numbered by Arrow, about ``group_bytes`` at a time; each
+        different word is looked up once and its ids are then copied to all its places."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        group = np.cumsum(size) // group_bytes
+        for at, end in zip(*_stretches(group), strict=True):
+            part = pc.split_pattern(pc.replace_substring(texts.slice(at, end - at), "\n", " "), " ")
+            coded = part.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            fresh = [w for w in words if w not in self.known]
+            if len(fresh) > self.max_words // 2:  # texts of very many different words, one at a time
+                for t in texts.slice(at, end - at):
+                    yield self._encode(t.as_py())
                 continue
-            if words:
-                self.learn(words)
-                if len(self.known) <= len(words) + 100_000:  # the cache began anew; words known before may be gone
-                    self.learn(set().union(*split).difference(self.known))
-            for ws in split:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, ws)), "<u4")
+            if len(self.known) + len(fresh) > self.max_words:  # the cache begins anew
+                self.known, fresh = {"": b""}, words
+            self.learn(fresh)
+            made = list(map(self.known.__getitem__, words))
+            lens = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            ids, first = np.frombuffer(b"".join(made), "<u4"), np.cumsum(lens) - lens
+            word = coded.indices.to_numpy()
+            n = lens[word]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids = ids[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield ids[i:j]
+
+
+def _stretches(group: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where each run of equal numbers begins and ends."""
+    at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist() if len(group) else []
+    return at, [*at[1:], len(group)] if at else []
 
 
 def piece_cost(length: np.ndarray | int, linear: float, quadratic: float):
@@ -177,7 +208,7 @@ def pack_documents(
             return made
 
         for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), tok.batch(b.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), tok.batch(b.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 total, full = len(ids), len(ids) // size * size
                 for start in range(0, full, size):
