@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.llm.common import checkpointed, components
-from inkwell.llm.similar import attach, blocked, compatible, link_groups, shingles, signature, uncovered
+from inkwell.llm.similar import attach, blocked, compatible, link_groups, packed, shingles, signature, uncovered, unpacked
 
 LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets
 SHINGLES = 2_000_000  # of about so many shingles
@@ -112,19 +112,6 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary values that hold the stretches of ``values`` between the cuts."""
-    offsets = np.append(cuts, len(values)).astype(np.int32) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def unpacked(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind) if len(col) else np.zeros(0, kind), np.diff(at) // size
-
-
 def posting_rows(sets: list[np.ndarray], frequent: Frequent, percent: int, buckets: int) -> pa.RecordBatch | None:
     """``(bucket, member, n, tokens)``: the rare prefix tokens of each set by bucket, 31 bits each and a bit for those of the
     shortest prefix, which alone meet every partner. Frequent tokens need no meeting: a row with negative ``n`` holds

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkwell.llm.common import checkpointed, components
-from inkwell.llm.similar import attach, blocked, compatible, leader_groups, link_groups, shingles, signature
+from inkwell.llm.similar import attach, blocked, compatible, leader_groups, link_groups, packed, shingles, signature, unpacked
 
 
 def tune_bands(percent: int, recall: float, max_rows: int = 6) -> tuple[int, int]:
@@ -114,64 +114,134 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return point[start], point[end], line[start]
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_places: int = 5000) -> DataFrame:
     """One row per stretch of text whose every run of ``RUN`` words other rows have too; columns as in repeated_paragraphs.
 
     A run's class is the rows of the table that have it; a stretch is cut where its runs first occur in another
     document or elsewhere in it. ``paragraph`` is the line in which it begins, ``class_doc`` and ``class_paragraph`` say
     where it begins in its first occurrence, ``class_size`` is that of its most frequent run. Null ids and texts of fewer
-    words give no rows; a run that only its own document repeats is none.
+    words give no rows; a run that only its own document repeats is none. Runs meet by fingerprint in buckets; those of
+    fingerprints in over ``max_places`` rows are added up run by run instead, with the same result.
     """
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def post(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                low, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if text is not None and len(text) >= 2 * RUN - 1 and len(h := word_hashes(text)) >= RUN:
-                        low.append(np.unique(fingerprints(h)))
-                        ids.append(np.full(len(low[-1]), i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (low, ids)], names=["low", "id"])
-
-    posted = src.mapInArrow(post, "low long, id long").withColumn("n", F.count("*").over(W.partitionBy("low"))).where("n > 1")
-    wanted = checkpointed(posted.groupBy("id").agg(F.collect_set("low").alias("want")))
-    names = ["run", "id", "place", "span", "fresh"]
-
-    def runs(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                text = b.column("text")[k].as_py()
-                if len(h := word_hashes(text)) < RUN:
-                    continue
-                want = np.sort(b.column("want")[k].values.to_numpy(zero_copy_only=False))
-                low = fingerprints(h)
-                at = np.searchsorted(want, low)
-                at[at == len(want)] = 0
-                at = np.flatnonzero(want[at] == low)
-                run = windows(h, RUN)[at]
-                fresh = np.zeros(len(at), np.int64)
-                fresh[np.unique(run, return_index=True)[1]] = 1  # a text counts once
-                start, end, line = word_places(text)
-                cols = run, np.full(len(at), b.column("id")[k].as_py()), (at << 32) | line[at], (start[at] << 32) | end[at + RUN - 1], fresh
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
-
-    found = attach(src, wanted, "id").select("id", "text", "want").mapInArrow(runs, ", ".join(f"{n} long" for n in names))
-    same = W.partitionBy("run")
-    met = found.withColumn("n", F.sum("fresh").over(same)).withColumn("first", F.min(F.struct("id", "place")).over(same)).where("n > 1")
-    met = met.select("id", "place", "span", "n", F.col("first.id").alias("class_doc"), F.col("first.place").alias("origin"), F.shiftright("place", 32).alias("at"))
-    met = met.withColumn("shift", F.col("at") - F.shiftright("origin", 32))
-    whole = ["id", "class_doc", "shift"]
-    met = met.withColumn("stretch", F.col("at") - F.dense_rank().over(W.partitionBy(*whole).orderBy("at")))
-    low = F.lit((1 << 32) - 1)
-    out = met.groupBy(*whole, "stretch").agg(F.min("place").alias("p"), F.max("at").alias("z"), F.min("span").alias("s"), F.max("span").alias("e"), F.min("origin").alias("o"), F.max("n").alias("class_size"))
+            ids, lows = [], []
+            for i, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                text = text.as_py()
+                if text is not None and len(text) >= 2 * RUN - 1 and len(h := word_hashes(text)) >= RUN:
+                    ids.append(i)
+                    lows.append(np.unique(fingerprints(h)))
+            ends = np.cumsum([0, *map(len, lows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lows])))], names=["id", "lows"])
+
+    posted = checkpointed(src.mapInArrow(post, "id long, lows array<long>")).select("id", F.explode("lows").alias("low"))
+    several = posted.groupBy("low").agg(F.count("*").alias("n")).where("n > 1")
+    often = F.col("n") > max_places
+    wanted = posted.join(several, "low").groupBy("id").agg(F.collect_set(F.when(~often, F.col("low"))).alias("want"), F.collect_set(F.when(often, F.col("low"))).alias("hot"))
+    wanted = checkpointed(wanted)
+    shared, hot = wanted.agg(F.sum(F.size("want")), F.sum(F.size("hot"))).first()
+    buckets = max(64, (shared or 0) // 100_000)
+
+    def places(column: str):
+        def run(batches):
+            for b in batches:
+                for k in range(b.num_rows):
+                    want = np.sort(b.column(column)[k].values.to_numpy(zero_copy_only=False))
+                    text = b.column("text")[k].as_py()
+                    if len(want) and len(h := word_hashes(text)) >= RUN:
+                        made = run_blocks(h, want, text, b.column("id")[k].as_py(), buckets)
+                        if made is not None:
+                            yield made
+
+        return run
+
+    found = attach(src, wanted, "id").select("id", "text", "want", "hot")
+    met = found.mapInArrow(places("want"), BLOCKS).groupBy("bucket").applyInArrow(meet_runs, STRETCHES)
+    if hot:  # runs of fingerprints that very many rows share meet one by one, added up before they move
+        each = checkpointed(found.where(F.size("hot") > 0).mapInArrow(places("hot"), BLOCKS).mapInArrow(single_places, PLACES))
+        first = each.groupBy("run").agg(F.sum("fresh").alias("n"), F.min(F.struct("id", "at", "line")).alias("first")).where("n > 1")
+        alone = each.join(first, "run").select(
+            "id", F.col("first.id").alias("class_doc"), (F.col("at") - F.col("first.at")).alias("shift"), "at", F.col("at").alias("z"), "start", "end", "line", F.col("first.line").alias("origin"), "n"
+        )
+        met = met.unionByName(alone)
+    whole = W.partitionBy("id", "class_doc", "shift").orderBy("at")
+    gap = F.coalesce(F.col("at") > F.max("z").over(whole.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(False))
+    met = met.withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(whole))
+    out = met.groupBy("id", "class_doc", "shift", "stretch").agg(F.min(F.struct("at", "line", "start", "origin")).alias("p"), F.max("z").alias("z"), F.max("end").alias("end"), F.max("n").alias("class_size"))
     return out.select(
-        F.col("id").alias(id_col), F.col("p").bitwiseAND(low).alias("paragraph"), F.shiftright("s", 32).alias("start"), F.col("e").bitwiseAND(low).alias("end"),
-        (F.col("z") - F.shiftright("p", 32) + RUN).alias("n_words"), "class_doc", F.col("o").bitwiseAND(low).alias("class_paragraph"), "class_size", ((F.col("id") != F.col("class_doc")) | (F.col("shift") != 0)).alias("removed"),
+        F.col("id").alias(id_col), F.col("p.line").alias("paragraph"), F.col("p.start").alias("start"), "end",
+        (F.col("z") - F.col("p.at") + RUN).alias("n_words"), "class_doc", F.col("p.origin").alias("class_paragraph"), "class_size", ((F.col("id") != F.col("class_doc")) | (F.col("shift") != 0)).alias("removed"),
     )
 
 
+#: A stretch of places with one fingerprint: the hash of each place's run (and a last bit: the text's first place of that
+#: run), and the start, end and line of each. What a bucket finds: stretches of places that share runs with one document.
+BLOCKS = "bucket int, id long, at long, runs binary, spans binary"
+STRETCHES = "id long, class_doc long, shift long, at long, z long, start long, end long, line long, origin long, n long"
+PLACES = "run long, fresh long, id long, at long, start long, end long, line long"
+
+
+def run_blocks(h: np.ndarray, want: np.ndarray, text: bytes, id: int, buckets: int) -> pa.RecordBatch | None:
+    """The ``BLOCKS`` of a text at the wanted fingerprints."""
+    low = fingerprints(h)
+    at = np.searchsorted(want, low)
+    at[at == len(want)] = 0
+    at = np.flatnonzero(want[at] == low)
+    if not len(at):
+        return None
+    run, low = windows(h, RUN)[at], low[at]
+    fresh = np.zeros(len(at), np.int64)
+    fresh[np.unique(run, return_index=True)[1]] = 1  # a text counts once
+    start, end, line = word_places(text)
+    cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]))))
+    spans = np.stack([start[at], end[at + RUN - 1], line[at]], 1).astype(np.int32).ravel()
+    bucket = (low[cuts].view(np.uint64) * _A[2] >> np.uint64(33)).astype(np.int64) % buckets
+    cols = pa.array(bucket, pa.int32()), pa.array(np.full(len(cuts), id)), pa.array(at[cuts]), packed(run << 1 | fresh, cuts), packed(spans, cuts * 3)
+    return pa.RecordBatch.from_arrays(list(cols), names=["bucket", "id", "at", "runs", "spans"])
+
+
+def _unpack(t) -> dict[str, np.ndarray]:
+    one = lambda c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
+    runs, lens = unpacked(one("runs"), np.int64)
+    spans = unpacked(one("spans"), np.int32)[0].reshape(-1, 3).astype(np.int64)
+    begin = np.cumsum(lens) - lens
+    at = np.repeat(t.column("at").to_numpy() - begin, lens) + np.arange(len(runs))
+    return {"run": (runs.view(np.uint64) >> np.uint64(1)).view(np.int64), "fresh": runs & 1, "id": np.repeat(t.column("id").to_numpy(), lens), "at": at, "start": spans[:, 0], "end": spans[:, 1], "line": spans[:, 2]}
+
+
+def single_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = _unpack(b)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in x.values()], names=list(x))
+
+
+def meet_runs(t: pa.Table) -> pa.Table:
+    """Of a bucket's blocks, the ``STRETCHES`` of places whose runs several texts have."""
+    x = _unpack(t)
+    order = np.lexsort((x["line"], x["at"], x["id"], x["run"]))
+    x = {k: v[order] for k, v in x.items()}
+    new = np.concatenate(([True], x["run"][1:] != x["run"][:-1])) if len(order) else np.zeros(0, bool)
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    n = np.add.reduceat(x["fresh"], first)[group] if len(first) else group
+    first = first[group] if len(first) else group
+    x |= {"n": n, "class_doc": x["id"][first], "shift": x["at"] - x["at"][first], "origin": x["line"][first]}
+    x = {k: v[n > 1] for k, v in x.items()}
+    order = np.lexsort((x["at"], x["shift"], x["class_doc"], x["id"]))
+    x = {k: v[order] for k, v in x.items()}
+    part = np.zeros(len(order), bool)
+    part[:1] = True
+    for k in ("id", "class_doc", "shift"):
+        part[1:] |= x[k][1:] != x[k][:-1]
+    part[1:] |= x["at"][1:] > x["at"][:-1] + 1
+    begin = np.flatnonzero(part)
+    last = np.append(begin[1:], len(order)) - 1 if len(begin) else begin
+    most = lambda v: np.maximum.reduceat(v, begin) if len(begin) else v
+    cols = [x["id"][begin], x["class_doc"][begin], x["shift"][begin], x["at"][begin], x["at"][last], x["start"][begin], most(x["end"]), x["line"][begin], x["origin"][begin], most(x["n"])]
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in STRETCHES.split(", ")])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Repeated paragraphs (``limits`` as there) and repeated passages; the rows of both may overlap."""
     return repeated_paragraphs(docs, id_col, text_col, **limits).unionByName(repeated_passages(docs, id_col, text_col))
