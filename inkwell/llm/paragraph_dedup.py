@@ -12,6 +12,7 @@ fingerprint is in one document only are not looked at again, all others are comp
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkwell.llm.common import checkpointed, components
-from inkwell.llm.similar import attach, blocked, compatible, leader_groups, link_groups, packed, shingles, signature, unpacked
+from inkwell.llm.similar import SHINGLE, attach, blocked, compatible, leader_groups, link_groups, packed, rolled, unpacked
 
 
 def tune_bands(percent: int, recall: float, max_rows: int = 6) -> tuple[int, int]:
@@ -35,23 +36,62 @@ def tune_bands(percent: int, recall: float, max_rows: int = 6) -> tuple[int, int
 
 _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64)
 
 
-def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each band: its number mixed with the minima of its hashes over the shingles."""
-    k = bands * rows
-    low = np.full(k, np.iinfo(np.uint64).max)
-    for at in range(0, len(s), 1 << 14):  # very long paragraphs in slices
-        h = s[at : at + (1 << 14)].view(np.uint64)[:, None] * _A[:k] + _B[:k]
-        h ^= h >> np.uint64(31)
-        low = np.minimum(low, (h * _A[0]).min(0))
-    low = low.reshape(bands, rows)
-    key = np.arange(1, bands + 1, dtype=np.uint64) * _A[1]
-    for r in range(rows):
-        key = (key ^ low[:, r]) * _A[2]
-        key ^= key >> np.uint64(29)
-    return (key >> np.uint64(1)).view(np.int64)
+def band_keys(s: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """63-bit band keys, one row for each set; the sets' shingle hashes stand one after the other from the places ``first``.
+    The hashes are random already, so each odd factor puts them in another order."""
+    s, keys = s.view(np.uint64), []
+    for b in range(bands):
+        key = np.full(len(first), np.uint64(b + 1) * _A[1])
+        for r in range(rows):
+            key = (key ^ np.minimum.reduceat(s * _A[b * rows + r], first)) * _A[2]
+            key ^= key >> np.uint64(29)
+        keys.append((key >> np.uint64(1)).view(np.int64))
+    return np.stack(keys, 1)
+
+
+def _by(own: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order by ``own`` (small numbers), then ``value``."""
+    order = np.argsort(value)
+    own = own[order]
+    return order[np.argsort(own.astype(np.uint16) if len(own) and own.max() < 1 << 16 else own, kind="stable")]
+
+
+class Paragraphs:
+    """The paragraphs of some texts: for each its text's number, line number, start and end (bytes), words, signature and
+    sorted distinct shingles. All texts are worked on together."""
+
+    def __init__(self, texts: list[bytes | None], min_words: int):
+        if min_words < SHINGLE:
+            raise ValueError("paragraphs need at least as many words as a shingle")
+        at, words = [], []
+        for d, text in enumerate(texts):
+            for k, start, end, w in paragraphs(text, min_words):
+                at.append((d, k, start, end, len(w)))
+                words += w
+        self.text, self.line, self.start, self.end, self.n_words = np.array(at, np.int64).reshape(-1, 5).T
+        count = self.n_words - SHINGLE + 1
+        s = np.zeros(0, np.uint64)
+        if at:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            own = np.repeat(np.arange(len(at)), count)
+            s = rolled(h)[np.arange(len(own)) + (SHINGLE - 1) * own]
+            order = _by(own, s)
+            s, own = s[order], own[order]
+            fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (own[1:] != own[:-1])))
+            s, own = s[fresh], own[fresh]
+            count = np.bincount(own, minlength=len(at))
+        self.shingles, self.size = s.view(np.int64), count
+        self.first = np.cumsum(count) - count
+        mixed = (s ^ (s >> np.uint64(31))) * _A[3]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * _A[4]
+        total = np.add.reduceat(mixed, self.first) if at else mixed
+        total = (total ^ count.astype(np.uint64)) * _A[5]
+        self.sig = ((total ^ (total >> np.uint64(32))) >> np.uint64(1)).view(np.int64)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.shingles[self.first[k] : self.first[k] + self.size[k]]
 
 
 def paragraphs(text: bytes | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -65,6 +105,15 @@ def paragraphs(text: bytes | None, min_words: int) -> Iterator[tuple[int, int, i
         at += len(line) + 1
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500) -> Iterator[tuple]:
+    """Some rows at a time: a column (numbers as an array) and the texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            x = part.column(column)
+            yield x.to_numpy() if pa.types.is_integer(x.type) else x.to_pylist(), part.column("text").to_pylist()
+
+
 RUN, INNER = 50, 25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -89,6 +138,8 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
 def fingerprints(h: np.ndarray) -> np.ndarray:
     """The fingerprint of every run of ``RUN`` words: the least hash of its windows of ``INNER`` words."""
     low, span = windows(h, INNER), RUN - INNER + 1
+    if len(h) < RUN:
+        return low[:0]
     width = 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -126,15 +177,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def post(batches):
-        for b in batches:
-            ids, lows = [], []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                text = text.as_py()
-                if text is not None and len(text) >= 2 * RUN - 1 and len(h := word_hashes(text)) >= RUN:
-                    ids.append(i)
-                    lows.append(np.unique(fingerprints(h)))
-            ends = np.cumsum([0, *map(len, lows)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lows])))], names=["id", "lows"])
+        for ids, texts in _parts(batches, "id"):
+            words = [t.lower().split() if t is not None and len(t) >= 2 * RUN - 1 else [] for t in texts]
+            length = np.array([len(w) for w in words])
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, length.sum())
+            low, own = fingerprints(h), np.repeat(np.arange(len(words)), length)
+            whole = own[: len(low)] == own[RUN - 1 :] if len(low) else np.zeros(0, bool)  # runs inside one text
+            low, own = low[whole], own[: len(whole)][whole]
+            fresh = np.concatenate(([True], (low[1:] != low[:-1]) | (own[1:] != own[:-1]))) if len(low) else whole
+            low, own = low[fresh], own[fresh]
+            order = _by(own, low)
+            low, own = low[order], own[order]
+            fresh = np.concatenate(([True], (low[1:] != low[:-1]) | (own[1:] != own[:-1]))) if len(low) else whole
+            low, n = low[fresh], np.bincount(own[fresh], minlength=len(words))
+            ends = np.concatenate(([0], np.cumsum(n[n > 0]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.ListArray.from_arrays(pa.array(ends), pa.array(low))], names=["id", "lows"])
 
     posted = checkpointed(src.mapInArrow(post, "id long, lows array<long>")).select("id", F.explode("lows").alias("low"))
     several = posted.groupBy("low").agg(F.count("*").alias("n")).where("n > 1")
@@ -196,19 +253,38 @@ def run_blocks(h: np.ndarray, want: np.ndarray, text: bytes, id: int, buckets: i
     fresh[np.unique(run, return_index=True)[1]] = 1  # a text counts once
     start, end, line = word_places(text)
     cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]))))
-    spans = np.stack([start[at], end[at + RUN - 1], line[at]], 1).astype(np.int32).ravel()
+    spans = planes(np.stack([start[at], end[at + RUN - 1], line[at]]), cuts)
     bucket = (low[cuts].view(np.uint64) * _A[2] >> np.uint64(33)).astype(np.int64) % buckets
-    cols = pa.array(bucket, pa.int32()), pa.array(np.full(len(cuts), id)), pa.array(at[cuts]), packed(run << 1 | fresh, cuts), packed(spans, cuts * 3)
+    cols = pa.array(bucket, pa.int32()), pa.array(np.full(len(cuts), id)), pa.array(at[cuts]), packed(run << 1 | fresh, cuts), packed(spans, cuts * 12)
     return pa.RecordBatch.from_arrays(list(cols), names=["bucket", "id", "at", "runs", "spans"])
 
 
+def planes(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Bytes of three rising 32-bit numbers for each place, as differences within its block and by order of the byte, so that
+    the many zeros stand together."""
+    step = np.diff(rows, axis=1, prepend=0)
+    step[:, cuts] = rows[:, cuts]
+    return np.concatenate([x.astype("<u4").view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).ravel() for x in np.split(step, cuts[1:], axis=1)])
+
+
+def unplanes(data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place = np.arange(lens.sum()) - np.repeat(begin, lens)
+    base, width = np.repeat(begin * 12, lens) + place, np.repeat(lens, lens)
+    out = []
+    for row in range(3):
+        step = sum(data[base + (row * 4 + k) * width].astype(np.int64) << (8 * k) for k in range(4))
+        total = np.cumsum(step)
+        out.append(total - np.repeat(total[begin] - step[begin], lens) if len(begin) else total)
+    return tuple(out)
+
+
 def _unpack(t) -> dict[str, np.ndarray]:
     one = lambda c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
     runs, lens = unpacked(one("runs"), np.int64)
-    spans = unpacked(one("spans"), np.int32)[0].reshape(-1, 3).astype(np.int64)
     begin = np.cumsum(lens) - lens
+    start, end, line = unplanes(unpacked(one("spans"), np.uint8)[0], begin, lens)
     at = np.repeat(t.column("at").to_numpy() - begin, lens) + np.arange(len(runs))
-    return {"run": (runs.view(np.uint64) >> np.uint64(1)).view(np.int64), "fresh": runs & 1, "id": np.repeat(t.column("id").to_numpy(), lens), "at": at, "start": spans[:, 0], "end": spans[:, 1], "line": spans[:, 2]}
+    return {"run": (runs.view(np.uint64) >> np.uint64(1)).view(np.int64), "fresh": runs & 1, "id": np.repeat(t.column("id").to_numpy(), lens), "at": at, "start": start, "end": end, "line": line}
 
 
 def single_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,17 +345,17 @@ def repeated_paragraphs(
     names = ["id", "paragraph", "start", "end", "n_words", "sig", "size"]
 
     def occurrences(batches):
-        for b in batches:
-            cols = [[] for _ in names]
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                done = point = 0
-                for k, start, end, words in paragraphs(text, min_words):
-                    first = point + len(text[done:start].decode("utf-8", "replace"))
-                    point = first + len(text[start:end].decode("utf-8", "replace"))
-                    done = end
-                    s = shingles(words)
-                    for c, v in zip(cols, (i, k, first, point, len(words), signature(s), len(s)), strict=True):
-                        c.append(v)
+        for ids, texts in _parts(batches, "id"):
+            p = Paragraphs(texts, min_words)
+            points = np.zeros((2, len(p.text)), np.int64)  # code points
+            done = point = last = -1
+            for j, (d, start, end) in enumerate(zip(p.text.tolist(), p.start.tolist(), p.end.tolist(), strict=True)):
+                if d != last:
+                    done, point, last = 0, 0, d
+                points[0, j] = point = point + len(texts[d][done:start].decode("utf-8", "replace"))
+                points[1, j] = point = point + len(texts[d][start:end].decode("utf-8", "replace"))
+                done = end
+            cols = ids[p.text], p.line, points[0], points[1], p.n_words, p.sig, p.size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     seen = checkpointed(src.mapInArrow(occurrences, ", ".join(f"`{n}` long" for n in names)))
@@ -288,21 +364,17 @@ def repeated_paragraphs(
 
     def post(batches):
         done: set[int] = set()
-        for b in batches:
-            tok, member = [], []
-            for text in b.column("text").to_pylist():
-                for _, _, _, words in paragraphs(text, min_words):
-                    s = shingles(words)
-                    sig = signature(s)
-                    if sig in done:
-                        continue
-                    if len(done) >= 1_000_000:
-                        done.clear()
-                    done.add(sig)
-                    tok.append(band_keys(s, bands, per))
-                    member.append(np.full(bands, sig))
-            if tok:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (tok, member)], names=["token", "member"])
+        for _, texts in _parts(batches, "id"):
+            p = Paragraphs(texts, min_words)
+            sig, at = np.unique(p.sig, return_index=True)
+            at = at[[x not in done for x in sig.tolist()]] if done else at
+            if len(done) >= 1_000_000:
+                done.clear()
+            done.update(sig.tolist())
+            if len(at):
+                s = np.concatenate([p.of(k) for k in at])
+                tok = band_keys(s, np.cumsum(p.size[at]) - p.size[at], bands, per)
+                yield pa.RecordBatch.from_arrays([pa.array(tok.ravel()), pa.array(np.repeat(p.sig[at], bands))], names=["token", "member"])
 
     token = W.partitionBy("token")
     posted = src.mapInArrow(post, "token long, member long")
@@ -318,16 +390,15 @@ def repeated_paragraphs(
     kind = "array<struct<leader long, i int, j int>>"
 
     def load(batches):
-        for b in batches:
+        for want, texts in _parts(batches, "want"):
+            left = [{w["sig"]: w["places"] for w in x} for x in want]
+            p = Paragraphs(texts, min_words)
             member, at, tokens = [], [], []
-            for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
-                left = {w["sig"]: w["places"] for w in want}
-                for _, _, _, words in paragraphs(text, min_words):
-                    s = shingles(words)
-                    if (where := left.pop(signature(s), None)) is not None:
-                        member.append(signature(s))
-                        at.append(where)
-                        tokens.append(s.tobytes())
+            for k, (d, sig) in enumerate(zip(p.text.tolist(), p.sig.tolist(), strict=True)):
+                if (where := left[d].pop(sig, None)) is not None:
+                    member.append(sig)
+                    at.append(where)
+                    tokens.append(p.of(k).tobytes())
             places_type = pa.list_(pa.struct([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(at, places_type), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
 
@@ -353,8 +424,7 @@ def _edit_edges(src: DataFrame, blocks: DataFrame, wanted: DataFrame, min_words:
             member, body = [], []
             for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
                 want = set(want)
-                for _, _, _, words in paragraphs(text, min_words):
-                    sig = signature(shingles(words))
+                for (_, _, _, words), sig in zip(paragraphs(text, min_words), Paragraphs([text], min_words).sig.tolist(), strict=True):
                     if sig in want:
                         want.discard(sig)
                         member.append(sig)

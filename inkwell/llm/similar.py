@@ -16,19 +16,22 @@ _x64 = xxhash.xxh3_64_intdigest
 SHINGLE = 5
 
 
+def rolled(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """63-bit hashes of all windows of ``size`` word hashes, in order."""
+    s = np.full(len(h) - size + 1, np.uint64(size))
+    for i in range(size):
+        s = (s ^ h[i : i + len(s)]) * _MIX[0]
+        s ^= s >> np.uint64(29)
+    s *= _MIX[1]
+    return (s ^ (s >> np.uint64(32))) >> np.uint64(1)
+
+
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the word shingles; fewer words than ``size`` are one shingle, none are none."""
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
-    h = np.array(list(map(_x64, words)), np.uint64)
-    k = min(size, n)
-    s = np.full(n - k + 1, np.uint64(k))
-    for i in range(k):
-        s = (s ^ h[i : i + len(s)]) * _MIX[0]
-        s ^= s >> np.uint64(29)
-    s *= _MIX[1]
-    s = (s ^ (s >> np.uint64(32))) >> np.uint64(1)
+    s = rolled(np.array(list(map(_x64, words)), np.uint64), min(size, n))
     s.sort()
     s = s.view(np.int64)
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
