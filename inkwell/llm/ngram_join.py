@@ -14,9 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from inkwell.llm.common import checkpointed, components
+from inkwell.llm.common import checkpointed, components, map_text
 from inkwell.llm.similar import attach, blocked, compatible, link_groups, packed, shingles, signature, uncovered, unpacked
 
 LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets
@@ -183,8 +183,9 @@ def meet(t: pa.Table, percent: int) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, min_frequent: int = 16, max_frequent: int = 200_000, bucket_shingles: int = 8_000_000) -> DataFrame:
-    """Per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links of ``percent``.
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, min_frequent: int = 16, max_frequent: int = 200_000, bucket_shingles: int = 8_000_000) -> DataFrame:
+    """Per row: its id, ``n_shingles``, ``component_id`` (the smallest id reachable by links of ``percent``), ``sig`` (the
+    signature of its set) and ``first``: its set and id are those that stand for the component, or it links with nothing.
 
     Null, empty and wordless texts have no shingles, link with nothing and are their own component. Rows of a repeated
     id are judged each by its text. A null id has a null component and links nothing. An empty table gives no rows;
@@ -231,19 +232,41 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kept.append(k)
                     tokens.append(s.tobytes())
             rows = b.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("places"), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column("want"), rows.column("places"), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
 
-    sets = attach(src, wanted, "id").select("id", "want", "text", "places").mapInArrow(load, "node long, places array<struct<leader long, i int, j int>>, tokens binary")
+    sets = attach(src, wanted, "id").select("want", "text", "places").mapInArrow(load, "node long, places array<struct<leader long, i int, j int>>, tokens binary")
     rows_of = sets.select(F.explode("places").alias("p"), "node", "tokens").select("p.leader", "p.i", "p.j", "node", "tokens")
     edges = link_groups(rows_of, percent, lambda s: _gate(s, frequent, percent))
-    found = components(edges)
-    named = classes.join(found, "node", "left").select("sig", "n", F.coalesce("component", "node").alias("component"))
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    found = components(edges).withColumnRenamed("node", "sig")
+    named = classes.join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    smallest = named.groupBy("component").agg(F.min(F.struct("node", "sig")).alias("of"))
+    named = named.join(smallest, "component").select("sig", "n", F.col("of.node").alias("component_id"), (F.col("of.sig") == F.col("sig")).alias("smallest"))
+    linked = F.col("id").isNotNull() & (F.col("n") > 0)
     return rows.join(named, ["sig", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id")
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "sig",
+        F.when(linked, F.col("smallest") & (F.col("component_id") == F.col("id"))).otherwise(True).alias("first"),
     )
 
 
+def with_signature(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``sig`` and ``n_shingles`` of each row's set, as :func:`link_documents` names them."""
+
+    def run(texts):
+        sets = [shingles((t or b"").lower().split()) for t in texts]
+        return {"sig": [signature(s) for s in sets], "n_shingles": [len(s) for s in sets]}
+
+    return map_text(docs, text_col, docs.columns, [T.StructField("sig", T.LongType()), T.StructField("n_shingles", T.LongType())], run)
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, **limits: int) -> DataFrame:
+    """Per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links of ``percent``; cases
+    and ``limits`` as in :func:`link_documents`."""
+    return link_documents(docs, id_col, text_col, percent, **limits).select(id_col, "n_shingles", "component_id")
+
+
 def _gate(s: np.ndarray, frequent: Frequent, percent: int) -> tuple[int, np.ndarray]:
     need, rare, at = prefix(s, frequent, percent)
     return need, np.sort(np.concatenate((rare, frequent.token[at])))
