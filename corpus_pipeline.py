@@ -24,14 +24,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, once. Documents without an id stay."""
-    found = ngram_join.ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group stays: the one with the smallest id, once. Rows are judged each by its text: of rows with
+    the same id and different texts, one may go and another stay. Documents without an id or without words stay."""
+    found = ngram_join.link_documents(docs)
+    gone = found.where(~F.col("first")).select("doc_id")
     again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(again, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    several = ngram_join.with_signature(docs.join(again, "doc_id", "left_semi").select(*COLUMNS))
+    stays = found.where("first and n_shingles > 0").select("doc_id", "sig").distinct()
+    once = several.where("n_shingles > 0").join(stays, ["doc_id", "sig"], "left_semi").groupBy("doc_id", "sig").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return kept.unionByName(several.where("n_shingles = 0").select(*COLUMNS)).unionByName(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
