@@ -4,8 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a local default where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder every executor shares: spark.checkpoint.dir. Only a local session may do without, as it has one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -132,3 +132,19 @@ def challenge_step(threshold: int, window: int) -> Step:
         return (start, n, n >= threshold), ("invalidated" if n >= threshold else "failed", n)
 
     return step
+
+
+def samples_step(seconds: int, max_distance: int, max_samples: int, max_percent: int) -> Step:
+    """How many of the newest ``max_samples`` earlier rows of the last ``seconds`` are near: lengths within ``max_percent`` of
+    the longer and hashes within ``max_distance`` bits. State: the samples, oldest first."""
+
+    def step(state, row):
+        ts, size, value = row
+        held = state if state is not None else deque(maxlen=max_samples)
+        while held and held[0][0] < ts - seconds:
+            held.popleft()
+        near = sum(100 * abs(size - n) <= max_percent * max(size, n) and ((value ^ h) & (2**64 - 1)).bit_count() <= max_distance for _, n, h in held)
+        held.append((ts, size, value))
+        return held, (near,)
+
+    return step

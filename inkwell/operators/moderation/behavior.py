@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from inkwell.functions import folds
 from inkwell.functions.text import simhash64
 
 
@@ -39,19 +40,16 @@ def duplicate_signals(comments: DataFrame, gap: int = 86400, review_at: int = 2,
 
 
 def near_duplicate_counts(comments: DataFrame, seconds: int = 86400, max_distance: int = 10, min_runes: int = 12, max_samples: int = 100, max_percent: int = 30, ts: str = "ts_s", tie: str = "comment_id") -> DataFrame:
-    """``(comment_id, similar)``: earlier comments of the user under the article that are nearly equal.
+    """``(comment_id, similar)``: earlier comments of the user under the article that are nearly equal, of comments with
+    enough text.
 
-    Of the window's earlier comments with enough text the newest ``max_samples`` count. The self-join is an equi-join on
-    user and article with a time range, and each comment keeps its newest samples only.
+    Of the window's earlier comments with enough text the newest ``max_samples`` count. One fold over each pair's comments
+    in order, which holds those samples and no more; no comment is paired with all that came before it.
     """
-    rows = comments.where("user_id <> 0 and article_id <> 0").withColumn("runes", F.length("compact")).where(F.col("runes") >= min_runes)
-    rows = rows.select("comment_id", "user_id", "article_id", F.col(ts).alias("ts"), F.col(tie).alias("tie"), "runes", simhash64(F.col("compact")).alias("hash"))
-    old = rows.select("user_id", "article_id", *[F.col(c).alias(f"o_{c}") for c in ("ts", "tie", "runes", "hash")])
-    earlier = (F.col("o_ts") < F.col("ts")) | ((F.col("o_ts") == F.col("ts")) & (F.col("o_tie") < F.col("tie")))
-    pairs = rows.join(old, ["user_id", "article_id"]).where(earlier & (F.col("o_ts") >= F.col("ts") - seconds))
-    newest = F.row_number().over(W.partitionBy("comment_id").orderBy(F.desc("o_ts"), F.desc("o_tie")))
-    near = (F.abs(F.col("runes") - F.col("o_runes")) * 100 <= F.greatest("runes", "o_runes") * max_percent) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("o_hash"))) <= max_distance)
-    return pairs.withColumn("k", newest).where(F.col("k") <= max_samples).groupBy("comment_id").agg(F.count_if(near).alias("similar"))
+    rows = comments.where("user_id <> 0 and article_id <> 0").withColumn("__runes", F.length("compact")).where(F.col("__runes") >= min_runes)
+    rows = rows.select("comment_id", "user_id", "article_id", F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), "__runes", simhash64(F.col("compact")).alias("__hash"))
+    step = folds.samples_step(seconds, max_distance, max_samples, max_percent)
+    return folds.ordered_fold(rows, ["user_id", "article_id"], ["__ts", "__tie"], ["__ts", "__runes", "__hash"], "similar long", step).select("comment_id", "similar")
 
 
 def near_duplicate_signals(comments: DataFrame, review_at: int = 2, **limits: int) -> DataFrame:

@@ -8,19 +8,33 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from inkwell.functions.text import CONFUSABLES
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term") -> DataFrame:
-    """Every occurrence of every term: ``keys``, the columns of ``terms``, and ``pos`` from 1.
+MAX_BROADCAST_TERMS = 200_000
 
-    Texts are cut into their code-point pairs, which meet the terms that begin with that pair in an equi-join, and the
-    rest of the term is checked in place: no text is paired with a term it cannot hold. Terms of one code point have
-    their own key. Blank and null terms match nothing.
+
+def term_hits(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term", context: bool = False) -> DataFrame:
+    """Every occurrence of every term: ``keys``, the columns of ``terms``, and ``pos`` from 1; with ``context`` also the
+    code point ``before``, the two ``after``, and whether a quote that follows a colon stands ``before`` (``keyed``).
+
+    Each place of a text becomes one narrow row of as many code points as the longest term has, which meets the terms that
+    begin with its first one or two in an equi-join; texts themselves are not copied. Terms are broadcast only after a
+    count, beyond which the join shuffles the places. Blank and null terms match nothing.
     """
     t = terms.where(F.length(term) > 0).withColumn("__key", F.substring(term, 1, 2))
-    cut = texts.where(F.length(text) > 0).select(*keys, F.col(text).alias("__text"), F.posexplode(F.sequence(F.lit(1), F.length(text))).alias("__p0", "pos"))
-    pairs = cut.drop("__p0").withColumn("__two", F.expr("substring(__text, pos, 2)"))
-    widths = pairs.withColumn("__key", F.explode(F.array_distinct(F.array("__two", F.substring("__two", 1, 1)))))
-    ok = F.expr(f"substring(__text, pos, length({term})) = {term}")
-    return widths.join(t, "__key").where(ok).select(*keys, "pos", *terms.columns)
+    count, width = t.agg(F.count("*"), F.max(F.length(term))).first()
+    cut = texts.where(F.length(text) > 0).select(*keys, F.split(F.col(text), "").alias("__chars"))
+    at = lambda x: F.get(F.col("__chars"), x)
+    fields = {"__p": lambda q: q, "__piece": lambda q: F.array_join(F.slice(F.col("__chars"), q, (width or 1) + 2 * context), "")}
+    if context:
+        quoted = lambda q: (at(q - 2) == '"') & F.array_join(F.slice(F.col("__chars"), F.lit(1), F.greatest(q - 2, F.lit(0))), "").rlike(r"[:：]\s*$")
+        fields |= {"before": lambda q: F.when(q > 1, at(q - 2)), "keyed": lambda q: F.when(q > 2, quoted(q)).otherwise(False)}
+    places = F.transform(F.sequence(F.lit(1), F.size("__chars")), lambda q: F.struct(*[f(q).alias(n) for n, f in fields.items()]))
+    cut = cut.select(*keys, F.explode(places).alias("__x")).select(*keys, "__x.*").withColumnRenamed("__p", "pos")
+    two = F.substring("__piece", 1, 2)
+    widths = cut.withColumn("__key", F.explode(F.array_distinct(F.array(two, F.substring("__piece", 1, 1)))))
+    t = F.broadcast(t) if count <= MAX_BROADCAST_TERMS else t.hint("merge")
+    hits = widths.join(t, "__key").where(F.startswith("__piece", F.col(term)))
+    extra = [F.coalesce("before", F.lit("")).alias("before"), F.substring(F.col("__piece"), F.length(term) + 1, F.lit(2)).alias("after"), "keyed"] if context else []
+    return hits.select(*keys, "pos", *terms.columns, *extra)
 
 
 def contains_any(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -69,15 +83,13 @@ def lexicon_level(hits: DataFrame, overrides: DataFrame | None = None) -> DataFr
     return out.withColumn("level", F.coalesce(F.nullif("level", F.lit("")), F.nullif("override", F.lit("")), hard)).drop("override")
 
 
-def skipped_hit(text: Column, pos: Column, term: Column) -> Column:
+def skipped_hit(before: Column, after: Column, keyed: Column, term: Column) -> Column:
     """Hits that do not count: a technical compound, and one or two ASCII word characters that are part of a longer word
     or stand as a quoted JSON value."""
-    after = F.substring(text, pos + F.length(term), F.lit(2))
-    before1, after1 = F.when(pos > 1, F.substring(text, pos - 1, F.lit(1))), F.substring(text, pos + F.length(term), F.lit(1))
+    after1 = F.substring(after, 1, 1)
     short = F.lower(term).rlike("^[a-z0-9_]{1,2}$")
-    glued = F.coalesce(before1, F.lit("")).rlike("^[A-Za-z0-9_]$") | after1.rlike("^[A-Za-z0-9_]$")
-    quoted = (F.coalesce(before1, F.lit("")) == '"') & (after1 == '"') & F.substring(text, F.lit(1), F.greatest(pos - 2, F.lit(0))).rlike(r"[:：]\s*$")
-    return ((term == "垃圾") & after.isin("回收", "收集")) | (short & (glued | quoted))
+    glued = before.rlike("^[A-Za-z0-9_]$") | after1.rlike("^[A-Za-z0-9_]$")
+    return ((term == "垃圾") & after.isin("回收", "收集")) | (short & (glued | (keyed & (after1 == '"'))))
 
 
 def lexicon_signals(views: DataFrame, terms: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -86,8 +98,8 @@ def lexicon_signals(views: DataFrame, terms: DataFrame, overrides: DataFrame | N
     ``views(comment_id, view_no, text)``; ``terms(term, category, level)``. ``seq`` follows view, position and word.
     """
     tagged = views.select("comment_id", "view_no", F.trim("text").alias("text"))
-    raw = term_hits(tagged.withColumn("__full", F.col("text")), terms.select("term", "category", "level"), ["comment_id", "view_no", "__full"])
-    kept = raw.where(~skipped_hit(F.col("__full"), F.col("pos"), F.col("term"))).drop("__full")
+    raw = term_hits(tagged, terms.select("term", "category", "level"), ["comment_id", "view_no"], context=True)
+    kept = raw.where(~skipped_hit(F.col("before"), F.col("after"), F.col("keyed"), F.col("term")))
     named = lexicon_level(kept, overrides)
     first = named.groupBy("comment_id", "category", "level", "term").agg(F.min(F.struct("view_no", "pos", "term")).alias("first"))
     seq = F.row_number().over(W.partitionBy("comment_id").orderBy("first", "category", "level")).cast("long")
