@@ -15,11 +15,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from inkwell.llm.common import checkpointed
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
@@ -100,7 +103,7 @@ def furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def label_of(name: str, attrs: dict[str, str]) -> str:
-    return name + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())[:4])
+    return name + "".join(f".{c}" for c in sorted(attrs["class"].split())) if attrs.get("class") else name
 
 
 def blocks(page: str, template: set[int]) -> list[tuple[int, bool, bool, str]]:
@@ -247,23 +250,73 @@ def align(a: list[list], b: list[list]) -> list[list]:
     la, lb = [x[0] for x in a], [x[0] for x in b]
     if la == lb:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n and j < m:
-        if la[i] == lb[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
-    return fold([*out, *map(_optional, a[i:]), *map(_optional, b[j:])])
+    for x, y in [*common(la, lb), (len(a), len(b))]:
+        out += [*map(_optional, a[i:x]), *map(_optional, b[j:y])]
+        if x < len(a):
+            out.append(merge(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return fold(out)
+
+
+def common(a: list[str], b: list[str], cells: int = 10_000) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Only streams of at most ``cells`` pairs get a whole table; longer ones are
+    halved where the two sides' lengths add up to the most, so that memory stays in proportion to the streams."""
+    out: list[tuple[int, int]] = []
+
+    def table(i0: int, i1: int, j0: int, j1: int) -> None:
+        n, m = i1 - i0, j1 - j0
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i0 + i] == b[j0 + j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if a[i0 + i] == b[j0 + j]:
+                out.append((i0 + i, j0 + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+
+    def split(i0: int, i1: int, j0: int, j1: int) -> None:
+        while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+            out.append((i0, j0))
+            i0, j0 = i0 + 1, j0 + 1
+        tail = 0
+        while i0 < i1 - tail and j0 < j1 - tail and a[i1 - tail - 1] == b[j1 - tail - 1]:
+            tail += 1
+        n, m = i1 - tail - i0, j1 - tail - j0
+        if n == 1 and m:
+            if a[i0] in (right := b[j0 : j0 + m]):
+                out.append((i0, j0 + right.index(a[i0])))
+        elif n and m and n * m <= cells:
+            table(i0, i0 + n, j0, j0 + m)
+        elif n and m:
+            left, right, at = a[i0 : i0 + n], b[j0 : j0 + m], n // 2
+            k = int((prefix_lengths(left[:at], right) + prefix_lengths(left[at:][::-1], right[::-1])[::-1]).argmax())
+            split(i0, i0 + at, j0, j0 + k)
+            split(i0 + at, i0 + n, j0 + k, j0 + m)
+        out.extend((i1 - t, j1 - t) for t in range(tail, 0, -1))
+
+    split(0, len(a), 0, len(b))
+    return out
+
+
+def prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``, by whole-row bit operations."""
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    masks = {x: sum(1 << j for j in at) for x, at in places.items() if len(at) > 8}  # rare ones are made when needed
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        if x in places:
+            hit = row & (masks[x] if x in masks else sum(1 << j for j in places[x]))
+            row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8 or 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
 
 
 def stream(page: str, max_depth: int = 64) -> list[list]:
@@ -344,11 +397,12 @@ def expression(nodes: list[list]) -> str:
 WRAPPER = "host string, n_pages long, wrapper string"
 
 
-def infer_wrappers(pages: DataFrame, host: Column, html_col: str = "html", max_hosts_held: int = 5000) -> DataFrame:
+def infer_wrappers(pages: DataFrame, host: Column, html_col: str = "html", max_hosts_held: int = 5000, max_depth: int = 64, fan: int = 64) -> DataFrame:
     """One wrapper (JSON of its nodes) and page count per host; null hosts and pages count as the empty text.
 
-    Tasks hold at most ``max_hosts_held`` partial wrappers. Equal partial wrappers of a host meet as one row, so that a
-    host with a third of all pages brings a task no more rows than it has different layouts.
+    Tasks hold at most ``max_hosts_held`` partial wrappers. Equal partial wrappers of a host meet as one row, and a host
+    with many different ones has them aligned about ``fan`` at a time first, so that a host with a third of all pages
+    brings no task more than that. Elements deeper than ``max_depth`` are aligned as siblings.
     """
     src = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     names = ["host", "n_pages", "wrapper"]
@@ -361,7 +415,7 @@ def infer_wrappers(pages: DataFrame, host: Column, html_col: str = "html", max_h
         held: dict[str, list] = {}
         for b in batches:
             for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                nodes = stream(page)
+                nodes = stream(page, max_depth)
                 old = held.get(h)
                 held[h] = [1, nodes] if old is None else [old[0] + 1, align(old[1], nodes)]
                 if len(held) >= max_hosts_held:
@@ -376,8 +430,11 @@ def infer_wrappers(pages: DataFrame, host: Column, html_col: str = "html", max_h
             nodes = align(nodes, json.loads(other))
         return pa.table({"host": [rows[0][0]], "n_pages": [sum(r[1] for r in rows)], "wrapper": [json.dumps(nodes)]})
 
-    parts = src.mapInArrow(partial, WRAPPER).groupBy("host", "wrapper").agg(F.sum("n_pages").alias("n_pages")).select(*names)
-    return parts.groupBy("host").applyInArrow(whole, WRAPPER)
+    parts = checkpointed(src.mapInArrow(partial, WRAPPER).groupBy("host", "wrapper").agg(F.sum("n_pages").alias("n_pages")).select(*names))
+    many = parts.groupBy("host").agg(F.ceil(F.count("*") / fan).alias("salts")).where("salts > 1")
+    split = parts.join(many, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("salts"))).drop("salts")
+    some = split.groupBy("host", "salt").applyInArrow(lambda t: whole(t.drop_columns(["salt"])), WRAPPER)
+    return parts.join(many, "host", "left_anti").unionByName(some).groupBy("host").applyInArrow(whole, WRAPPER)
 
 
 def template_keys(wrappers: DataFrame, min_pages: int = 8) -> DataFrame:
@@ -405,13 +462,19 @@ def main_text(page: str, template: set[int]) -> str:
     return "\n\n".join(own or [t for r, _, _, t in found if r == top])
 
 
-def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(
+    pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", min_pages: int = 8, max_depth: int = 64, max_broadcast_bytes: int = 32 << 20
+) -> DataFrame:
     """Add ``text``, the main text of every page (empty if it has none; a null page is empty), to the ``carry`` columns.
 
-    A carried column named ``text`` is replaced. Rows repeat as they do in the input; an empty table gives no rows.
+    A carried column named ``text`` is replaced. Rows repeat as they do in the input; an empty table gives no rows. The
+    hosts' templates go to the pages while they have at most ``max_broadcast_bytes``; beyond that, pages meet their host's
+    template in a shuffle join, which Spark splits for a host with very many pages.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
-    keys = template_keys(infer_wrappers(pages, host, html_col)).withColumnRenamed("host", "__host")
+    keys = checkpointed(template_keys(infer_wrappers(pages, host, html_col, max_depth=max_depth), min_pages).withColumnRenamed("host", "__host"))
+    size = keys.agg(F.sum(F.size("template") * 8 + F.octet_length("__host") + 100)).first()[0] or 0
+    keys = F.broadcast(keys) if size <= max_broadcast_bytes else keys.hint("merge")
     carry = [c for c in (carry if carry is not None else pages.columns) if c != "text"]
     src = pages.withColumn("__host", host).join(keys, "__host", "left").select(*carry, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"), "template")
     schema = T.StructType([src.schema[c] for c in carry] + [T.StructField("text", T.StringType())])

@@ -394,6 +394,47 @@ def test_wrapper_alignment():
     assert html_extract.literals(w) == {html_extract.text_key("Menu")}
 
 
+def test_common_subsequence():
+    rng = random.Random(15)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row
+
+    for k in range(60):
+        a, b = ([rng.choice("abcdefghijkl"[: rng.randrange(1, 12)]) for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        assert html_extract.prefix_lengths(a, b).tolist() == length(a, b)
+        for cells in (10_000, 6):
+            pairs = html_extract.common(a, b, cells)
+            assert all(a[i] == b[j] for i, j in pairs) and all(p < q and u < v for (p, u), (q, v) in itertools.pairwise(pairs))
+            assert len(pairs) == length(a, b)[-1]
+
+
+def test_wide_and_deep_pages():
+    wide = ["".join(f"<div class=c{rng.randrange(10**9)}>x</div><p>y</p>" for _ in range(6000)) for rng in (random.Random(1), random.Random(2))]
+    w = html_extract.align(html_extract.stream(wide[0]), html_extract.stream(wide[1]))
+    assert w and html_extract.main_text(wide[0], set()).startswith("x\n\ny")
+    deep = "<div>" * 3000 + "end" + "</div>" * 3000
+    html_extract.align(html_extract.stream(deep), html_extract.stream(deep + "<p>z</p>"))
+    assert html_extract.main_text(deep, set()) == "end"
+
+
+def test_many_layouts_of_a_host(spark):
+    page = "<body><div class=nav>Menu of us</div>" + "%s" + "<p>own %d</p></body>"
+    rows = [(k, "http://h.example/x", page % ("".join(f"<i class=l{k}{j}></i>" for j in range(k % 7)), k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    found = html_extract.infer_wrappers(df, F.lit("h"), fan=3).collect()
+    assert len(found) == 1 and found[0].n_pages == 40
+    for most in (32 << 20, 0):
+        got = {r.page_id: r.text for r in html_extract.extract(df, max_broadcast_bytes=most).collect()}
+        assert got == {k: f"own {k}" for k in range(40)}
+
+
 def test_extract(spark):
     site = "<body><div class=top>Always here</div><p>%s</p></body>"
     rows = [(k, "http://h.example/x", site % f"own text {k}") for k in range(9)] + [(20, None, None), (21, "http://h.example/x", PAGE % "z"), (22, "bad", "")]
