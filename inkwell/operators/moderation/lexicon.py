@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkwell.functions.text import CONFUSABLES
 
+_SAME = str.maketrans(CONFUSABLES)
+
 
 MAX_BROADCAST_TERMS = 200_000
 
@@ -139,6 +142,42 @@ def closest_window(views: list[str], word: str, distance: int) -> tuple[str, int
     return None if found is None else (found, (best + 1) // 2)
 
 
+def closest_windows(texts: list[str], word: str, distance: int) -> list[tuple[int, str] | None]:
+    """Per text its first window of least cost within ``2 * distance`` and that cost, or None; as :func:`closest_window`
+    finds it in one view, for all texts at once, a row of the distance tables at a time."""
+    out: list[tuple[int, str] | None] = [None] * len(texts)
+    sizes = range(max(1, len(word) - distance), len(word) + distance + 1)
+    plain = word.translate(_SAME)
+    folded = [t.translate(_SAME) for t in texts]
+    live = [k for k, t in enumerate(texts) if word not in t and sum(c in folded[k] for c in plain) >= len(word) - distance and len(t) >= sizes[0]]
+    if not live:
+        return out
+    code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+    exact, alike = (code("".join(x[k] for k in live)) for x in (texts, folded))
+    lens = np.array([len(texts[k]) for k in live])
+    ends = np.repeat(np.cumsum(lens), lens)
+    cost = np.full((len(exact), len(sizes)), 2 * distance + 1)
+    row = [np.full(len(exact), 2 * j) for j in range(len(word) + 1)]
+    for i in range(sizes[-1]):
+        at = np.minimum(np.arange(len(exact)) + i, len(exact) - 1)
+        a, b = exact[at], alike[at]
+        new = [np.full(len(exact), 2 * (i + 1))]
+        for j, (c, d) in enumerate(zip(code(word), code(plain), strict=True)):
+            swap = np.where(a == c, 0, np.where(b == d, 1, 2))
+            new.append(np.minimum(np.minimum(row[j + 1] + 2, new[j] + 2), row[j] + swap))
+        row = new
+        if i + 1 in sizes:
+            inside = np.arange(len(exact)) + i < ends
+            cost[inside, sizes.index(i + 1)] = row[-1][inside]
+    first = np.cumsum(lens) - lens
+    for k, begin, n in zip(live, first.tolist(), lens.tolist(), strict=True):
+        best = int(cost[begin : begin + n].argmin())  # the first place, then the shortest window
+        start, size = divmod(best, len(sizes))
+        if cost[begin + start, size] <= 2 * distance:
+            out[k] = int(cost[begin + start, size]), texts[k][start : start + sizes[size]]
+    return out
+
+
 def fuzzy_signals(clauses: DataFrame, candidates: list[tuple[str, str]], max_distance: int = 1, min_runes: int = 4) -> DataFrame:
     """``(comment_id, clause, category, word, evidence)``: near misses of candidate words, the first clause of each word.
 
@@ -148,11 +187,12 @@ def fuzzy_signals(clauses: DataFrame, candidates: list[tuple[str, str]], max_dis
     kind = "array<struct<seq: int, category: string, word: string, evidence: string>>"
 
     def scan(compact: pd.Series, skeleton: pd.Series) -> pd.Series:
-        out = []
-        for c, s in zip(compact, skeleton, strict=True):
-            views = [c] if s == c else [c, s]
-            found = [(k, cat, w, closest_window(views, w, max_distance)) for k, cat, w in words] if c else []
-            out.append([{"seq": k, "category": cat, "word": w, "evidence": f"{m[0]}~{w}(d={m[1]})"} for k, cat, w, m in found if m])
+        out: list[list[dict]] = [[] for _ in compact]
+        views = compact.tolist(), ["" if s == c else s for c, s in zip(compact, skeleton, strict=True)]
+        for k, category, w in words:
+            for row, x, y in zip(out, *(closest_windows(v, w, max_distance) for v in views), strict=True):
+                if m := y if x is None or (y is not None and y[0] < x[0]) else x:
+                    row.append({"seq": k, "category": category, "word": w, "evidence": f"{m[1]}~{w}(d={(m[0] + 1) // 2})"})
         return pd.Series(out)
 
     hits = clauses.select("comment_id", "clause", F.explode(F.pandas_udf(scan, kind)("compact", "skeleton")).alias("m"))

@@ -1,5 +1,7 @@
 """Golden rows of the moderation operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def test_text_goldens():
 def test_fuzzy():
     assert lexicon.closest_window(["论文伐写可以按时交付"], "论文代写", 1) == ("论文伐写", 1)
     assert lexicon.closest_window(["论文代写可以"], "论文代写", 1) is None
+    rng = random.Random(4)
+    for word, distance in (("abca", 1), ("abcda", 2), ("аbc", 1)):
+        texts = ["".join(rng.choice("abcdа") for _ in range(rng.randrange(0, 12))) for _ in range(200)]
+        for text, got in zip(texts, lexicon.closest_windows(texts, word, distance), strict=True):
+            assert (None if got is None else (got[1], (got[0] + 1) // 2)) == lexicon.closest_window([text], word, distance)
 
 
 def test_gray_golden(spark):
