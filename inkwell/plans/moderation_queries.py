@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from inkwell.functions import columns as C, text
@@ -42,10 +44,18 @@ def _(spark, sf):
     return _in(spark, sf).select("comment_id", text.confusable_skeleton(F.translate("content", "oe", "ое")).alias("skeleton"))
 
 
-@query("fold_pinyin", with_views("comment_in", "select comment_id, replace(replace(lower(event), 'zi', '资'), 'qun', '群') as folded from (select comment_id, 'ziqun ' || content as event from comment_in) where not regexp_matches(lower(event), 'liao|luo|yue|pao|zhuang|dubo|wuma|d0g|sfz')"))
+def _folded(value: str) -> str:
+    """SQL that replaces the pairs one after the other, which is the same as at once where their matches do not overlap."""
+    return reduce(lambda x, pair: f"replace({x}, '{pair[0]}', '{pair[1]}')", [*text.PINYIN, *text.INITIALS], value)
+
+
+_SPELT = " ".join(a for a, _ in text.PINYIN[::5])
+
+
+@query("fold_pinyin", with_views("comment_in", f"select comment_id, {_folded('event')} as folded from (select comment_id, lower('ziqun ' || case comment_id % 3 when 0 then '{_SPELT} ' when 1 then 'd0g 刷f ' else '' end || content) as event from comment_in)"))
 def _(spark, sf):
-    src = _in(spark, sf).select("comment_id", F.lower(F.concat(F.lit("ziqun "), "content")).alias("t")).where(~F.col("t").rlike("liao|luo|yue|pao|zhuang|dubo|wuma|d0g|sfz"))
-    return src.select("comment_id", text.pinyin_folded(F.col("t")).alias("folded"))
+    more = F.expr(f"case comment_id % 3 when 0 then '{_SPELT} ' when 1 then 'd0g 刷f ' else '' end")
+    return _in(spark, sf).select("comment_id", text.pinyin_folded(F.lower(F.concat(F.lit("ziqun "), more, "content"))).alias("folded"))
 
 
 @query("decoded_urls", with_views("comment_in", "select comment_id, 'http://site' || user_id || '.example.com/aa' as decoded from comment_in"))
@@ -54,16 +64,37 @@ def _(spark, sf):
     return _in(spark, sf).select("comment_id", text.analysis(hidden).alias("a")).select("comment_id", F.array_join("a.decoded", ",").alias("decoded"))
 
 
-@query("text_views", with_views("comment_in", r"select comment_id, lower(content) || '|' || regexp_replace(lower(content), '[\s\pP\pS]', '', 'g') as views from comment_in where not regexp_matches(regexp_replace(lower(content), '[\s\pP\pS]', '', 'g'), 'liao|luo|yue|pao|zhuang|dubo|wuma|d0g|sfz|zi|qun|pao|liao')"))
+@query(
+    "text_views",
+    with_views(
+        "comment_in",
+        rf""", v as (select comment_id, lower(c) as n, regexp_replace(lower(c), '[\s\pP\pS]', '', 'g') as k from (select comment_id, content || case when comment_id % 4 = 0 then ' сasino ziyuan' else '' end as c from comment_in)),
+w as (select *, translate(k, '{text.CONFUSABLE_FROM}', '{text.CONFUSABLE_TO}') as s, {_folded('k')} as p from v)
+select comment_id, n || '|' || k || case when s <> k then '|' || s else '' end || case when p <> k then '|' || p else '' end as views from w""",
+    ),
+)
 def _(spark, sf):
-    src = _in(spark, sf).where(~F.regexp_replace(F.lower("content"), r"[\s\p{P}\p{S}]", "").rlike("liao|luo|yue|pao|zhuang|dubo|wuma|d0g|sfz|zi|qun"))
-    return src.select("comment_id", text.analysis(F.col("content")).alias("a")).select("comment_id", F.array_join(text.text_views("a"), "|").alias("views"))
+    content = F.concat("content", F.expr("case when comment_id % 4 = 0 then ' сasino ziyuan' else '' end"))
+    return _in(spark, sf).select("comment_id", text.analysis(content).alias("a")).select("comment_id", F.array_join(text.text_views("a"), "|").alias("views"))
+
+
+_MARK = r"[\s\x{85}\x{a0}\pZ\x{1c}-\x{1f}\x{0b}]"
 
 
-@query("split_clauses", with_views("article", "select id, len(list_filter(regexp_split_to_array(content, '[.\\n!?;:]'), lambda x: trim(x) <> '')) as n from article where not regexp_matches(content, '[\\pL\\pN_-][.][\\pL\\pN_-]|:|。|！|？|；|：|\\r') and regexp_matches(content, '[^.\\n!?;:\\s]')"))
+@query(
+    "split_clauses",
+    with_views(
+        "article",
+        rf""", t as (select id, coalesce(content, '') as v from article), p as (select id, v, i, substr(v, i, 1) as c, lower(substr(v, greatest(i - 8, 1), least(i - 1, 8))) as before from t, unnest(generate_series(1, length(v))) u(i)),
+s as (select id, i, c, contains('。！？；：.!?;:' || chr(10) || chr(13), c)
+  and not (c in (':', '：') and i > 1 and ((c = ':' and regexp_matches(before, '(https?|hxxps?)$')) or regexp_matches(regexp_replace(before, '[\s\x{{85}}\x{{a0}}\pZ\pP\pS]', '', 'g'), '(vx|v信|微信|微信号|wx|qq|企鹅|账号|联系方式)$')))
+  and not (c = '.' and i > 1 and regexp_full_match(substr(v, i - 1, 3), '[\pL\p{{Nd}}_-][.][\pL\p{{Nd}}_-]')) as cut from p),
+g as (select id, c, cut, sum(cast(cut as integer)) over (partition by id order by i) as part from s)
+select t.id, greatest(count(distinct part) filter (not cut and not regexp_matches(c, '{_MARK}')), 1) as n from t left join g on g.id = t.id group by t.id""",
+    ),
+)
 def _(spark, sf):
-    src = view(spark, sf, "article").where(~F.col("content").rlike(r"[\p{L}\p{N}_-][.][\p{L}\p{N}_-]|:|。|！|？|；|：|\r") & F.col("content").rlike(r"[^.\n!?;:\s]"))
-    return src.select("id", F.size(text.analysis(F.col("content"))["clauses"]).cast("long").alias("n"))
+    return view(spark, sf, "article").select("id", F.size(text.analysis(F.col("content"))["clauses"]).cast("long").alias("n"))
 
 
 _TERMS = "select * from (values ('then', 'spam_fraud', 'review'), ('the', 'custom', ''), ('of', 'sensitive', ''), ('worthless', 'profanity', 'block'), ('a', 'abuse', 'review'), ('er', 'drugs', '')) w(term, category, level)"
@@ -86,9 +117,14 @@ def _(spark, sf):
     return lexicon.lexicon_signals(views, _terms(spark)).drop("seq")
 
 
-@query("lexicon_level", with_views("tag", f", w as ({_TERMS}) select term, case category when 'profanity' then 'abuse' else category end as category, case when level <> '' then level when category = 'custom' then 'notice' when category = 'drugs' then 'block' else 'review' end as level from w"))
+@query(
+    "lexicon_level",
+    with_views("comment", f", w as ({_TERMS}) select id as comment_id, term, case category when 'profanity' then 'abuse' else category end as category, case when level <> '' then level when category = 'custom' then 'notice' when category = 'drugs' then 'block' else 'review' end as level from comment, w where contains(lower(content), term)"),
+)
 def _(spark, sf):
-    return lexicon.lexicon_level(_terms(spark), spark.createDataFrame([("custom", "notice")], "category string, override string"))
+    texts = view(spark, sf, "comment").select(F.col("id").alias("comment_id"), F.lower("content").alias("text"))
+    hits = lexicon.term_hits(texts, _terms(spark), ["comment_id"]).drop("pos").distinct()
+    return lexicon.lexicon_level(hits, spark.createDataFrame([("custom", "notice")], "category string, override string"))
 
 
 @query("fuzzy_signals")
@@ -104,7 +140,9 @@ def _clauses(spark, sf):
 
 
 _CL = r"regexp_replace(lower(c), '[\s\pP\pS]', '', 'g')"
-_PARTS = """, p as (select comment_id, list_filter(list_transform(regexp_split_to_array(content, '[.\\n!?;:]'), lambda x: trim(x)), lambda x: x <> '') as l from comment_in where not regexp_matches(content, '[A-Za-z0-9_-][.][A-Za-z0-9_-]')),
+_DOT = r"regexp_replace({}, '([\pL\p{{Nd}}_-])[.]([\pL\p{{Nd}}_-])', '\1·\2', 'g')"  # a dot inside a name ends no clause
+_INSIDE = r"regexp_replace(" + _DOT.format(_DOT.format("content")) + r", '(?i)(https?|hxxps?|vx|v信|微信|微信号|wx|qq|企鹅|账号|联系方式):', '\1·', 'g')"
+_PARTS = f""", p as (select comment_id, list_filter(list_transform(regexp_split_to_array({_INSIDE}, '[.\\n\\r!?;:。！？；：]'), lambda x: trim(x)), lambda x: x <> '') as l from comment_in),
 c as (select comment_id, i as clause, l[i] as c from p, unnest(generate_series(1, len(l))) t(i))"""
 
 
@@ -117,8 +155,7 @@ else contains({_CL}, 'error') or contains({_CL}, 'payload') end as benign from c
     ),
 )
 def _(spark, sf):
-    plain = _in(spark, sf).where(~F.col("content").rlike("[A-Za-z0-9_-][.][A-Za-z0-9_-]")).select("comment_id")
-    return _clauses(spark, sf).join(plain, "comment_id", "left_semi").select("comment_id", "clause", "benign")
+    return _clauses(spark, sf).select("comment_id", "clause", "benign")
 
 
 @query("structure_signals")
@@ -150,8 +187,7 @@ _RULES = "select * from (values (0, 'r0', 'spam', 'review', 'note', 'click'), (0
     with_views("comment_in", _PARTS + f", r as ({_RULES}) select comment_id, category, level, s || '+' || p as evidence, rule_id, min(clause) as clause from c join r on contains({_CL}, s) and contains({_CL}, p) group by all"),
 )
 def _(spark, sf):
-    plain = _in(spark, sf).where(~F.col("content").rlike("[A-Za-z0-9_-][.][A-Za-z0-9_-]"))
-    clauses = pipeline.analysed(plain).select("comment_id", F.explode("a.clauses").alias("c")).select("comment_id", "c.*", F.lit(False).alias("benign"))
+    clauses = pipeline.analysed(_in(spark, sf)).select("comment_id", F.explode("a.clauses").alias("c")).select("comment_id", "c.*", F.lit(False).alias("benign"))
     rules = spark.createDataFrame([(0, "r0", "spam", "review", ["note", "topic"], ["click", "error"]), (1, "r1", "load", "notice", ["view"], ["payload", "view"])], "rule_no long, id string, category string, level string, subjects array<string>, predicates array<string>")
     return structure.combination_signals(clauses, rules).select("comment_id", "category", "level", "evidence", "rule_id", F.col("clause").cast("long").alias("clause"))
 
@@ -226,15 +262,30 @@ def _(spark, sf):
     return behavior.duplicate_signals(c, 3600)
 
 
-_HASH = """list_reduce(list_transform(generate_series(0, 63), lambda b: case when list_sum(list_transform(h, lambda x: case when (x >> b) & 1 = 1 then 1 else -1 end)) >= 0 then cast(1 as uhugeint) << b else cast(0 as uhugeint) end), lambda a, b: a + b)"""
+_SIMHASH = r""", k as (select comment_id, user_id, article_id, ts_s, regexp_replace(lower(content), '[\s\pP\pS]', '', 'g') as k from comment_in),
+g as (select k, unnest(case when length(k) <= 2 then [k] else list_transform(generate_series(1, length(k) - 1), lambda i: substr(k, i, 2)) end) as g from (select distinct k from k where k <> '')),
+f as (select g, list_reduce([cast(14695981039346656037 as hugeint)] || list_transform(string_split(regexp_replace(hex(encode(g)), '(..)', '\1,', 'g'), ','), lambda x: case when x = '' then cast(-1 as hugeint) else cast(cast('0x' || x as integer) as hugeint) end),
+  lambda h, b: case when b < 0 then h else (xor(h, b) * 1099511628211) % 18446744073709551616 end) as h from (select distinct g from g)),
+w as (select k, b, sum(case when (h >> b) & 1 = 1 then 1 else -1 end) as w from g join f using (g), unnest(generate_series(0, 63)) u(b) group by k, b),
+s as (select k, sum(case when w < 0 then 0 when b = 63 then -(cast(1 as hugeint) << 63) else cast(1 as hugeint) << b end) as hash from w group by k)"""
 
 
-@query("simhash64")
+@query("simhash64", with_views("comment_in", _SIMHASH + " select comment_id, cast(coalesce(hash, 0) as bigint) as hash from k left join s using (k)"))
 def _(spark, sf):
     return _in(spark, sf).select("comment_id", text.simhash64(text.compact_text(F.lower("content"))).alias("hash"))
 
 
-@query("near_duplicate_signals")
+@query(
+    "near_duplicate_signals",
+    with_views(
+        "comment_in",
+        _SIMHASH
+        + """, e as (select comment_id, user_id, article_id, ts_s, length(k) as runes, cast(hash as bigint) as hash from k join s using (k) where user_id <> 0 and article_id <> 0 and length(k) >= 12),
+r as (select a.comment_id, 100 * abs(a.runes - b.runes) <= 30 * greatest(a.runes, b.runes) and bit_count(xor(a.hash, b.hash)) <= 10 as near, row_number() over (partition by a.comment_id order by b.ts_s desc, b.comment_id desc) as newest
+  from e a join e b using (user_id, article_id) where b.ts_s >= a.ts_s - 7200 and (b.ts_s < a.ts_s or (b.ts_s = a.ts_s and b.comment_id < a.comment_id)))
+select comment_id, count(*) filter (near) as similar from r where newest <= 100 group by comment_id having count(*) filter (near) + 1 >= 2""",
+    ),
+)
 def _(spark, sf):
     c = _in(spark, sf).withColumn("compact", text.compact_text(F.lower("content")))
     return behavior.near_duplicate_signals(c, 2, seconds=7200)
@@ -297,15 +348,12 @@ def _(spark, sf):
 _WRONG = "case expected when 'approved' then actual <> 'approved' when 'risk' then actual = 'approved' else actual <> expected end"
 
 
-@query(
-    "evaluate_corpus",
-    with_views(
-        "corpus_case",
-        f"""select corpus, count(*) as total, count(*) filter (actual = 'approved') as approved, count(*) filter (actual = 'pending') as pending, count(*) filter (actual = 'rejected') as rejected,
+EVALUATION = f"""select corpus, count(*) as total, count(*) filter (actual = 'approved') as approved, count(*) filter (actual = 'pending') as pending, count(*) filter (actual = 'rejected') as rejected,
 count(*) filter (corpus = 'normal' and expected = 'approved' and {_WRONG}) as false_positive, count(*) filter (corpus = 'violation' and expected <> 'approved' and actual = 'approved') as false_negative,
-count(*) filter ({_WRONG}) as mismatch, 0 as manual_edge from corpus_case group by corpus""",
-    ),
-)
+count(*) filter ({_WRONG}) as mismatch, 0 as manual_edge from corpus_case group by corpus"""
+
+
+@query("evaluate_corpus", with_views("corpus_case", EVALUATION))
 def _(spark, sf):
     return decision.evaluate_corpus(view(spark, sf, "corpus_case"))
 

@@ -116,7 +116,25 @@ def _(spark, sf):
 _TIGHT = {"share-create": (3, 120, 2), None: (3, 300, 2)}
 
 
-@query("risk_rate_chain")
+_COUNT = """, n{k} as (select *, scene || '/' || {key} as key, row_number() over (partition by scene, {key} order by server_ms, request_id) as rn from {source}),
+f{k} as (select key, rn, request_id, server_ms as started, cast(1 as bigint) as n, scene from n{k} where rn = 1
+union all select n.key, n.rn, n.request_id, case when n.server_ms > f.started + {window} then n.server_ms else f.started end, case when n.server_ms > f.started + {window} then 1 else f.n + 1 end, n.scene from f{k} f join n{k} n on n.key = f.key and n.rn = f.rn + 1),
+a{k} as (select s.* from {source} s join f{k} using (request_id) where n <= {limit})"""
+
+
+def _rates(source: str) -> str:
+    """Counts of the three windows one after the other; a request over a limit does not reach the next one."""
+    return (
+        _COUNT.format(k=1, key="ip", source=source, window=60_000, limit=3)
+        + _COUNT.format(k=2, key="ip", source="a1", window=3_600_000, limit="case when f2.scene = 'share-create' then 120 else 300 end")
+        + _COUNT.format(k=3, key="fp", source="a2", window=60_000, limit=2)
+    )
+
+
+_RATE = "case when f1.n > 3 then 'L3_RATE_IP' when f2.n > case when f2.scene = 'share-create' then 120 else 300 end then 'L3_RATE_IP' when f3.n > 2 then 'L3_RATE_FP' end"
+
+
+@query("risk_rate_chain", _recursive("risk_request", _rates("risk_request") + f" select r.request_id, {_RATE} as rate_reason from risk_request r join f1 using (request_id) left join f2 using (request_id) left join f3 using (request_id)"))
 def _(spark, sf):
     return risk.risk_rate_chain(_req(spark, sf), _TIGHT).select("request_id", "rate_reason")
 
@@ -166,18 +184,53 @@ def _(spark, sf):
     return out.select("attempt_id", "allowed", "admitted", "retry_ms", C.retry_after_seconds(F.col("retry_ms")).alias("retry_seconds"))
 
 
-@query("admission_chain")
+_STEP = """, n{k} as (select attempt_id, ts_ms, {key} as key, row_number() over (partition by {key} order by ts_ms, attempt_id) as rn from {source}),
+f{k} as (select key, rn, attempt_id, [ts_ms] as held, true as ok, cast(0 as bigint) as wait from n{k} where rn = 1
+union all select n.key, n.rn, n.attempt_id, case when len(list_filter(f.held, lambda x: x > n.ts_ms - 60000)) >= {limit} then list_filter(f.held, lambda x: x > n.ts_ms - 60000) else list_append(list_filter(f.held, lambda x: x > n.ts_ms - 60000), n.ts_ms) end,
+len(list_filter(f.held, lambda x: x > n.ts_ms - 60000)) < {limit}, case when len(list_filter(f.held, lambda x: x > n.ts_ms - 60000)) < {limit} then 0 else greatest(list_filter(f.held, lambda x: x > n.ts_ms - 60000)[1] + 60000 - n.ts_ms, 1000) end
+from f{k} f join n{k} n on n.key = f.key and n.rn = f.rn + 1), a{k} as (select s.* from {source} s join f{k} using (attempt_id) where ok)"""
+_CHAIN = (
+    _STEP.format(k=1, key="ip", source="attempt", limit=6)
+    + _STEP.format(k=2, key="username", source="a1", limit=4)
+    + _STEP.format(k=3, key="username || '/' || ip", source="a2", limit=2)
+    + """ select a.*, case when not f1.ok then 'ip' when not f2.ok then 'user' when not f3.ok then 'user_ip' end as refused_by, coalesce(f3.wait, f2.wait, f1.wait) as retry_ms
+from attempt a join f1 using (attempt_id) left join f2 using (attempt_id) left join f3 using (attempt_id)"""
+)
+
+
+@query("admission_chain", _recursive("attempt", _CHAIN))
 def admission_chain(spark, sf):
     rules = [rates.Rule("ip", ("ip",), 6, 60_000), rates.Rule("user", ("username",), 4, 60_000), rates.Rule("user_ip", ("username", "ip"), 2, 60_000)]
     return rates.admission_chain(_attempts(spark, sf), rules, "ts_ms", "attempt_id")
 
 
-@query("failure_backoff")
+# State after each attempt: failures n from start, level from since, locked until. The first attempt meets the state of none.
+_BACKOFF = """, o as (select *, row_number() over (partition by username order by ts_ms, attempt_id) as rn from attempt),
+z as (select username, cast(0 as bigint) as rn, cast(null as bigint) as attempt_id, cast(0 as bigint) as n, cast(0 as bigint) as start, cast(0 as bigint) as level, cast(0 as bigint) as since, cast(-1 as bigint) as until, '' as outcome, cast(0 as bigint) as shown, cast(0 as bigint) as wait_ms from (select distinct username from attempt)
+union all select username, rn, attempt_id, case when kind = 'failed' then m else case when kind = 'locked' then n else 0 end end, case kind when 'failed' then first when 'locked' then start else 0 end,
+  case kind when 'ok' then 0 when 'lock' then next else level end, case kind when 'ok' then 0 when 'lock' then next_since else since end, case kind when 'locked' then until when 'lock' then ts_ms + wait else -1 end,
+  kind, case kind when 'ok' then 0 when 'lock' then next else level end, case kind when 'locked' then until - ts_ms when 'lock' then wait else 0 end
+from (select *, case when ts_ms <= until then 'locked' when success then 'ok' when m < 5 then 'failed' else 'lock' end as kind, case least(next, 4) when 1 then 300000 when 2 then 900000 when 3 then 3600000 else 21600000 end as wait
+  from (select o.username, o.rn, o.attempt_id, o.ts_ms, o.success, z.n, z.start, z.level, z.since, z.until, case when z.n = 0 or o.ts_ms > z.start + 900000 then 1 else z.n + 1 end as m, case when z.n = 0 or o.ts_ms > z.start + 900000 then o.ts_ms else z.start end as first,
+    case when z.level = 0 or o.ts_ms > z.since + 86400000 then 1 else z.level + 1 end as next, case when z.level = 0 or o.ts_ms > z.since + 86400000 then o.ts_ms else z.since end as next_since
+    from z join o on o.username = z.username and o.rn = z.rn + 1)))
+select a.*, outcome, shown as level, wait_ms from attempt a join z using (attempt_id)"""
+
+
+@query("failure_backoff", _recursive("attempt", _BACKOFF))
 def _(spark, sf):
     return rates.failure_backoff(_attempts(spark, sf), ["username"], 5, 900_000, 86_400_000, ts="ts_ms", tie="attempt_id")
 
 
-@query("challenge_failures")
+_CHALLENGE = """, b as (select *, username || '-' || cast(ts_ms // 600000 as varchar) as challenge from attempt), o as (select *, row_number() over (partition by challenge order by ts_ms, attempt_id) as rn from b),
+z as (select challenge, cast(0 as bigint) as rn, cast(null as bigint) as attempt_id, cast(0 as bigint) as start, cast(0 as bigint) as n, false as over, '' as outcome from (select distinct challenge from b)
+union all select challenge, rn, attempt_id, case when void or (success and started) then start when success or fresh then ts_ms else start end, case when void or success then n when fresh then 1 else n + 1 end,
+  void or (not success and case when fresh then 1 else n + 1 end >= 4), case when void then 'void' when success then 'ok' when case when fresh then 1 else n + 1 end >= 4 then 'invalidated' else 'failed' end
+from (select o.challenge, o.rn, o.attempt_id, o.ts_ms, o.success, z.start, z.n, z.over as void, z.rn > 0 as started, z.n = 0 or o.ts_ms > z.start + 300000 as fresh from z join o on o.challenge = z.challenge and o.rn = z.rn + 1))
+select b.*, outcome, n as failures from b join z using (attempt_id)"""
+
+
+@query("challenge_failures", _recursive("attempt", _CHALLENGE))
 def _(spark, sf):
     a = _attempts(spark, sf).withColumn("challenge", F.concat_ws("-", "username", F.floor(F.col("ts_ms") / 600_000).cast("string")))
     return rates.challenge_failures(a, ["challenge"], 4, 300_000, "ts_ms", "attempt_id")

@@ -7,9 +7,10 @@ A policy is a nested dictionary (as read from YAML): ``lexicon.custom_words.{blo
 from __future__ import annotations
 
 import copy
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkwell.functions.columns import LEVELS
 from inkwell.functions.text import compact, normalize, skeleton
@@ -101,6 +102,26 @@ def validate_policy(policy: dict) -> dict:
     return p
 
 
+def policy_error(body: Column) -> Column:
+    """What is wrong with each policy of a column of JSON texts: the error of :func:`validate_policy`, blank if it is valid,
+    and ``policy is not an object`` for anything but a JSON object."""
+
+    def check(body: str | None) -> str:
+        try:
+            given = json.loads(body or "")
+        except json.JSONDecodeError:
+            given = None
+        if not isinstance(given, dict):
+            return "policy is not an object"
+        try:
+            validate_policy(given)
+        except ValueError as e:
+            return str(e)
+        return ""
+
+    return F.pandas_udf(lambda s: s.map(check), "string")(body)
+
+
 def compile_policy(policy: dict) -> dict:
     """The validated policy with every term normalised and compact, fuzzy candidates also as skeletons."""
     p = validate_policy(policy)
