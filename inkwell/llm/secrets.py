@@ -13,7 +13,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from inkwell.llm.common import map_text, worker_cache
+from inkwell.llm.common import checkpointed, map_text, worker_cache
 
 _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -21,8 +21,6 @@ _HEX = re.compile(rb"[0-9a-f]+")
 _KEYS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _HEX_TABLE = bytes(104 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 KINDS = ("assign", "access", "hex", "crf")
-#: A cheap superset of texts with a base match, for drawing the training sample.
-LIKELY = r"(?i)(password|passwd|secret|token|api_?key)[\x22']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
 _DELIMITERS = b" \t\n\x0b\x0c\r\"'=:,;()<>|[]{}"
 _SPLIT = bytes(32 if bytes([c]) in [bytes([d]) for d in _DELIMITERS] else c for c in range(256))
@@ -157,45 +155,55 @@ class Field:
         return out
 
 
-def train_field(texts: list[bytes], context: int = 8, steps: int = 150, rate: float = 0.15, ridge: float = 2e-4) -> Field:
-    """Fit the field by gradient ascent on the label likelihood of token windows around base matches and elsewhere."""
+def token_windows(text: bytes, context: int = 8, most: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool] | None:
+    """Shapes (-1 past the end) and labels of at most ``most`` token windows, the file features, and whether the text has
+    base matches: windows around those, else elsewhere; in either case spread over the whole text. None without tokens."""
+    at = np.array([m.span() for m in _TOKEN.finditer(text)]).reshape(-1, 2)
+    if not len(at):
+        return None
+    sh = np.array([shape(text[a:b]) for a, b in at.tolist()])
+    y = np.full(len(at), O)
+    spans = base_spans(text)
+    for _, _, _, a, b in spans:
+        i, j = np.searchsorted(at[:, 1], a, "right"), np.searchsorted(at[:, 0], b)
+        y[i : i + 1], y[i + 1 : j] = B, I
     width = 2 * context + 1
-    shapes, labels, files = [], [], []
-    for text in texts:
-        spans = [(s[3], s[4]) for s in base_spans(text)]
-        at = [m.span() for m in _TOKEN.finditer(text)]
-        if not at:
-            continue
-        sh = np.array([shape(text[a:b]) for a, b in at])
-        y = np.full(len(at), O)
-        for a, b in spans:
-            inside = [k for k, (u, v) in enumerate(at) if u < b and v > a]
-            y[inside[:1]], y[inside[1:]] = B, I
-        f = file_features(len(at), int((sh >> 3 & 1).sum()), int((sh >> 9 & 1).sum()))
-        centres = list(np.flatnonzero(y == B)) or list(range(context, len(at), 4 * width))[:3] or [0]
-        for c in centres:
-            lo = max(0, min(int(c) - context, len(at) - width))
-            take = slice(lo, lo + width)
-            shapes.append(np.pad(sh[take], (0, width - len(sh[take])), constant_values=-1))
-            labels.append(np.pad(y[take], (0, width - len(y[take])), constant_values=O))
-            files.append(f)
+    centres = np.flatnonzero(y == B) if spans else np.arange(0, len(at), width)
+    centres = centres[np.unique(np.linspace(0, len(centres) - 1, min(most, len(centres))).astype(int))]
+    place = np.clip(centres - context, 0, max(len(at) - width, 0))[:, None] + np.arange(width)
+    live, place = place < len(at), np.minimum(place, len(at) - 1)
+    f = file_features(len(at), int((sh >> 3 & 1).sum()), int((sh >> 9 & 1).sum()))
+    return np.where(live, sh[place], -1).astype(np.int16), np.where(live, y[place], O).astype(np.int8), f, bool(spans)
+
+
+def train_field(texts: list[bytes], context: int = 8, **settings: float) -> Field:
+    """Fit the field to the token windows of these texts."""
+    found = [w for t in texts if (w := token_windows(t, context)) is not None]
+    return fit_field([(s, y, f) for s, y, f, _ in found], 2 * context + 1, **settings)
+
+
+def fit_field(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, steps: int = 150, rate: float = 0.15, ridge: float = 2e-4) -> Field:
+    """Gradient ascent on the label likelihood of token windows ``(shapes, labels, file features)``. Scores and gradients go
+    through one table row per shape, so a step's cost does not depend on the number of features."""
     d = PHI.shape[1]
     theta = np.zeros((3 * d + N_FILE, 3))
     trans, start = np.zeros((3, 3)), np.zeros(3)
     forbid = np.zeros((3, 3))
     forbid[O, I] = -1e4
-    if shapes:
-        s, y, f = np.array(shapes), np.array(labels), np.array(files)
+    if windows:
+        s, y = np.concatenate([w[0] for w in windows]).astype(np.int64), np.concatenate([w[1] for w in windows]).astype(np.int64)
+        f = np.repeat(np.array([w[2] for w in windows]), [len(w[0]) for w in windows], 0)
         live = s >= 0
-        own = PHI[s] * live[..., None]
-        left = np.concatenate([np.zeros_like(own[:, :1]), own[:, :-1]], 1)
-        right = np.concatenate([own[:, 1:], np.zeros_like(own[:, :1])], 1)
-        x = np.concatenate([own, left, right, np.repeat(f[:, None], width, 1)], 2) * live[..., None]
+        shapes = [s, np.pad(s[:, :-1], ((0, 0), (1, 0)), constant_values=-1), np.pad(s[:, 1:], ((0, 0), (0, 1)), constant_values=-1)]
+        seen = [np.flatnonzero((x >= 0) & live) for x in shapes]  # the token itself, its left and its right neighbour
         gold = np.eye(3)[y] * live[..., None]
         pair = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
         m = np.zeros_like(theta), np.zeros_like(theta), np.zeros((3, 3)), np.zeros((3, 3))
         for k in range(1, steps + 1):
-            e = x @ theta
+            e = np.repeat((f @ theta[3 * d :])[:, None], width, 1).reshape(-1, 3)
+            for j, (x, at) in enumerate(zip(shapes, seen, strict=True)):
+                e[at] += (PHI @ theta[j * d : (j + 1) * d])[x.ravel()[at]]
+            e = e.reshape(*s.shape, 3) * live[..., None]
             t = trans + forbid
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0] + start + np.array([0, -1e4, 0])
@@ -205,15 +213,18 @@ def train_field(texts: list[bytes], context: int = 8, steps: int = 150, rate: fl
             for i in range(width - 2, -1, -1):
                 step = _lse(t + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
                 beta[:, i] = np.where(live[:, i + 1, None], step, 0)
-            z = _lse(np.where(live[:, -1:], alpha[:, -1], alpha[:, -1]), 1)
+            z = _lse(alpha[:, -1], 1)
             p = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
             q = np.zeros((3, 3))
             for i in range(1, width):
                 joint = np.exp(alpha[:, i - 1, :, None] + t + (e[:, i] + beta[:, i])[:, None, :] - z[:, None, None])
                 q += (joint * live[:, i, None, None]).sum(0)
-            g = np.einsum("ntf,nta->fa", x, gold - p) / len(s) - ridge * theta
-            h = (pair - q) / len(s) - ridge * trans
-            for j, (grad, w) in enumerate(((g, theta), (h, trans))):
+            rest, g = (gold - p).reshape(-1, 3), np.zeros_like(theta)
+            for j, (x, at) in enumerate(zip(shapes, seen, strict=True)):
+                by = np.stack([np.bincount(x.ravel()[at], rest[at, c], N_SHAPES) for c in range(3)], 1)
+                g[j * d : (j + 1) * d] = PHI.T @ by
+            g[3 * d :] = f.T @ rest.reshape(*s.shape, 3).sum(1)
+            for j, (grad, w) in enumerate(((g / len(s) - ridge * theta, theta), ((pair - q) / len(s) - ridge * trans, trans))):
                 m[2 * j][...] = 0.9 * m[2 * j] + 0.1 * grad
                 m[2 * j + 1][...] = 0.99 * m[2 * j + 1] + 0.01 * grad * grad
                 w += rate * (m[2 * j] / (1 - 0.9**k)) / (np.sqrt(m[2 * j + 1] / (1 - 0.99**k)) + 1e-8)
@@ -227,23 +238,39 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
 
 
-def training_texts(docs: DataFrame, id_col: str, text_col: str, max_rows: int, max_bytes: int) -> list[bytes]:
-    """At most ``max_rows`` likely and half as many other texts of at most ``max_bytes``, in order of a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= max_bytes)
-    rows = rows.withColumn("likely", F.col("t").rlike(LIKELY)).withColumn("h", F.xxhash64("i", "t"))
-    some = rows.where("likely").orderBy("h").limit(max_rows).select("t").collect()
-    rest = rows.where("not likely and h % 64 = 0").orderBy("h").limit(max_rows // 2).select("t").collect()
-    return [r["t"].encode() for r in some + rest]
+WINDOWS = [T.StructField("likely", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("shapes", "labels", "file"))]
+
+
+def training_windows(docs: DataFrame, id_col: str, text_col: str, max_rows: int, max_bytes: int, sample_rows: int, context: int = 8) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token windows of at most ``max_rows`` texts with base matches and half as many others of at most ``max_bytes``: the
+    first in order of a hash of the id among the ``sample_rows`` documents that come first in that order. Only ids are
+    read to draw them, and only windows reach the driver."""
+    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
+    last = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+
+    def run(texts):
+        found = [token_windows(t, context) if t else None for t in texts]
+        out = {"likely": [w and w[3] for w in found]}
+        return out | {c: [w and w[k].tobytes() for w in found] for k, c in enumerate(("shapes", "labels", "file"))}
+
+    made = map_text(rows.where((F.col("h") <= last) & (F.octet_length("t") <= max_bytes)), "t", ["h"], WINDOWS, run).where("likely is not null")
+    made = checkpointed(made)
+    some = [made.where(c).orderBy("h", "shapes", "labels").limit(n).collect() for c, n in (("likely", max_rows), ("not likely", max_rows // 2))]
+    shaped = lambda x, kind: np.frombuffer(x, kind).reshape(-1, 2 * context + 1)
+    return [(shaped(bytes(r["shapes"]), np.int16), shaped(bytes(r["labels"]), np.int8), np.frombuffer(bytes(r["file"]))) for rs in some for r in rs]
 
 
-def scan_secrets(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 2000, max_train_bytes: int = 100_000) -> DataFrame:
+def scan_secrets(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 2000, max_train_bytes: int = 100_000, sample_rows: int = 40_000) -> DataFrame:
     """Per document: ``spans``, an array of (kind, start, end) in code points by start then kind, end exclusive.
 
     Base spans are kept as they are; a span of the field is added, as kind ``crf``, where it overlaps no base span. Null
-    and empty texts have none. The field is fitted to at most ``max_train_rows`` texts with likely secrets and half as
-    many others (a bound on training alone; every text is scanned whole). Columns in ``carry`` pass through.
+    and empty texts have none. The field is fitted to windows of at most ``max_train_rows`` texts with base matches and half
+    as many others, of the first ``sample_rows`` documents by a hash of the id (bounds on training alone; every text is
+    scanned whole). Columns in ``carry`` pass through.
     """
-    field = train_field(training_texts(docs, id_col, text_col, max_train_rows, max_train_bytes))
+    field = fit_field(training_windows(docs, id_col, text_col, max_train_rows, max_train_bytes, sample_rows), 17)
 
     def run(texts):
         known = worker_cache("token shapes")

@@ -109,6 +109,37 @@ def test_base_spans():
     assert [(k, text[a:b]) for k, a, b, _, _ in found] == [(0, 'PassWord: "abc123'), (1, "AKIA" + "Z" * 16), (2, "0af" * 8)]
 
 
+def brute_spans(text):
+    """The rules as plain patterns over code points, one kind after the other."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(secrets.KINDS[k], a, b) for a, k, b in sorted(found)]
+
+
+def test_base_spans_match_brute_force(spark):
+    rng = random.Random(21)
+    bits = ["password", "PassWD", "secret", "Token", "api_key", "APIKEY", "\u017fecret", "\u212aey", "é🐮", "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef", "0af", "x", ":", "=", " ", "  ", '"', "'", "\n", "\t", "-", "/", "hunter2", "Z"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 60))) for _ in range(400)] + AWKWARD
+    for r in secrets.scan_secrets(docs(spark, texts)).collect():
+        assert [tuple(s) for s in r.spans if s.kind != "crf"] == brute_spans(texts[r.doc_id] or "")
+
+
+def test_field_gradient_and_decoding():
+    texts = [f"{prose(9)} password={'abcdefgh'[k % 8] * 4}12345{k} {prose(9)}".encode() for k in range(40)] + [prose(60).encode() for _ in range(40)]
+    f = secrets.train_field(texts)
+    hidden = f"{prose(9)} passwd hhhh1234507 {prose(9)}".encode()  # no base rule names this
+    assert secrets.base_spans(hidden) == []
+    tokens = [m.span() for m in secrets._TOKEN.finditer(hidden)]
+    sh = np.array([secrets.shape(hidden[a:b]) for a, b in tokens])
+    file = secrets.file_features(len(sh), int((sh >> 3 & 1).sum()), int((sh >> 9 & 1).sum()))
+    assert {hidden[tokens[i][0] : tokens[j - 1][1]] for i, j in f.decode(sh, file)} == {b"hhhh1234507"}
+    e = f.scores(sh[6:13], file)
+    total = lambda path: sum(e[k, y] for k, y in enumerate(path)) + f.start[path[0]] + sum(f.trans[a, b] for a, b in itertools.pairwise(path))
+    best = max(itertools.product(range(3), repeat=7), key=total)
+    assert abs(total(best) - total(f.viterbi(e, True, True))) < 1e-9
+
+
 def test_pruned_viterbi_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(30):
