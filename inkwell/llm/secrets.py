@@ -69,6 +69,19 @@ def shape(token: bytes) -> int:
     return out | (token[:4] == b"AKIA") << 10
 
 
+def shapes_of(tokens: list[bytes]) -> np.ndarray:
+    """The shapes of all tokens, through a bounded cache of this worker."""
+    known = worker_cache("token shapes")
+    try:
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    except KeyError:
+        if len(known) > 200_000:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = shape(t)
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+
+
 N_SHAPES = 1 << 11
 
 
@@ -158,21 +171,21 @@ class Field:
 def token_windows(text: bytes, context: int = 8, most: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool] | None:
     """Shapes (-1 past the end) and labels of at most ``most`` token windows, the file features, and whether the text has
     base matches: windows around those, else elsewhere; in either case spread over the whole text. None without tokens."""
-    at = np.array([m.span() for m in _TOKEN.finditer(text)]).reshape(-1, 2)
-    if not len(at):
+    sh = shapes_of(text.translate(_SPLIT).split())
+    if not len(sh):
         return None
-    sh = np.array([shape(text[a:b]) for a, b in at.tolist()])
-    y = np.full(len(at), O)
-    spans = base_spans(text)
-    for _, _, _, a, b in spans:
-        i, j = np.searchsorted(at[:, 1], a, "right"), np.searchsorted(at[:, 0], b)
-        y[i : i + 1], y[i + 1 : j] = B, I
+    y = np.full(len(sh), O)
+    if spans := base_spans(text):
+        at = np.array([m.span() for m in _TOKEN.finditer(text)])
+        for _, _, _, a, b in spans:
+            i, j = np.searchsorted(at[:, 1], a, "right"), np.searchsorted(at[:, 0], b)
+            y[i : i + 1], y[i + 1 : j] = B, I
     width = 2 * context + 1
-    centres = np.flatnonzero(y == B) if spans else np.arange(0, len(at), width)
+    centres = np.flatnonzero(y == B) if spans else np.arange(0, len(sh), width)
     centres = centres[np.unique(np.linspace(0, len(centres) - 1, min(most, len(centres))).astype(int))]
-    place = np.clip(centres - context, 0, max(len(at) - width, 0))[:, None] + np.arange(width)
-    live, place = place < len(at), np.minimum(place, len(at) - 1)
-    f = file_features(len(at), int((sh >> 3 & 1).sum()), int((sh >> 9 & 1).sum()))
+    place = np.clip(centres - context, 0, max(len(sh) - width, 0))[:, None] + np.arange(width)
+    live, place = place < len(sh), np.minimum(place, len(sh) - 1)
+    f = file_features(len(sh), int((sh >> 3 & 1).sum()), int((sh >> 9 & 1).sum()))
     return np.where(live, sh[place], -1).astype(np.int16), np.where(live, y[place], O).astype(np.int8), f, bool(spans)
 
 
@@ -273,21 +286,12 @@ def scan_secrets(docs: DataFrame, carry: list[str] | None = None, id_col: str =
     field = fit_field(training_windows(docs, id_col, text_col, max_train_rows, max_train_bytes, sample_rows), 17)
 
     def run(texts):
-        known = worker_cache("token shapes")
         out = []
         for text in texts:
             if not text:
                 out.append([])
                 continue
-            tokens = text.translate(_SPLIT).split()
-            try:
-                sh = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-            except KeyError:
-                if len(known) > 200_000:
-                    known.clear()
-                for t in set(tokens).difference(known):
-                    known[t] = shape(t)
-                sh = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+            sh = shapes_of(text.translate(_SPLIT).split())
             base = base_spans(text)
             spans = fixed = [(k, a, b) for k, a, b, _, _ in base]
             if len(sh):
