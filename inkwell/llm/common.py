@@ -21,16 +21,19 @@ def map_text(
     carry: Sequence[str],
     fields: Sequence[T.StructField],
     fn: Callable[[list[bytes | None]], dict[str, object]],
+    beside: str | None = None,
 ) -> DataFrame:
     """Apply ``fn`` to whole texts (UTF-8 bytes, None for null), one Arrow batch at a time, without a shuffle.
 
-    ``carry`` columns pass through; a carried column whose name is also an output field is replaced by the output.
+    ``carry`` columns pass through; a carried column whose name is also an output field is replaced by the output. With
+    ``beside``, ``fn`` gets a pair: the texts and that column's values.
     """
     names = {f.name for f in fields}
     carry = [c for c in carry if c not in names]
     kind = df.schema[text_col].dataType
     others = [c for c in carry if c != text_col]  # the text itself crosses once, as bytes
-    src = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
+    more = [F.col(f"`{beside}`").alias("__beside")] if beside else []
+    src = df.select(*[F.col(f"`{c}`") for c in others], *more, F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
     passed = [*others, *(["__text"] if text_col in carry else [])]
     schema = T.StructType([src.schema[c] for c in passed] + list(fields))
     arrow = to_arrow_schema(schema)
@@ -38,7 +41,8 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000))  # what Python holds at once
         for batch in parts:
-            out = fn(batch.column("__text").to_pylist())
+            texts = batch.column("__text").to_pylist()
+            out = fn((texts, batch.column("__beside").to_pylist()) if beside else texts)
             cols = [batch.column(c) for c in passed]
             for f in fields:
                 cols.append(pa.array(out[f.name], type=arrow.field(f.name).type))

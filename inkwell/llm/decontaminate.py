@@ -1,21 +1,22 @@
 """Benchmark decontamination with a generalised suffix automaton over normalised test items.
 
-Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. Items are split into blocks of bounded
-size, one automaton each; every document streams through each automaton once, carrying the length of the longest
+Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. Items are dealt to blocks of bounded
+size, one automaton and one pass each; every document streams through each automaton once, carrying the length of the longest
 suffix that occurs in an item. A suffix reaching the window length (or a whole shorter item) marks its words as hit.
-The work is one Arrow pass over the documents: no shuffle, no join, no grouping.
+A benchmark of one block takes one Arrow pass over the documents: no shuffle, no join, no grouping.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from inkwell.llm.common import map_text, worker_cache
+from inkwell.llm.common import checkpointed, map_text, worker_cache
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -161,18 +162,36 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text_col: str, max_block_words: int) -> list[list[tuple[int, list[bytes]]]]:
-    """Blocks of items of at most ``max_block_words`` words (one longer item is a block). Null ids or texts have no items."""
-    blocks, held = [[]], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text_col).cast("binary").alias("t")).where("i is not null and t is not null").toLocalIterator():
-        words = normal_words(bytes(row["t"]))
-        if held and held + len(words) > max_block_words:
-            blocks.append([])
-            held = 0
-        if words:
-            blocks[-1].append((row["i"], words))
-            held += len(words)
-    return [b for b in blocks if b]
+def item_blocks(benchmark: DataFrame, item_id: str, text_col: str, max_block_words: int) -> tuple[DataFrame, int]:
+    """The items ``(i, t, block)`` and the number of blocks, dealt by a hash so that a block has about ``max_block_words``
+    words. Words are counted on Spark. Null ids or texts have no items."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    counted = map_text(items, "t", [], [T.StructField("n", T.LongType())], lambda texts: {"n": [len(normal_words(t)) for t in texts]})
+    blocks = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // max_block_words))
+    return items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), blocks
+
+
+def block_words(items: DataFrame, block: int) -> list[tuple[int, list[bytes]]]:
+    rows = items.where(F.col("block") == block).select("i", F.col("t").cast("binary").alias("t")).collect()
+    found = [(r["i"], normal_words(bytes(r["t"]))) for r in sorted(rows, key=lambda r: (r["i"], bytes(r["t"])))]
+    return [(i, words) for i, words in found if words]
+
+
+def _scanned(docs: DataFrame, text_col: str, carry: list[str], items: list[tuple[int, list[bytes]]], window: int, fields: list[T.StructField], result) -> DataFrame:
+    """One pass over the documents with the automaton of one block; ``result(text, words, spans, items, longest)`` gives a
+    row of ``fields``."""
+    key = "automaton " + hashlib.sha256(repr((window, items)).encode()).hexdigest()
+
+    def run(texts):
+        automaton = worker_cache(key, lambda: SuffixAutomaton(items, window)) if items else None
+        rows = []
+        for text in texts:
+            words = normal_words(text)
+            spans, found, longest = automaton.scan(words) if automaton else ([], set(), 0)
+            rows.append(result(text, words, spans, found, longest))
+        return {f.name: [r[k] for r in rows] for k, f in enumerate(fields)}
+
+    return map_text(docs, text_col, carry, fields, run)
 
 
 def decontaminate(
@@ -192,35 +211,12 @@ def decontaminate(
     A window is ``window`` consecutive item words, or a whole shorter item. ``contaminated`` says that hit words are at
     least ``min_coverage`` of all words. ``clean_text`` is the text without its hit spans (null for a null text). A null
     or empty text has no words; repeated rows are judged alike; an empty benchmark hits nothing. Columns named in
-    ``carry`` pass through, and an output column replaces one of its name. Benchmarks over ``max_block_words`` words
-    are taken in several blocks, each a bounded automaton, all in the same pass.
+    ``carry`` pass through, and an output column replaces one of its name. A benchmark over ``max_block_words`` words is
+    taken in several blocks, one pass over the documents for each, so that neither the driver nor a task ever holds more
+    than about one block; the passes' spans meet by a row number.
     """
-    blocks = item_blocks(benchmark, item_id, item_text, max_block_words)
+    items, blocks = item_blocks(benchmark, item_id, item_text, max_block_words)
     share = round(min_coverage * 10_000)
-    key = "automata " + hashlib.sha256(repr((window, blocks)).encode()).hexdigest()
-
-    def run(texts):
-        automata = worker_cache(key, lambda: [SuffixAutomaton(b, window) for b in blocks])
-        out = {k: [] for k in ("n_words", "n_hit", "item_ids", "longest_match", "contaminated", "clean_text")}
-        for text in texts:
-            words = normal_words(text)
-            spans, items, longest = [], set(), 0
-            for a in automata:
-                s, i, n = a.scan(words)
-                spans += s
-                items |= i
-                longest = max(longest, n)
-            spans = merge_spans(spans)
-            hit = sum(b - a for a, b in spans)
-            out["n_words"].append(len(words))
-            out["n_hit"].append(hit)
-            out["item_ids"].append(sorted(items))
-            out["longest_match"].append(longest)
-            out["contaminated"].append(hit > 0 and 10_000 * hit >= share * len(words))
-            if with_text:
-                out["clean_text"].append(None if text is None else (cut_words(text, spans) if spans else text).decode("utf-8", "replace"))
-        return out
-
     fields = [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
@@ -228,4 +224,33 @@ def decontaminate(
         T.StructField("longest_match", T.LongType()),
         T.StructField("contaminated", T.BooleanType()),
     ] + [T.StructField("clean_text", T.StringType())] * with_text
-    return map_text(docs, text_col, carry if carry is not None else docs.columns, fields, run)
+
+    def result(text, words, spans, found, longest):
+        spans = merge_spans(spans)
+        hit = sum(b - a for a, b in spans)
+        row = (len(words), hit, sorted(found), longest, hit > 0 and 10_000 * hit >= share * len(words))
+        return (*row, None if text is None else (cut_words(text, spans) if spans else text).decode("utf-8", "replace"))
+
+    carry = carry if carry is not None else docs.columns
+    if blocks == 1:
+        return _scanned(docs, text_col, carry, block_words(items, 0), window, fields, result)
+
+    items = checkpointed(items)
+    rows = checkpointed(docs.select(*dict.fromkeys([*carry, text_col])).withColumn("__row", F.monotonically_increasing_id()))
+    spans = T.ArrayType(T.ArrayType(T.LongType()))
+    found = [T.StructField("__spans", spans), T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__longest", T.LongType())]
+    passes = []
+    for k in range(blocks):
+        made = _scanned(rows, text_col, ["__row"], block_words(items, k), window, found, lambda _, __, s, i, n: ([list(x) for x in s], sorted(i), n))
+        passes.append(checkpointed(made.where("__longest > 0")))
+    both = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    whole = reduce(DataFrame.unionByName, passes).groupBy("__row").agg(both("__spans"), both("__items"), F.max("__longest").alias("__longest"))
+    met = rows.join(whole, "__row", "left")
+    hits = F.struct("__spans", "__items", "__longest")
+
+    def settle(batch):
+        texts, given = batch
+        made = [result(t, normal_words(t), [tuple(s) for s in g["__spans"] or []], set(g["__items"] or []), g["__longest"] or 0) for t, g in zip(texts, given, strict=True)]
+        return {f.name: [r[k] for r in made] for k, f in enumerate(fields)}
+
+    return map_text(met.withColumn("__hits", hits), text_col, carry, fields, settle, beside="__hits")
