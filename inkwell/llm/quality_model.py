@@ -180,17 +180,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = named.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.octet_length("__t") <= max_train_bytes)
     rows = texts.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id", "__t"), "__t").limit(max_train)
-    fields = [T.StructField("passages", T.ArrayType(T.ArrayType(T.FloatType())))]
+    fields = [T.StructField("passages", T.BinaryType())]
 
     def run(batch):
         x, first = encode(batch)
-        return {"passages": [p.tolist() for p in np.split(x, first[1:])] if len(first) else []}
+        return {"passages": [p.astype("<f4").tobytes() for p in np.split(x, first[1:])] if len(first) else []}
 
-    got = map_text(rows, "__t", ["__y"], fields, run).collect()
-    got = sorted(got, key=lambda r: (r["__y"], r["passages"]))
-    x = np.array([p for r in got for p in r["passages"]], np.float32).reshape(-1, N_FEATURES)
-    first = np.cumsum([0] + [len(r["passages"]) for r in got])[:-1]
-    return train(x, first, np.array([r["__y"] for r in got], np.float32))
+    got = [(r["__y"], bytes(r["passages"])) for r in map_text(rows, "__t", ["__y"], fields, run).collect()]
+    got.sort()
+    x = np.frombuffer(b"".join(p for _, p in got), "<f4").reshape(-1, N_FEATURES)
+    first = np.cumsum([0] + [len(p) // (4 * N_FEATURES) for _, p in got])[:-1]
+    return train(x, first, np.array([y for y, _ in got], np.float32))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
