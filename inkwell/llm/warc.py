@@ -56,28 +56,55 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     return rows.unionByName(marks.select("record_id", "digest", F.lit(0).alias("turn"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")))
 
 
-def assign_shards(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> DataFrame:
-    """Add ``shard``: ranges of record_id of about ``shard_bytes`` payload, the same on every run over the same rows.
-
-    ``sizes(record_id, size)`` are the same rows, narrow. Boundaries come from an exact histogram of at most 4096 id bins (the only thing the driver sees). A bin heavier than
-    a shard is split by digest, so that one id repeated many times does not make one task. Null ids form the first bin.
+def assign_shards(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Add ``shard``: ranges of record_id of about ``shard_bytes`` payload, the same on every run over the same rows; also
+    the number of shards.
+
+    ``sizes(record_id, size)`` are the same rows, narrow. Boundaries come from exact histograms of 4096 bins: one over all
+    ids, then one inside each bin heavier than a shard, until a bin is a single id. So ids far from all others leave the
+    rest sorted by range, and the driver sees no more than some thousand sums for each heavy bin. A single id heavier than
+    a shard is split by digest. Null ids form the first bin.
     """
+    session = records.sparkSession
     lo, hi = sizes.agg(F.min("record_id"), F.max("record_id")).first()
-    lo, width = lo or 0, ((hi or 0) - (lo or 0)) // _BINS + 1
-    bin_of = F.coalesce(F.floor((F.col("record_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("int")
-    binned = records.withColumn("bin", bin_of)
-    weights = sizes.withColumn("bin", bin_of).groupBy("bin").agg(F.sum("size").alias("w")).orderBy("bin").collect()
-    starts, shard, held = {}, 0, 0
-    for b, w in weights:
+    lo, hi = lo or 0, hi or 0
+    nodes = {0: (lo, (hi - lo) // _BINS + 1)}  # first id and width of a bin
+    leaves: list[tuple[int, int, int, int]] = []  # first id, node, bin, bytes
+    made, key = 1, F.col("record_id")
+    records, sizes = (x.withColumn("node", F.lit(0).cast("long")).withColumn("lo", F.lit(lo)).withColumn("width", F.lit(nodes[0][1])) for x in (records, sizes))
+    split = True
+    while split:
+        bin_of = F.coalesce(F.expr("(record_id - lo) div width"), F.lit(-1)).cast("long")
+        records, sizes = (x.withColumn("bin", F.when(F.col("width") > 0, bin_of).otherwise(F.col("bin")) if "bin" in x.columns else bin_of) for x in (records, sizes))
+        split = []
+        for node, b, w in sizes.where("width > 0").groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
+            first, width = nodes[node]
+            if w > shard_bytes and width > 1 and b >= 0:
+                nodes[made] = (first + b * width, (width - 1) // _BINS + 1)
+                split.append((node, b, made, *nodes[made]))
+                made += 1
+            else:
+                leaves.append((first + b * width if b >= 0 else lo - 1, node, b, w))
+        if split:
+            finer = F.broadcast(session.createDataFrame(split, "node long, bin long, __node long, __lo long, __width long"))
+            records, sizes = (
+                x.join(finer, ["node", "bin"], "left").withColumns(
+                    {"node": F.coalesce("__node", "node"), "lo": F.coalesce("__lo", "lo"), "width": F.coalesce("__width", F.lit(0).cast("long"))}
+                ).drop("__node", "__lo", "__width")
+                for x in (records, sizes)
+            )
+    starts, shard, held = [], 0, 0
+    for _, node, b, w in sorted(leaves):
         if held and held + w > shard_bytes:
             shard, held = shard + 1, 0
         parts = max(1, -(-w // shard_bytes))
-        starts[b] = (shard, parts)
+        starts.append((node, b, shard, parts))
         held += w
         if parts > 1:
             shard, held = shard + parts, 0
-    dims = records.sparkSession.createDataFrame([(b, s, p) for b, (s, p) in starts.items()], "bin int, first long, parts long")
-    return binned.join(F.broadcast(dims), "bin").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("parts"))).drop("bin", "first", "parts")
+    dims = F.broadcast(session.createDataFrame(starts, "node long, bin long, first long, parts long"))
+    shards = max((s + p for _, _, s, p in starts), default=1)
+    return records.join(dims, ["node", "bin"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("parts"))).drop("node", "bin", "lo", "width", "first", "parts"), shards
 
 
 def _record(record_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -130,10 +157,10 @@ def write_archives(
     A task attempt writes to names of its own, so a lost executor or a speculative twin leaves garbage beside the data,
     never in it. File names and contents depend on the records alone. Renames are idempotent and run on the executors.
     """
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     records = plan_records(pages, id_col, url_col, payload_col, min_revisit)
     sizes = pages.select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(F.octet_length(F.col(payload_col).cast("string")), F.lit(0)).cast("long").alias("size"))
-    sharded = assign_shards(records, sizes, shard_bytes).repartition(n, "shard").sortWithinPartitions("shard", "record_id", "digest", "turn")
+    sharded, shards = assign_shards(records, sizes, shard_bytes)
+    sharded = sharded.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "record_id", "digest", "turn")  # a task for each shard
 
     order = ("shard", "record_id", "digest", "turn", "refers_to", "url", "payload")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
@@ -229,8 +256,9 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
                             rows = []
                 yield _frame(rows)
 
-    files = spark.read.parquet(f"{out}/_manifest").select("final")
-    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "final").mapInPandas(read, RECORD)
+    files = spark.read.parquet(f"{out}/_manifest").select("shard", "final")
+    shards = (files.agg(F.max("shard")).first()[0] or 0) + 1
+    return files.repartitionById(shards, F.col("shard").cast("int")).select("final").mapInPandas(read, RECORD)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

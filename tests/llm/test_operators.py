@@ -394,6 +394,13 @@ def test_warc(spark, tmp_path):
     assert kinds == sorted([(5, 600, "revisit", 2), (2, 600, "response", None), (2, 600, "response", None), (-1, 600, "revisit", 2), (9, 0, "response", None), (7, 5, "response", None), (8, 5, "response", None), (1 << 60, 5000, "response", None)], key=lambda r: (r[0], r[1], r[2], r[3] or 0))
     names = [sorted((p.name, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / f"w{k}").glob("*.warc.gz")) for k in range(2)]
     assert names[0] == names[1] and len(names[0]) > 1
+    by_shard = {}
+    for p in sorted((tmp_path / "w0").glob("*.warc.gz")):
+        keys = [int(k) for k in re.findall(rb"X-Record-Key: (\d+)", gzip.decompress(p.read_bytes()))]
+        by_shard.setdefault(p.name[:12], []).extend(keys)
+    spans = [(k[0], k[-1]) for k in by_shard.values() if k]
+    assert all(k == sorted(k) for k in by_shard.values()) and spans == sorted(spans)  # one far id leaves the others sorted by range
+    assert {9, 7, 8} & set(by_shard[min(by_shard)]) == set() or len(by_shard) > 2
     for p in (tmp_path / "w0").glob("*.warc.gz"):
         assert gzip.decompress(p.read_bytes()).startswith(b"WARC/1.1\r\n")
     empty = f"{tmp_path}/e-{uuid.uuid4().hex}"
