@@ -33,7 +33,8 @@ def leaf_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     ``nodes(tree, node, parent)`` has unique (tree, node); a null or unknown parent makes a root. The self-join is
     iterated by doubling: round k knows each node's ancestor 2^k steps up, and extends every path by what lies above
     its last 2^k steps, so a path of d nodes takes log2(d) joins, each on the unique key (tree, node). A null tree is a
-    tree like others: joins see it inside a struct, which is never null.
+    tree like others: joins see it inside a struct, which is never null. Replies that run into a loop have no root and
+    form no path.
     """
     nodes = nodes.withColumn("tree", F.struct("tree"))
     known = nodes.select("tree", F.col("node").alias("parent"))
@@ -41,16 +42,19 @@ def leaf_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     jump = checkpointed(jump.select("tree", "node", F.col("parent").alias("anc")))
     inner = jump.select("tree", F.col("anc").alias("node")).distinct()
     paths = checkpointed(nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    step = 1
+    step, last = 1, None
     for _ in range(max_rounds):
         more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("anc").alias("node"), (F.col("up") + step).alias("up"))
         higher = jump.alias("a").join(jump.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.anc") == F.col("b.node")))
         jump = checkpointed(higher.select("a.tree", "a.node", F.col("b.anc").alias("anc")))
         paths = checkpointed(paths.unionByName(more))
         step *= 2
-        if jump.isEmpty():
-            return paths.withColumn("tree", F.col("tree.tree"))
-    raise RuntimeError("a reply chain loops or is deeper than 2^max_rounds")
+        left = jump.count()
+        if left in (0, last):  # some chain that ends would have ended in this round, so only loops are left
+            rooted = paths.join(jump.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti") if left else paths
+            return rooted.withColumn("tree", F.col("tree.tree"))
+        last = left
+    raise RuntimeError("a reply chain is deeper than 2^max_rounds")
 
 
 def format_trees(nodes: DataFrame, top: int | None = None) -> DataFrame:

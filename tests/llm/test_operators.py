@@ -516,6 +516,12 @@ def test_null_tree(spark):
     assert {(r.tree, r.leaf, r.node, r.up) for r in chat.leaf_paths(nodes).collect()} == {(None, 2, 2, 0), (None, 2, 1, 1), ("t", 1, 1, 0)}
 
 
+def test_reply_loops(spark):
+    rows = [(1, 2), (2, 1), (3, 2), (4, None), (5, 4), (6, 6), (7, 3)]
+    nodes = spark.createDataFrame([("t", n, p, 0.0, "user", str(n)) for n, p in rows], "tree string, node long, parent long, score double, role string, text string")
+    assert {(r.leaf, r.node, r.up) for r in chat.leaf_paths(nodes).collect()} == {(5, 5, 0), (5, 4, 1), (6, 6, 0)}
+
+
 def test_long_chain(spark):
     nodes = spark.range(1, 301).selectExpr("0L as tree", "id as node", "case when id > 1 then id - 1 end as parent", "0.0D as score", "'user' as role", "cast(id as string) as text")
     r = chat.format_trees(nodes).first()
