@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkwell.functions.columns import pad_handle
+from inkwell.functions.numbering import numbered
 
 
 def merge(target: DataFrame, changes: DataFrame, keys: list[str], update: dict[str, Column], insert: bool = True) -> DataFrame:
@@ -79,8 +80,7 @@ def save_drafts(articles: DataFrame, drafts: DataFrame, now: datetime) -> DataFr
     found = drafts.join(by_id, "id", "left").join(by_pub, "published_id", "left")
     found = found.withColumn("__target", F.coalesce("__a", "__b")).withColumn("__title", F.coalesce(trimmed(F.col("title")), F.coalesce("__ta", "__tb")))
     blank = found.where(F.col("__title").isNull())
-    numbered = blank.select("seq", F.row_number().over(W.orderBy("seq")).alias("__k"))  # blank new drafts of one batch
-    found = found.join(numbered, "seq", "left")
+    found = found.join(numbered(blank.select("seq"), "seq", "__k"), "seq", "left")  # blank new drafts of one batch
     title = F.coalesce("__title", F.concat(F.lit("草稿"), (have.agg(F.count("*")).scalar() + F.col("__k")).cast("string")))
     stamp = F.lit(now).cast(articles.schema["update_time"].dataType)
     changes = found.select(
@@ -123,8 +123,8 @@ def delete_images(images: DataFrame, refs: DataFrame, ids: DataFrame) -> tuple[D
 def ensure_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
     """Tags with the missing names added; ids go on from the largest, by name."""
     fresh = names.select(F.col(names.columns[0]).alias("name")).where("name is not null and name <> ''").distinct().join(tags.select("name"), "name", "left_anti")
-    numbered = fresh.select((F.row_number().over(W.orderBy("name")) + tags.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()).cast(tags.schema["id"].dataType).alias("id"), "name")
-    return tags.unionByName(numbered)
+    largest = tags.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return tags.unionByName(numbered(fresh, "name", "__k").select((F.col("__k") + largest).cast(tags.schema["id"].dataType).alias("id"), "name"))
 
 
 def retag_articles(articles: DataFrame, tags: DataFrame, ids: DataFrame, name: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +147,8 @@ def append_site_dynamics(rows: DataFrame, new: DataFrame, max_runes: int = 500)
     """Append entries ``(id, content, status, event_day)`` in order of id after the largest sort order."""
     trimmed = new.withColumn("content", F.trim("content")).withColumn("event_time", F.try_to_timestamp("event_day", F.lit("yyyy-MM-dd")).cast(rows.schema["event_time"].dataType))
     require(trimmed.where((F.col("content") == "") | (F.length("content") > max_runes) | F.col("event_time").isNull()), "bad content or day")
-    order = F.row_number().over(W.orderBy("id")) + rows.agg(F.coalesce(F.max("sort_order"), F.lit(0))).scalar()
-    return rows.unionByName(trimmed.withColumn("sort_order", order.cast(rows.schema["sort_order"].dataType)).select(*rows.columns))
+    order = F.col("__k") + rows.agg(F.coalesce(F.max("sort_order"), F.lit(0))).scalar()
+    return rows.unionByName(numbered(trimmed, "id", "__k").withColumn("sort_order", order.cast(rows.schema["sort_order"].dataType)).select(*rows.columns))
 
 
 def reorder_site_dynamics(rows: DataFrame, order: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def normalize_provider_profiles(raw: DataFrame, users: DataFrame) -> DataFrame:
     )
     google = raw.where(F.col("provider") == "google").select("seq", "provider", F.nullif(o["sub"], F.lit("")).alias("provider_user_id"), trimmed(o["name"]).alias("display_name"), o["picture"].alias("avatar_url"), o["profile"].alias("profile_url"), o["email"].alias("email"))
     rows = github.unionByName(google).where("provider_user_id is not null and display_name is not null")
-    fresh = rows.join(users.select("provider", "provider_user_id"), ["provider", "provider_user_id"], "left_anti").select("seq", F.row_number().over(W.orderBy("seq")).alias("k"))
+    fresh = numbered(rows.join(users.select("provider", "provider_user_id"), ["provider", "provider_user_id"], "left_anti").select("seq"), "seq", "k")
     number = F.when(F.col("handle").rlike("^[0-9]+$"), F.col("handle")).try_cast("long")
     top = users.agg(F.coalesce(F.max(F.when(number > 0, number)), F.lit(0).cast("long"))).scalar()
     return rows.join(fresh, "seq", "left").withColumn("handle", F.coalesce(pad_handle(top + F.col("k")), F.lit(""))).drop("k")

@@ -139,7 +139,31 @@ def _(spark, sf):
     return risk.risk_rate_chain(_req(spark, sf), _TIGHT).select("request_id", "rate_reason")
 
 
-@query("risk_decisions")
+def _kept(k: str, keys: str, source: str) -> str:
+    """The first event of a key and each one over a minute after the last kept one."""
+    return f""", n{k} as (select request_id, server_ms, concat_ws('/', {keys}) as key, row_number() over (partition by concat_ws('/', {keys}) order by server_ms, request_id) as rn from {source}),
+f{k} as (select key, rn, request_id, server_ms as kept_at, true as kept from n{k} where rn = 1
+union all select n.key, n.rn, n.request_id, case when n.server_ms > f.kept_at + 60000 then n.server_ms else f.kept_at end, n.server_ms > f.kept_at + 60000 from f{k} f join n{k} n on n.key = f.key and n.rn = f.rn + 1)"""
+
+
+# Each layer sees what the ones before it have let through.
+_DECIDE = (
+    f", base as (select *, {_L1} as l1, {_L2} as l2, {_B} as b, {_BR} as br, target_id <> repeat('0', 32) as real, case when fp = '' then 'FINGERPRINT_BAD' when abs(server_ms - client_ms) > 120000 then 'TS_SKEW' end as bad from risk_request), s0 as (select * from base where bad is null)"
+    + _kept("n", "scene, nonce", "s0")
+    + ", s1 as (select s0.* from s0 join fn using (request_id) where kept and l1 is null and l2 >= 60)"
+    + _rates("s1")
+    + f""", s2 as (select *, case when real and scene = 'view-log' then greatest(0, least(100, (l2 * 70 + b * 30) // 100)) else greatest(0, least(100, (l2 * 60 + b * 40) // 100)) end as total from a3),
+s3 as (select *, case when real and scene = 'view-log' and br = 'DWELL_TOO_SHORT' then 'VIEWLOG_DWELL_TOO_SHORT' when real and scene = 'view-log' and total < {risk.VIEW_MIN} then 'VIEWLOG_COMBINED:' || br when real and scene <> 'view-log' and b < {risk.BEHAVIOR_MIN} then 'L4_BEHAVIOR:' || br end as weak from s2),
+s4 as (select * from s3 where weak is null and real)"""
+    + _kept("d", "scene, fp, target_id", "s4")
+    + f""" select r.request_id, r.scene, case when r.bad is not null or not fn.kept then 'bad_request' when r.l1 is not null or r.l2 < 60 then 'silent' when {_RATE} is not null then 'rate_limited' when weak is not null or not fd.kept then 'silent' else 'accept' end as decision,
+coalesce(r.bad, case when not fn.kept then 'NONCE_REPLAY' end, r.l1, case when r.l2 < 60 then 'L2_SCORE' end, {_RATE}, weak, case when not fd.kept then 'L3_DEDUP' end, 'ACCEPTED') as reason,
+cast(case when r.bad is not null or not fn.kept then 0 when r.l1 is not null then {risk.L2_START} when s3.request_id is null or weak = 'VIEWLOG_DWELL_TOO_SHORT' then r.l2 else s3.total end as bigint) as score
+from base r left join fn using (request_id) left join f1 using (request_id) left join f2 using (request_id) left join f3 using (request_id) left join s3 using (request_id) left join fd using (request_id)"""
+)
+
+
+@query("risk_decisions", _recursive("risk_request", _DECIDE))
 def risk_decisions(spark, sf):
     return risk.risk_decisions(_req(spark, sf), _TIGHT).select("request_id", "scene", "decision", "reason", "score")
 
