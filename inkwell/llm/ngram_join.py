@@ -20,7 +20,7 @@ from inkwell.llm.common import checkpointed, components, map_text
 from inkwell.llm.similar import attach, blocked, compatible, link_groups, packed, shingles, signature, uncovered, unpacked
 
 LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets
-SHINGLES = 2_000_000  # of about so many shingles
+SHINGLES = 3_000_000  # of about so many shingles
 PART = 1000  # documents that Python looks at together
 
 
