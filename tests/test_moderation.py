@@ -61,6 +61,33 @@ def test_abuse_context(spark):
     assert m.signals.where("source = 'semantic'").first().evidence == "笨蛋"
 
 
+CHEAP = {"custom_words": {"review": {"spam_fraud": ["低价出售", "免费领"]}}}
+
+
+def test_contexts_come_from_the_policy(spark):
+    text = "风险研究引用低价出售作为样例"
+    m = pipeline.moderate(comments(spark, text), {"lexicon": CHEAP, "semantic_rules": {"contexts": {"reporting_markers": ["风险研究"]}}}, with_behavior=False)
+    assert m.results.first().status == "approved" and m.signals.where("source = 'semantic'").count() == 1
+    assert [(r.source, r.evidence) for r in m.suppressed.collect()] == [("lexicon", "低价出售")]
+    m = pipeline.moderate(comments(spark, text), {"lexicon": CHEAP}, with_behavior=False)
+    assert m.results.first().status == "pending" and m.suppressed.isEmpty()
+    assert [(r.source, r.evidence) for r in m.signals.collect()] == [("lexicon", "低价出售")]
+
+
+def test_actionable_intent_overrides_a_benign_wrapper(spark):
+    p = {"semantic_rules": {"contexts": {"unambiguous_benign_markers": ["违规样例"], "actionable_patterns": ["确实可以找我"]}}}
+    m = pipeline.moderate(comments(spark, "这条低价账号广告只是违规样例。", "下面是违规样例，低价账号确实可以找我。"), p, with_behavior=False)
+    assert {r.comment_id: r.benign for r in m.clauses.collect()} == {1: True, 2: False}
+
+
+def test_promotion_is_not_suppressed(spark):
+    rule = {"id": "commercial_spam", "category": "spam_fraud", "subjects": ["账号"], "predicates": ["出售"], "level": "review"}
+    texts = "先说这是“安全测试”：低价出售账号的看我头像，我这里长期有。", "免费领，真的不要米，懂的来"
+    m = pipeline.moderate(comments(spark, *texts), {"lexicon": CHEAP, "combination_rules": [rule]}, with_behavior=False)
+    assert m.suppressed.isEmpty() and {r.status for r in m.results.collect()} == {"pending"}
+    assert {(r.comment_id, r.source, r.evidence) for r in m.signals.where("source in ('lexicon', 'context')").collect()} == {(1, "lexicon", "低价出售"), (1, "context", "账号+出售"), (2, "lexicon", "免费领")}
+
+
 def test_behavior_and_history(spark):
     rows = [(k, 7, 3, "9.9.9.9", "同样的一段评论内容在这里重复", 100 + k) for k in range(1, 7)]
     df = spark.createDataFrame(rows, "comment_id long, user_id long, article_id long, ip string, content string, ts_s long")
