@@ -4,8 +4,9 @@ Shingles are ordered with frequent ones last. A document of n shingles whose par
 shares at least l tokens of the first n - o + l with each partner, for any l up to o; with different l, the smaller
 counts. Each document picks its own l by estimated cost: a longer prefix posts more tokens, but asks for more matches
 and so leaves fewer candidates. Tokens meet in buckets, packed in one row per document and bucket; documents without
-enough shared prefix tokens drop out before any set is moved; the others meet under the smallest member of their tokens
-and are verified exactly. Exact copies count once.
+enough shared prefix tokens drop out; the others meet under the smallest member of their tokens, where prefixes are
+compared pair by pair. Only members of the pairs that share enough move their sets and are verified exactly. Exact
+copies count once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from inkwell.llm.common import checkpointed, components, map_text
-from inkwell.llm.similar import attach, blocked, compatible, link_groups, packed, shingles, signature, uncovered, unpacked
+from inkwell.llm.similar import attach, blocked, compatible, flood, link_groups, members, packed, shingles, signature, uncovered, unpacked
 
 LOCAL = 4  # a shingle is reported as frequent by a task that sees it in so many different sets
 SHINGLES = 3_000_000  # of about so many shingles
@@ -183,6 +184,23 @@ def meet(t: pa.Table, percent: int) -> pa.Table:
     return pa.concat_tables(parts)
 
 
+def prefix_row(s: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
+    """The matches that a set asks for, its size, and 32 bits of each prefix token. Tokens alike in these bits are kept, so
+    that shared tokens may be counted too high, never too low."""
+    need, rare, at = prefix(s, frequent, percent)
+    return np.concatenate(([need, len(s)], np.sort(np.concatenate((rare, frequent.token[at])) & 0xFFFFFFFF))).astype(np.uint32)
+
+
+def near_members(t: pa.Table, percent: int) -> pa.Table:
+    """Members of a block pair whose prefixes share what one of the two asks for, with the smallest member that such pairs
+    connect them to."""
+    node, rows = members(t, np.uint32)
+    need, size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    root = flood([r[2:] for r in rows], percent, size, lambda i, rest, both: both >= np.minimum(need[i], need[rest]))
+    several = np.bincount(root, minlength=len(root))[root] > 1
+    return pa.table({"leader": pa.array(node[root[several]], pa.int64()), "member": pa.array(node[several], pa.int64())})
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, min_frequent: int = 16, max_frequent: int = 200_000, bucket_shingles: int = 8_000_000) -> DataFrame:
     """Per row: its id, ``n_shingles``, ``component_id`` (the smallest id reachable by links of ``percent``), ``sig`` (the
     signature of its set) and ``first``: its set and id are those that stand for the component, or it links with nothing.
@@ -220,23 +238,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     needs = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * F.lit(percent) / 100) / 10))  # the least that a partner of the size asks for
     whole = met.groupBy("member").agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
     groups = uncovered(checkpointed(whole.where(F.col("k") >= needs).select(F.explode("leaders").alias("leader"), "member", "n")))
-    blocks = blocked(compatible(groups, percent))
-    places = blocks.groupBy("member").agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
-    wanted = checkpointed(classes.withColumnRenamed("sig", "member").join(places, "member").select(F.col("node").alias("id"), F.col("member").alias("want"), "places"))
 
-    def load(batches):
-        for b in batches:
-            kept, tokens = [], []
-            for k, (want, s) in enumerate(zip(b.column("want").to_pylist(), _sets(b.column("text")), strict=True)):
-                if signature(s) == want:
-                    kept.append(k)
-                    tokens.append(s.tobytes())
-            rows = b.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("want"), rows.column("places"), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
-
-    sets = attach(src, wanted, "id").select("want", "text", "places").mapInArrow(load, "node long, places array<struct<leader long, i int, j int>>, tokens binary")
-    rows_of = sets.select(F.explode("places").alias("p"), "node", "tokens").select("p.leader", "p.i", "p.j", "node", "tokens")
-    edges = link_groups(rows_of, percent, lambda s: _gate(s, frequent, percent))
+    def inside(groups: DataFrame, pack) -> DataFrame:
+        """What ``pack`` makes of each member's set, in every block pair of its groups."""
+        places = blocked(groups).groupBy("member").agg(F.collect_list(F.struct("leader", "i", "j")).alias("places"))
+        wanted = checkpointed(classes.withColumnRenamed("sig", "member").join(places, "member").select(F.col("node").alias("id"), F.col("member").alias("want"), "places"))
+
+        def load(batches):
+            for b in batches:
+                for part in (b.slice(at, PART) for at in range(0, b.num_rows, PART)):
+                    kept, tokens = [], []
+                    for k, (want, s) in enumerate(zip(part.column("want").to_pylist(), _sets(part.column("text")), strict=True)):
+                        if signature(s) == want:
+                            kept.append(k)
+                            tokens.append(pack(s).tobytes())
+                    rows = part.take(pa.array(kept, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([rows.column("want"), rows.column("places"), pa.array(tokens, pa.binary())], names=["node", "places", "tokens"])
+
+        sets = attach(src, wanted, "id").select("want", "text", "places").mapInArrow(load, "node long, places array<struct<leader long, i int, j int>>, tokens binary")
+        return sets.select(F.explode("places").alias("p"), "node", "tokens").select("p.leader", "p.i", "p.j", "node", "tokens")
+
+    # Members that share enough of their prefixes with another one form groups under the smallest of them.
+    prefixes = inside(compatible(groups, percent), lambda s: prefix_row(s, frequent, percent))
+    near = prefixes.groupBy("leader", "i", "j").applyInArrow(lambda t: near_members(t, percent), "leader long, member long")
+    edges = link_groups(inside(uncovered(checkpointed(near.distinct())), lambda s: s), percent)
     found = components(edges).withColumnRenamed("node", "sig")
     named = classes.join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = named.groupBy("component").agg(F.min(F.struct("node", "sig")).alias("of"))
@@ -265,8 +290,3 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links of ``percent``; cases
     and ``limits`` as in :func:`link_documents`."""
     return link_documents(docs, id_col, text_col, percent, **limits).select(id_col, "n_shingles", "component_id")
-
-
-def _gate(s: np.ndarray, frequent: Frequent, percent: int) -> tuple[int, np.ndarray]:
-    need, rare, at = prefix(s, frequent, percent)
-    return need, np.sort(np.concatenate((rare, frequent.token[at])))

@@ -69,17 +69,20 @@ def unpacked(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind) if len(col) else np.zeros(0, kind), np.diff(at) // size
 
 
-def flood(sets: list[np.ndarray], percent: int, may=None, index_from: int = 48) -> np.ndarray:
-    """Component root (an index) of every set, by exact links. ``may(i, j)`` may rule a pair out before it is verified.
+def flood(sets: list[np.ndarray], percent: int, size: np.ndarray | None = None, fits=None, index_from: int = 48) -> np.ndarray:
+    """Component root (the smallest index) of every set, by exact links.
 
     Linking spreads from a set to those not reached yet, so members of a tight group are not compared with each other.
-    Larger groups count overlaps through an index over their elements.
+    Larger groups count overlaps through an index over their elements. Where ``sets`` are parts of sets, ``size`` gives
+    the whole sizes and ``fits(i, rest, both)`` says which of ``rest`` set i links with, given the elements they share;
+    elements repeated in a part may count more than once.
     """
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
+    size = np.array([len(s) for s in sets], np.int64) if size is None else size
+    fits = fits or (lambda i, rest, both: linked(size[i], size[rest], both, percent))
     root = np.full(m, -1)
     if m > index_from:
-        tok, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
+        tok, doc = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
         order = np.argsort(tok, kind="stable")
         doc = doc[order]
         ids = np.empty(len(tok), np.int64)
@@ -87,7 +90,7 @@ def flood(sets: list[np.ndarray], percent: int, may=None, index_from: int = 48)
         new = np.concatenate(([True], sorted_tok[1:] != sorted_tok[:-1])) if len(tok) else np.zeros(0, bool)
         ids[order] = np.cumsum(new) - 1
         first = np.append(np.flatnonzero(new), len(tok))
-        at = np.concatenate(([0], np.cumsum(size)))
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     for r in range(m):
         if root[r] >= 0:
             continue
@@ -106,9 +109,9 @@ def flood(sets: list[np.ndarray], percent: int, may=None, index_from: int = 48)
                 lens = first[own + 1] - first[own]
                 where = np.repeat(first[own] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
                 both = np.bincount(doc[where], minlength=m)[rest]
-                found = rest[linked(size[i], size[rest], both, percent)]
             else:
-                found = np.array([j for j in rest if (may is None or may(i, j)) and linked(size[i], size[j], shared(sets[i], sets[j]), percent)], np.int64)
+                both = np.array([shared(sets[i], sets[j]) for j in rest])
+            found = rest[fits(i, rest, both)]
             root[found] = r
             todo.extend(found.tolist())
     return root
@@ -159,36 +162,24 @@ def compatible(groups: DataFrame, percent: int) -> DataFrame:
     return g.join(several, ["leader", "slot"]).select("leader", "member").distinct()
 
 
-def link_groups(rows: DataFrame, percent: int, gate=None) -> DataFrame:
-    """Spanning edges ``(a, b)`` of the exact links inside every block pair of ``rows(leader, i, j, node, tokens)``.
-
-    ``gate(tokens) -> (need, prefix)`` gives the shared prefix tokens that a pair must have before it is verified: the
-    smaller need of the two.
-    """
-    schema = "a long, b long"
+def link_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges ``(a, b)`` of the exact links inside every block pair of ``rows(leader, i, j, node, tokens)``."""
 
     def run(t: pa.Table) -> pa.Table:
-        node = np.array(t.column("node").to_pylist())
-        order = np.argsort(node, kind="stable")
-        packed = t.column("tokens").to_pylist()
-        sets = [np.frombuffer(packed[k], np.int64) for k in order]
-        node = node[order]
-        may = None
-        if gate is not None and len(sets) <= 48:
-            known: dict[int, tuple[int, np.ndarray]] = {}
-
-            def may(i: int, j: int) -> bool:
-                for k in (i, j):
-                    if k not in known:
-                        known[k] = gate(sets[k])
-                (need, p), (other, q) = known[i], known[j]
-                return shared(p, q) >= min(need, other)
-
-        root = flood(sets, percent, may)
+        node, sets = members(t, np.int64)
+        root = flood(sets, percent)
         keep = root != np.arange(len(root))
         return pa.table({"a": pa.array(node[root[keep]], pa.int64()), "b": pa.array(node[keep], pa.int64())})
 
-    return rows.groupBy("leader", "i", "j").applyInArrow(run, schema)
+    return rows.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def members(t: pa.Table, kind: type) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nodes of a block pair, smallest first, and their packed tokens."""
+    node = t.column("node").to_numpy()
+    order = np.argsort(node, kind="stable")
+    held = t.column("tokens").to_pylist()
+    return node[order], [np.frombuffer(held[k], kind) for k in order]
 
 
 def attach(src: DataFrame, wanted: DataFrame, key: str, max_words: int = 1 << 20) -> DataFrame:
