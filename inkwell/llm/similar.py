@@ -14,6 +14,7 @@ from inkwell.llm.common import checkpointed
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _x64 = xxhash.xxh3_64_intdigest
 SHINGLE = 5
+SALTS = 64  # keys over which a large group is dealt to meet its count
 
 
 def rolled(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -140,9 +141,13 @@ def uncovered(groups: DataFrame) -> DataFrame:
 
 def blocked(groups: DataFrame, block: int = 512) -> DataFrame:
     """Split groups of over ``block`` members into pairs of blocks: ``(leader, i, j, member)``, where every two members of
-    a group meet in one of its block pairs. No task holds more than about two blocks of a group."""
-    counts = groups.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    g = groups.join(counts, "leader").withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    a group meet in one of its block pairs. No task holds more than about two blocks of a group: counts are combined before
+    they move, and members meet the count of a large group under a salted key."""
+    large = groups.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    h = F.xxhash64("member")
+    g = groups.withColumn("salt", F.pmod(h, F.lit(SALTS)).cast("int")).join(large, ["leader", "salt"], "left")
+    g = g.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(h, F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("b")) | (F.col("blocks") == 1))
     g = g.withColumn("o", F.explode(others))
     return g.select("leader", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "member")

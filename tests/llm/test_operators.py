@@ -281,6 +281,24 @@ def test_ngram_join_ids_and_empty(spark):
     assert ngram_join.ngram_join(docs(spark, [])).collect() == []
 
 
+def test_prefixes_lose_no_link():
+    rng = random.Random(17)
+    base = [prose(rng.randrange(40, 90), rng) for _ in range(6)]
+    sets = [similar.shingles(near(rng.choice(base), rng, rng.randrange(0, 4)).encode().split()) for _ in range(80)]
+    seen = np.sort(np.concatenate(sets))
+    often = np.unique(seen)[::3]
+    count = np.searchsorted(seen, often, "right") - np.searchsorted(seen, often)
+    frequent = ngram_join.Frequent(often, count, np.zeros(len(often), np.int64))
+    for part in (sets, sets[:40]):  # through the index, and one by one
+        tokens = pa.array([ngram_join.prefix_row(s, frequent, 75).tobytes() for s in part], pa.binary())
+        met = ngram_join.near_members(pa.table({"node": pa.array(range(len(part)), pa.int64()), "tokens": tokens}), 75)
+        leader = dict(zip(met.column("member").to_pylist(), met.column("leader").to_pylist(), strict=True))
+        exact = components_of([set(s.tolist()) for s in part])
+        assert len(set(exact)) < len(part)
+        assert all(leader[i] == leader[r] for i, r in enumerate(exact) if r != i)
+        assert all(x <= m for m, x in leader.items())
+
+
 def test_flood_and_blocks(spark):
     rng = random.Random(7)
     base = prose(60, rng)
@@ -292,6 +310,9 @@ def test_flood_and_blocks(spark):
     groups = spark.range(1100).selectExpr("1L as leader", "id as member")
     met = similar.blocked(groups, 400).groupBy("i", "j").agg(F.count("*").alias("n")).collect()
     assert len(met) == 3 and max(r.n for r in met) < 1000
+    small = spark.range(7).selectExpr("2L as leader", "id as member")
+    met = similar.blocked(groups.union(small), 400).where("leader = 2").collect()
+    assert sorted((r.i, r.j, r.member) for r in met) == [(0, 0, k) for k in range(7)]
 
 
 def test_paragraphs_match_brute_force(spark):
