@@ -65,20 +65,38 @@ def worker_cache(name: str, make: Callable[[], object] = dict):
     return _CACHES[name]
 
 
+LARGE = 512  # rows of one key that may meet in one task
+SALTS = 64  # tasks to which the rows of a larger key are dealt
+
+
+def beside(rows: DataFrame, side: DataFrame, key: Sequence[str], by: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for a key and says in ``large`` whether over ``LARGE`` rows have it.
+
+    Rows of large keys are dealt by a hash of ``by`` and meet one of ``SALTS`` copies of the key's row of ``side``; all other
+    rows meet it by key. Rows without one go.
+    """
+    many = side.where("large").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    salted = [*key, "__salt"]
+    other = dealt.join(many.select(*salted), salted, "left_anti").join(side.where("not large"), [*key])
+    return other.unionByName(dealt.join(many, salted)).drop("__salt", "large")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, component)`` per node, component = smallest node.
 
     Alternates the two star contractions (every node points its larger neighbours at its smallest one, then its
     smaller-or-equal neighbours), which halves path lengths each round; each round is aggregated with map-side
-    combining, and its result is checkpointed. Nulls and self loops are ignored; an empty input gives no rows.
+    combining, the neighbours of a node of many are dealt to many tasks, and the result is checkpointed. Nulls and self loops are ignored; an empty input gives no rows.
     """
     nodes_of = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     cur = checkpointed(edges.where("a is not null and b is not null and a <> b").select(*nodes_of).distinct())
     last = None
     for _ in range(max_rounds):
         both = cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), (F.count("*") > LARGE).alias("large"))
+        larger = cur.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+        big = beside(larger, least, ["u"], "v").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         big = big.where("lo <> hi").distinct()
         down = big.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))

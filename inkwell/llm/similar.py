@@ -9,12 +9,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from inkwell.llm.common import checkpointed
+from inkwell.llm.common import LARGE, SALTS, beside, checkpointed
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _x64 = xxhash.xxh3_64_intdigest
 SHINGLE = 5
-SALTS = 64  # keys over which a large group is dealt to meet its count
 
 
 def rolled(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -131,15 +130,17 @@ def leader_groups(postings: DataFrame) -> DataFrame:
 
 def uncovered(groups: DataFrame) -> DataFrame:
     """The checkpointed ``groups(leader, member, ...)`` without those all of whose members also meet in the group that their
-    leader belongs to under a smaller leader."""
+    leader belongs to under a smaller leader; checkpointed again."""
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("size"), (F.count("*") > LARGE).alias("large"))
     above = groups.groupBy("member").agg(F.min("leader").alias("above")).where("above < member").withColumnRenamed("member", "leader")
     there = groups.select(F.col("leader").alias("above"), "member", F.lit(1).alias("hit"))
-    met = groups.select("leader", "member").join(above, "leader").join(there, ["above", "member"], "left")
-    covered = met.groupBy("leader").agg(F.count("*").alias("n"), F.count("hit").alias("k")).where("n = k").select("leader")
-    return groups.join(covered, "leader", "left_anti")
+    met = beside(groups.select("leader", "member"), above.join(sizes, "leader"), ["leader"], "member").join(there, ["above", "member"], "left")
+    covered = met.groupBy("leader").agg(F.first("size").alias("size"), F.count("hit").alias("k")).where("size = k").select("leader")
+    kept = sizes.join(covered, "leader", "left_anti").drop("size")
+    return checkpointed(beside(groups, kept, ["leader"], "member").select(*groups.columns))
 
 
-def blocked(groups: DataFrame, block: int = 512) -> DataFrame:
+def blocked(groups: DataFrame, block: int = LARGE) -> DataFrame:
     """Split groups of over ``block`` members into pairs of blocks: ``(leader, i, j, member)``, where every two members of
     a group meet in one of its block pairs. No task holds more than about two blocks of a group: counts are combined before
     they move, and members meet the count of a large group under a salted key."""
@@ -159,12 +160,13 @@ def size_class(n: Column, percent: int) -> Column:
 
 
 def compatible(groups: DataFrame, percent: int) -> DataFrame:
-    """Of ``groups(leader, member, n)`` the members that another member of their group may fit in size. Members are counted
-    per leader and size class with map-side combining, so a group of any size is spread over its members."""
+    """Of ``groups(leader, member, n)`` the members that another member of their group may fit in size, checkpointed.
+    Members are counted per leader and size class with map-side combining, and those of large classes meet their count
+    under salted keys."""
     g = groups.where("n > 0").withColumn("slot", size_class(F.col("n"), percent))
-    g = g.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1)))
-    several = g.groupBy("leader", "slot").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return g.join(several, ["leader", "slot"]).select("leader", "member").distinct()
+    g = g.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1))).select("leader", "member", "slot")
+    several = g.groupBy("leader", "slot").agg(F.count("*").alias("k")).where("k > 1").select("leader", "slot", (F.col("k") > LARGE).alias("large"))
+    return checkpointed(beside(g, several, ["leader", "slot"], "member").select("leader", "member").distinct())
 
 
 def link_groups(rows: DataFrame, percent: int) -> DataFrame:

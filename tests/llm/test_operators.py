@@ -554,3 +554,29 @@ def test_escape(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     r = df.select(chat.unescape(chat.escape(F.col("t"))).alias("a"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("b"), chat.escape(F.col("t")).alias("c")).first()
     assert r.a == text == r.b and "<|i" not in r.c
+
+
+def test_large_keys_meet_under_salts(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, 1L, id) as leader", "id as member").union(spark.createDataFrame([(None, 5), (7, None)], "leader long, member long"))
+    side = rows.groupBy("leader").agg((F.count("*") > common.LARGE).alias("large"), F.max("member").alias("top")).where("leader is null or leader <> 2500")
+    got = sorted((r.leader, r.member if r.member is not None else -1, r.top) for r in common.beside(rows, side, ["leader"], "member").collect())
+    plain = rows.join(side, "leader").select("leader", "member", "top").collect()
+    assert got == sorted((r.leader, r.member if r.member is not None else -1, r.top) for r in plain)
+
+
+def test_large_groups_keep_their_members(spark):
+    star = [(1, k) for k in range(1, 1500)]
+    inner = [(2, k) for k in range(2, 1400)]  # all of it meets under 1 too
+    other = [(3, k) for k in range(3, 1000)] + [(3, 5000)]  # 5000 meets no one under 1
+    groups = common.checkpointed(spark.createDataFrame(star + inner + other, "leader long, member long"))
+    got = {(r.leader, r.member) for r in similar.uncovered(groups).collect()}
+    assert got == set(star) | set(other)
+    sized = groups.withColumn("n", F.when(F.col("member") == 5000, 9000).otherwise(100))
+    got = {(r.leader, r.member) for r in similar.compatible(sized, 75).collect()}
+    assert got == set(star) | set(inner) | set(other) - {(3, 5000)}
+
+
+def test_components_of_a_large_star(spark):
+    edges = [(0, k) for k in range(1, 1200)] + [(5000 + k, 5001 + k) for k in range(5)] + [(1199, 5003)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 1206 and set(got.values()) == {0}
