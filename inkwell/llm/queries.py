@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from inkwell.llm import chat, decontaminate as decon, html_extract, ngram_join, packing, paragraph_dedup, quality_model, quality_rules, secrets, warc
+from inkwell.llm import chat, decontaminate as decon, html_extract, ngram_join, packing, paragraph_dedup, periodic_runs, quality_model, quality_rules, secrets, token_counts, warc, whitening
 from inkwell.llm.common import shared_dir, table
 
 
@@ -90,10 +90,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,51 @@ select d.doc_id, coalesce(n, 0) as n_shingles, (select min(c) from r where r.doc
 """
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), str(tokenizer_path("byte_bpe_50k.json")))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in texts whose id's crc32 ends in 0, the words from some place on repeat a stretch of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    src = docs.select("doc_id", "text", h.alias("__h"), F.floor(h / 10).alias("__g"))
+    words = F.when((F.col("__h") % 10 == 0), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    n = F.size("__w").cast("long")
+    src = src.withColumn("__w", words).withColumn("__a", F.when(n > 0, F.col("__g") % n))
+    src = src.withColumn("__p", 1 + F.floor((n - F.col("__a")) / (3 + F.col("__g") % 8)))
+    at = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("__w", at(i).cast("int"))), " ")
+    return src.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect_runs(planted_periods(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.best_run(F.col("runs")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000).cast("long") * F.col("best")["length"] / F.col("best")["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+    explained = F.array(*[F.lit(v) for v in model.explained]) if model else F.array().cast("array<double>")
+    flat = rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("pos", "whitened"))
+    return flat.select(
+        "vec_id",
+        (F.col("pos") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("pos")).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -180,6 +225,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_chat": op9_chat,
         "op10_ngram_join": op10_ngram_join,
+        "op11_token_counts": op11_token_counts,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_whitening": op13_whitening,
     }
 
 
