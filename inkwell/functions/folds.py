@@ -8,17 +8,75 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from inkwell.functions.checkpoint import checkpointed
+
 Step = Callable[[object, tuple], tuple[object, tuple]]
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: str, step: Step, active: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Silences:
+    """Where the hot keys' rows fall apart into segments: ``spans(keys, __slot, __segment)``, a row for each slot of ``reset`` with rows."""
+
+    keys: tuple[str, ...]
+    ts: str
+    reset: int
+    spans: DataFrame
+    few: bool
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``__segment``, the first slot of a row's segment; 0 for the rows of keys that are not split."""
+        names = [f"__k{i}" for i in range(len(self.keys))]
+        spans = self.spans.toDF(*names, "__at", "__segment")
+        on = _slot(F.col(self.ts), self.reset) == F.col("__at")
+        for k, n in zip(self.keys, names, strict=True):
+            on = on & F.col(k).eqNullSafe(F.col(n))
+        joined = df.join(F.broadcast(spans) if self.few else spans, on, "left")
+        return joined.select(*df.columns, F.coalesce("__segment", F.lit(0).cast("long")).alias("__segment"))
+
+
+def _slot(ts: Column, width: int) -> Column:
+    return ts - F.pmod(ts, F.lit(width).cast("long"))
+
+
+def silences(df: DataFrame, keys: Sequence[str], ts: str, reset: int, split_rows: int = 1_000_000, max_broadcast_rows: int = 200_000) -> Silences | None:
+    """Cut the keys of more than ``split_rows`` rows at silences of more than ``reset``; None if there is no such key.
+
+    Two rows of one slot of length ``reset`` are less than that apart, so a cut lies between slots: of a hot key there is one
+    narrow row a slot, with its first and last time, and the gap to the slot before decides. A fold whose state a longer
+    silence resets gives the same rows on these segments as on whole keys, and a hot key's segments go to many tasks. More
+    rows than the fold looks at (inactive ones) only make fewer cuts. Reads the keys and times of ``df`` once, those of hot keys
+    twice, and no more columns.
+    """
+    hot = checkpointed(df.groupBy(*keys).count().where(F.col("count") > split_rows).drop("count"))
+    if hot.isEmpty():
+        return None
+    on, other = F.lit(True), hot.toDF(*[f"__k{i}" for i in range(len(keys))])
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    slots = df.select(*keys, ts).join(other, on, "left_semi").groupBy(*keys, _slot(F.col(ts), reset).alias("__slot")).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
+    w = W.partitionBy(*keys).orderBy("__slot")
+    last = F.lag("__hi").over(w)
+    cut = F.when(last.isNull() | (F.col("__lo") - last > reset), F.col("__slot"))
+    spans = slots.withColumn("__cut", cut).withColumn("__segment", F.max("__cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    spans = checkpointed(spans.select(*keys, "__slot", "__segment"))
+    return Silences(tuple(keys), ts, reset, spans, spans.count() <= max_broadcast_rows)
+
+
+def ordered_fold(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: str, step: Step, active: Column | None = None, split: Silences | None = None
+) -> DataFrame:
     """Add ``outputs`` by ``step(state, inputs) -> (state, outputs)`` over each key's rows in ``order``; the state starts as
-    None. Rows that are not ``active`` pass through with null outputs and leave the state alone."""
+    None. Rows that are not ``active`` pass through with null outputs and leave the state alone. With ``split`` (of the same keys
+    and time, and a silence after which ``step`` starts anew) a hot key's segments are folded each by itself."""
+    if split is not None:
+        marked = ordered_fold(split.marked(df), [*keys, "__segment"], order, inputs, outputs, step, active)
+        return marked.drop("__segment")
     added = T._parse_datatype_string(outputs)
     schema = T.StructType(df.schema.fields + added.fields)
     arrow = to_arrow_schema(schema)

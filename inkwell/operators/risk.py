@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkwell.operators.rates import anchored_rate, throttle_first
+from inkwell.operators.rates import SPLIT_ROWS, anchored_rate, throttle_first
 
 # User-agent marks, fetch modes, scores and limits.
 UA_BLOCKED = "bot spider crawl slurp googlebot baiduspider bingbot yandexbot duckduckbot headless phantomjs curl wget python-requests go-http-client".split()
@@ -157,18 +157,18 @@ def _limit(k: int, scale: dict | None = None) -> Column:
     return (out.otherwise(limits[None][k]) if out is not F else F.lit(limits[None][k])).cast("long")
 
 
-def risk_rate_chain(df: DataFrame, limits: dict | None = None, active: Column | None = None, ts: str = "server_ms", tie: str = "request_id") -> DataFrame:
+def risk_rate_chain(df: DataFrame, limits: dict | None = None, active: Column | None = None, ts: str = "server_ms", tie: str = "request_id", split_rows: int | None = SPLIT_ROWS, source: DataFrame | None = None) -> DataFrame:
     """Address per minute, address per hour, fingerprint per minute; the first one exceeded stops the chain, so later
     counters do not see the request. Adds ``rate_reason`` (null if none)."""
     out = df.withColumn("rate_reason", F.lit(None).cast("string"))
     on = active if active is not None else F.lit(True)
     for k, (column, window, reason) in enumerate((("ip", 60_000, "L3_RATE_IP"), ("ip", 3_600_000, "L3_RATE_IP"), ("fp", 60_000, "L3_RATE_FP"))):
-        out = anchored_rate(out.withColumn("__limit", _limit(k, limits)), ["scene", column], window, "__limit", ts, tie, on & F.col("rate_reason").isNull(), "__n")
+        out = anchored_rate(out.withColumn("__limit", _limit(k, limits)), ["scene", column], window, "__limit", ts, tie, on & F.col("rate_reason").isNull(), "__n", split_rows, source if source is not None else df)
         out = out.withColumn("rate_reason", F.when(F.col("__n_exceeded"), reason).otherwise(F.col("rate_reason"))).drop("__n_count", "__n_exceeded", "__limit")
     return out
 
 
-def risk_decisions(requests: DataFrame, limits: dict | None = None) -> DataFrame:
+def risk_decisions(requests: DataFrame, limits: dict | None = None, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Every request's ``decision``, ``reason`` and ``score``, through all layers in order.
 
     A request that a layer decides rides along without touching the state of later layers. ``token_target_id``, where
@@ -187,12 +187,12 @@ def risk_decisions(requests: DataFrame, limits: dict | None = None) -> DataFrame
         return df.withColumn("decision", F.when(F.col("__r").isNotNull(), decision).otherwise(F.col("decision"))).withColumn("reason", F.coalesce("reason", "__r")).drop("__r")
 
     alive = F.col("reason").isNull()
-    df = throttle_first(df, ["scene", "nonce"], NONCE_TTL_MS, "server_ms", "request_id", alive, "__kept")
+    df = throttle_first(df, ["scene", "nonce"], NONCE_TTL_MS, "server_ms", "request_id", alive, "__kept", split_rows, requests)
     df = settle(df, F.when(~F.col("__kept"), "NONCE_REPLAY"), "bad_request").drop("__kept")
     df = settle(df, l1_reason(), "silent", F.lit(L2_START).cast("long"))
     df = df.withColumn("__l2", l2_score()).withColumn("score", F.when(alive, F.col("__l2")).otherwise(F.col("score")))
     df = settle(df, F.when(F.col("__l2") < L2_MIN, "L2_SCORE"), "silent")
-    df = risk_rate_chain(df, limits, alive)
+    df = risk_rate_chain(df, limits, alive, split_rows=split_rows, source=requests)
     df = settle(df, F.col("rate_reason"), "rate_limited").drop("rate_reason")
     score, reason = behavior_columns()
     df = df.withColumn("__b", score).withColumn("__br", reason)
@@ -201,7 +201,7 @@ def risk_decisions(requests: DataFrame, limits: dict | None = None) -> DataFrame
     weighed = F.when(real, combined_score(F.col("scene"), F.col("__l2"), F.col("__b"))).otherwise(_clamped(F.floor((F.col("__l2") * 60 + F.col("__b") * 40) / 100)))
     df = df.withColumn("score", F.when(alive, weighed).otherwise(F.col("score")))
     df = settle(df, F.when(real & viewing & (F.col("score") < VIEW_MIN), F.concat(F.lit("VIEWLOG_COMBINED:"), "__br")).when(real & ~viewing & (F.col("__b") < BEHAVIOR_MIN), F.concat(F.lit("L4_BEHAVIOR:"), "__br")), "silent")
-    df = throttle_first(df, ["scene", "fp", "target_id"], DEDUP_TTL_MS, "server_ms", "request_id", alive & real, "__kept")
+    df = throttle_first(df, ["scene", "fp", "target_id"], DEDUP_TTL_MS, "server_ms", "request_id", alive & real, "__kept", split_rows, requests)
     df = settle(df, F.when(~F.col("__kept"), "L3_DEDUP"), "silent")
     df = df.withColumn("decision", F.coalesce("decision", F.lit("accept"))).withColumn("reason", F.coalesce("reason", F.lit("ACCEPTED")))
     return df.select(*columns, "decision", "reason", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import columns as C
 from inkwell.operators import rates, risk
-from inkwell.plans.registry import query
+from inkwell.plans.registry import ORACLES, query
 from inkwell.plans.views import view, with_views
 
 _L1 = f"""case when user_agent = '' or {' or '.join(f"contains(lower(user_agent), '{x}')" for x in risk.UA_BLOCKED)} then 'L1_UA'
@@ -113,6 +113,20 @@ def _(spark, sf):
     return rates.anchored_rate(r, ["scene", "ip"], 60_000, "limit", "server_ms", "request_id").select("request_id", "rate_count", "rate_exceeded")
 
 
+# The same with every key cut at silences: rows of one address are folded in many tasks.
+
+
+@query("throttle_first_split", ORACLES["throttle_first_view"])
+def _(spark, sf):
+    return rates.throttle_first(_req(spark, sf), ["scene", "fp", "target_id"], 60_000, "server_ms", "request_id", split_rows=20).select("request_id", "kept")
+
+
+@query("anchored_rate_split", ORACLES["anchored_rate"])
+def _(spark, sf):
+    r = _req(spark, sf).withColumn("limit", F.lit(3).cast("long"))
+    return rates.anchored_rate(r, ["scene", "ip"], 60_000, "limit", "server_ms", "request_id", split_rows=20).select("request_id", "rate_count", "rate_exceeded")
+
+
 _TIGHT = {"share-create": (3, 120, 2), None: (3, 300, 2)}
 
 
@@ -208,6 +222,12 @@ def _(spark, sf):
     return out.select("attempt_id", "allowed", "admitted", "retry_ms", C.retry_after_seconds(F.col("retry_ms")).alias("retry_seconds"))
 
 
+@query("sliding_admission_split", ORACLES["sliding_admission"])
+def _(spark, sf):
+    out = rates.sliding_admission(_attempts(spark, sf), ["username"], 3, 120_000, "ts_ms", "attempt_id", split_rows=20)
+    return out.select("attempt_id", "allowed", "admitted", "retry_ms", C.retry_after_seconds(F.col("retry_ms")).alias("retry_seconds"))
+
+
 _STEP = """, n{k} as (select attempt_id, ts_ms, {key} as key, row_number() over (partition by {key} order by ts_ms, attempt_id) as rn from {source}),
 f{k} as (select key, rn, attempt_id, [ts_ms] as held, true as ok, cast(0 as bigint) as wait from n{k} where rn = 1
 union all select n.key, n.rn, n.attempt_id, case when len(list_filter(f.held, lambda x: x > n.ts_ms - 60000)) >= {limit} then list_filter(f.held, lambda x: x > n.ts_ms - 60000) else list_append(list_filter(f.held, lambda x: x > n.ts_ms - 60000), n.ts_ms) end,

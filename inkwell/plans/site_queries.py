@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from inkwell.functions import columns as C
-from inkwell.operators import catalog, community
+from inkwell.functions.checkpoint import shared_dir
+from inkwell.operators import catalog, community, search_index
 from inkwell.plans.registry import query
 from inkwell.plans.views import view, with_views
 
@@ -70,6 +72,26 @@ def _(spark, sf):
     return catalog.search_articles(*_views(spark, sf, "article tag"), word=" then ", page_size=50)
 
 
+_SEARCHED = ("then", "ing the", "Über", "zq", "no such words")
+_ONE = """(select '{w}' as word, * from (select id, title, summary, view_num, create_time, tag_name, in_title, count(*) over () as total from (select a.id, title, summary, view_num, create_time, coalesce(t.name, '') as tag_name, content,
+  contains(strip_accents(lower(title)), strip_accents(lower('{w}'))) as in_title from article a left join tag t on a.tag_id = t.id where status = 'published') where in_title or contains(content, '{w}') order by in_title desc, view_num desc, id desc limit 20))"""
+
+
+@query("indexed_search", with_views("article tag", " union all ".join(_ONE.format(w=w) for w in _SEARCHED)))
+def _(spark, sf):
+    """The article table sorted by id, its trigram index, and searches of frequent, rare, short and absent words."""
+    article, tag = _views(spark, sf, "article tag")
+    base = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    article.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{base}/article")
+    stored = spark.read.parquet(f"{base}/article")
+    search_index.add_to_index(stored, f"{base}/index")
+    out = None
+    for w in _SEARCHED:
+        rows = search_index.indexed_search(stored, tag, f"{base}/index", w, page_size=20).select(F.lit(w).alias("word"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "hot_articles",
     with_views(

@@ -6,7 +6,9 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.functions import folds
 from inkwell.operators import rates, risk
+from inkwell.operators.moderation import behavior
 from inkwell.streaming import twins
 
 random.seed(3)
@@ -107,3 +109,71 @@ def test_decisions_in_order(spark):
         0: ("accept", "ACCEPTED"), 1: ("bad_request", "NONCE_REPLAY"), 2: ("silent", "L3_DEDUP"), 3: ("silent", "L1_UA"), 4: ("silent", "VIEWLOG_DWELL_TOO_SHORT"),
         5: ("bad_request", "FINGERPRINT_BAD"), 6: ("bad_request", "TS_SKEW"), 7: ("silent", "L4_BEHAVIOR:DWELL_TOO_SHORT"),
     }
+
+
+def bursts(key, n, rng, window):
+    """Events of one key in bursts with silences between them, some of exactly the window's length."""
+    ts, out = 1_000_000 - 10 * window, []
+    for _ in range(n):
+        ts += rng.choice([0, 1, window // 3, window // 3, window - 1, window, window + 1, 5 * window])
+        out.append((key, ts))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_segments_between_silences_fold_alike(spark, broadcast, monkeypatch):
+    window, rng = 60_000, random.Random(7)
+    rows = bursts("hot", 600, rng, window) + bursts(None, 300, rng, window) + bursts("cold", 20, rng, window)
+    df = spark.createDataFrame([(i, k, t, i % 11 > 0) for i, (k, t) in enumerate(rows)], "id long, k string, ts long, on boolean").withColumn("limit", F.lit(4).cast("long"))
+    split = folds.silences(df, ["k"], "ts", window, 100, broadcast)
+    marked = split.marked(df)
+    assert marked.count() == df.count()
+    segments = {(r.k, r.n) for r in marked.groupBy("k").agg(F.countDistinct("__segment").alias("n")).collect()}
+    assert all(n == 1 if k == "cold" else n > 30 for k, n in segments)
+    for make in (
+        lambda s: rates.throttle_first(df, ["k"], window, active=F.col("on"), split_rows=s),
+        lambda s: rates.sliding_admission(df, ["k"], 3, window, active=F.col("on"), split_rows=s),
+        lambda s: rates.anchored_rate(df, ["k"], window, "limit", split_rows=s),
+    ):
+        assert sorted(map(repr, make(100).collect())) == sorted(map(repr, make(None).collect()))
+
+
+def test_a_hot_key_lies_in_many_tasks(spark):
+    rows = bursts("hot", 2000, random.Random(8), 60_000)
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "id long, k string, ts long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = lambda s: rates.throttle_first(df, ["k"], 60_000, split_rows=s).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(tasks(None)) == 1
+        many = tasks(100)
+        assert len(many) == 4 and max(r["count"] for r in many) < 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_no_hot_key_needs_no_split(events):
+    assert folds.silences(events, ["k"], "ts", 60_000) is None
+
+
+def test_chain_and_decisions_split_alike(spark):
+    rng = random.Random(9)
+    rows = [(i, t, f"u{i % 2}") for i, (_, t) in enumerate(bursts("x", 400, rng, 60_000))]
+    df = spark.createDataFrame(rows, "id long, ts long, user string").withColumn("ip", F.lit("1"))
+    rules = [rates.Rule("ip", ("ip",), 3, 60_000), rates.Rule("user", ("user",), 2, 120_000)]
+    want, got = (sorted(rates.admission_chain(df, rules, split_rows=s).collect()) for s in (None, 50))
+    assert got == want and {r.refused_by for r in got} == {None, "ip", "user"}
+
+
+def test_time_slices_count_what_a_window_has(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.choice("aab"), 10_000 + rng.randrange(-20_000, 3000) // rng.choice([1, 100])) for i in range(600)]
+    df = spark.createDataFrame(rows, "comment_id long, k string, ts_s long")
+    for seconds in (7, 60, 600):
+        got = {r.comment_id: r.n for r in behavior.with_previous(df, ["k"], seconds).collect()}
+        assert got == {i: sum(k2 == k and t - seconds <= t2 <= t and (t2, j) < (t, i) for j, k2, t2 in rows) for i, k, t in rows}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = behavior.with_previous(df.where("k = 'a'"), ["k"], 60)
+        assert one.select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
