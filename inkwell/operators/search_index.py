@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkwell.operators.catalog import search_articles
 
@@ -32,18 +33,22 @@ POSTINGS = "part int, field int, gram long, segment long, n int, ids binary"
 SEED = 0x9E3779B97F4A7C15
 
 
+#: White space with a place of its own in the collation.
+_PLAIN = frozenset("\t\n\r")
+
+
 def fold(text: str) -> str | None:
     """``text`` without case and accents, character by character; None if that is not certain to agree with the collation:
-    for all but printable ASCII, letters that are an ASCII letter with accents, and unified ideographs."""
+    for all but printable ASCII, tabs and line ends, letters that are an ASCII letter with accents (and ß, which is ss), and unified ideographs."""
     out = []
     for c in text:
-        if " " <= c <= "~" or "一" <= c <= "鿿":
+        if " " <= c <= "~" or "一" <= c <= "鿿" or c in _PLAIN:
             out.append(c.lower())
             continue
-        plain = unicodedata.normalize("NFD", c) if "À" <= c <= "ž" else ""
+        plain = "ss" if c == "ß" else unicodedata.normalize("NFD", c) if "À" <= c <= "ž" else ""
         if not ("a" <= plain[:1].lower() <= "z"):
             return None
-        out.append(plain[0].lower())
+        out.append("ss" if c == "ß" else plain[0].lower())
     return "".join(out)
 
 
@@ -136,14 +141,14 @@ def add_to_index(articles: DataFrame, path: str, parts: int = 64, spread: int =
     dealt.write.mode("append").partitionBy("part").parquet(f"{path}/of-{parts}")
 
 
-def _candidates(lists: DataFrame, wanted: int) -> DataFrame:
-    """(segment, place) that are in all of ``wanted`` lists. A group holds one segment's lists of one word."""
+def _candidates(lists: DataFrame) -> DataFrame:
+    """(segment, place) that are in all ``wanted`` lists of a kind. A group holds one segment's lists of one word."""
 
     def meet(table: pa.Table) -> pa.Table:
         segment, n, ids = (table.column(c).to_pylist() for c in ("segment", "n", "ids"))
         left = np.zeros(0, np.int64)
-        if len(ids) == wanted:
-            order = sorted(range(wanted), key=n.__getitem__)  # the rarest first
+        if len(ids) == table.column("wanted")[0].as_py():
+            order = sorted(range(len(ids)), key=n.__getitem__)  # the rarest first
             left = unpack_gaps(ids[order[0]])
             for k in order[1:]:
                 if not len(left):
@@ -151,50 +156,65 @@ def _candidates(lists: DataFrame, wanted: int) -> DataFrame:
                 left = np.intersect1d(left, unpack_gaps(ids[k]), assume_unique=True)
         return pa.table({"segment": pa.array([segment[0]] * len(left), pa.int64()), "place": pa.array(left, pa.int64())})
 
-    return lists.groupBy("segment").applyInArrow(meet, "segment long, place long")
+    return lists.groupBy("kind", "segment").applyInArrow(meet, "segment long, place long")
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index as it stood when it was opened: its files are listed once, whatever is searched."""
+
+    rows: DataFrame
+    parts: int
 
 
-def postings(spark: SparkSession, path: str, field: int, gram: np.ndarray, parts: int) -> DataFrame:
+def open_index(spark: SparkSession, path: str, parts: int = 64) -> Index:
+    return Index(spark.read.schema(POSTINGS.replace("part int, ", "") + ", part int").parquet(f"{path}/of-{parts}"), parts)
+
+
+def postings(index: Index, field: int, gram: np.ndarray) -> DataFrame:
     """The posting lists of some trigrams: reads their parts, and in these the pages that hold them."""
-    where = sorted(set(part_of(field, gram, parts).tolist()))
-    read = spark.read.schema(POSTINGS.replace("part int, ", "") + ", part int").parquet(f"{path}/of-{parts}")
-    return read.where(F.col("part").isin(*where) & (F.col("field") == field) & F.col("gram").isin(*gram.tolist())).select("gram", "segment", "n", "ids")
+    where = sorted(set(part_of(field, gram, index.parts).tolist()))
+    return index.rows.where(F.col("part").isin(*where) & (F.col("field") == field) & F.col("gram").isin(*gram.tolist())).select("gram", "segment", "n", "ids")
 
 
-def candidates(spark: SparkSession, path: str, word: str, parts: int = 64) -> DataFrame | None:
+def candidates(index: Index, word: str) -> DataFrame | None:
     """(segment, place) of the articles that may hold ``word``; None if the index cannot tell (a word under three characters,
     or one whose title form is not certain)."""
     folded = fold(word)
     if len(word) < 3 or folded is None:
         return None
-    inside, titled = grams(word), grams(folded)
-    found = _candidates(postings(spark, path, CONTENT, inside, parts), len(inside))
-    found = found.union(_candidates(postings(spark, path, TITLE, titled, parts), len(titled)))
-    return found.union(_candidates(postings(spark, path, TITLE, np.array([UNFOLDED]), parts), 1)).distinct()
+    kinds = [(CONTENT, grams(word)), (TITLE, grams(folded)), (TITLE, np.array([UNFOLDED]))]
+    lists = [postings(index, field, gram).select(F.lit(k).alias("kind"), F.lit(len(gram)).alias("wanted"), "segment", "n", "ids") for k, (field, gram) in enumerate(kinds)]
+    return _candidates(lists[0].unionByName(lists[1]).unionByName(lists[2])).distinct()
 
 
-def ids_of(spark: SparkSession, path: str, found: DataFrame, parts: int = 64, max_pushed: int = 20_000) -> tuple[DataFrame, list[int] | None]:
+def ids_of(index: Index, found: DataFrame, max_pushed: int = 5_000) -> tuple[DataFrame, list[int] | None]:
     """The articles at (segment, place), and their ids as a list if they are at most ``max_pushed``: a bounded list is pushed into
     the scans as a filter, more are joined."""
-    segments = spark.read.schema("segment long, ids binary, part int").parquet(f"{path}/of-{parts}").where("part = -1").select("segment", "ids")
+    segments = index.rows.where("part = -1").select("segment", "ids")
     few = found.limit(max_pushed + 1).collect()
     pushed = len(few) <= max_pushed
     if pushed:
-        found = spark.createDataFrame([tuple(r) for r in few], "segment long, place long")
-        segments = segments.where(F.col("segment").isin(*{r["segment"] for r in few}))
+        found = found.sparkSession.createDataFrame([tuple(r) for r in few], "segment long, place long")
+        segments = segments.where(_one_of("segment", {r["segment"] for r in few}))
     number = F.conv(F.hex(F.substring("ids", (F.col("place") * 8 + 1).cast("int"), F.lit(8))), 16, -10).cast("long")  # big-endian
     ids = found.join(segments, "segment").select(number.alias("id")).distinct()
-    return ids, sorted(r[0] for r in ids.collect()) if pushed else None
+    return ids, (sorted(r[0] for r in ids.collect()) if few else []) if pushed else None
+
+
+def _one_of(column: str, numbers) -> Column:
+    """As one expression: thousands of single literals take seconds to pass."""
+    return F.expr(f"{column} in ({', '.join(f'{n}L' for n in numbers)})") if numbers else F.lit(False)
 
 
-def indexed_search(articles: DataFrame, tags: DataFrame, path: str, word: str, page: int = 1, page_size: int = 10, parts: int = 64, max_pushed: int = 20_000) -> DataFrame:
-    """The rows of :func:`inkwell.operators.catalog.search_articles`, found by the index at ``path``, which holds all articles."""
-    spark, word = articles.sparkSession, word.strip()
-    found = candidates(spark, path, word, parts) if word else None
+def indexed_search(articles: DataFrame, tags: DataFrame, index: Index, word: str, page: int = 1, page_size: int = 10, max_pushed: int = 5_000) -> DataFrame:
+    """The rows of :func:`inkwell.operators.catalog.search_articles`, found by an index that holds all articles."""
+    word = word.strip()
+    found = candidates(index, word) if word else None
     if found is not None:
-        ids, few = ids_of(spark, path, found, parts, max_pushed)
+        ids, few = ids_of(index, found, max_pushed)
         if few is not None:
-            articles = articles.where(F.col("id").isin(*few) if few else F.lit(False))
+            articles = articles.where(_one_of("id", few))
         else:
             articles = articles.join(ids, "id", "left_semi")
     return search_articles(articles, tags, word, page, page_size)

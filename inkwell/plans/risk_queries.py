@@ -118,13 +118,13 @@ def _(spark, sf):
 
 @query("throttle_first_split", ORACLES["throttle_first_view"])
 def _(spark, sf):
-    return rates.throttle_first(_req(spark, sf), ["scene", "fp", "target_id"], 60_000, "server_ms", "request_id", split_rows=20).select("request_id", "kept")
+    return rates.throttle_first(_req(spark, sf), ["scene", "fp", "target_id"], 60_000, "server_ms", "request_id", split_rows=2).select("request_id", "kept")
 
 
 @query("anchored_rate_split", ORACLES["anchored_rate"])
 def _(spark, sf):
     r = _req(spark, sf).withColumn("limit", F.lit(3).cast("long"))
-    return rates.anchored_rate(r, ["scene", "ip"], 60_000, "limit", "server_ms", "request_id", split_rows=20).select("request_id", "rate_count", "rate_exceeded")
+    return rates.anchored_rate(r, ["scene", "ip"], 60_000, "limit", "server_ms", "request_id", split_rows=2).select("request_id", "rate_count", "rate_exceeded")
 
 
 _TIGHT = {"share-create": (3, 120, 2), None: (3, 300, 2)}
@@ -224,7 +224,7 @@ def _(spark, sf):
 
 @query("sliding_admission_split", ORACLES["sliding_admission"])
 def _(spark, sf):
-    out = rates.sliding_admission(_attempts(spark, sf), ["username"], 3, 120_000, "ts_ms", "attempt_id", split_rows=20)
+    out = rates.sliding_admission(_attempts(spark, sf), ["username"], 3, 120_000, "ts_ms", "attempt_id", split_rows=2)
     return out.select("attempt_id", "allowed", "admitted", "retry_ms", C.retry_after_seconds(F.col("retry_ms")).alias("retry_seconds"))
 
 

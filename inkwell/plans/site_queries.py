@@ -85,9 +85,9 @@ def _(spark, sf):
     article.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{base}/article")
     stored = spark.read.parquet(f"{base}/article")
     search_index.add_to_index(stored, f"{base}/index")
-    out = None
+    index, out = search_index.open_index(spark, f"{base}/index"), None
     for w in _SEARCHED:
-        rows = search_index.indexed_search(stored, tag, f"{base}/index", w, page_size=20).select(F.lit(w).alias("word"), "*")
+        rows = search_index.indexed_search(stored, tag, index, w, page_size=20).select(F.lit(w).alias("word"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
