@@ -222,26 +222,31 @@ class VersionedTable:
             return None
         return {"id": name, "kind": kind, "columns": columns, "buckets": counts, "written": len(counts), "bytes": self.files.size(at)}
 
-    def append_deltas(self, m: dict, parts: Sequence[tuple[str, DataFrame, list[str]]]) -> int:
-        """Commit (kind, rows, columns) on top of version ``m`` as one version; parts without rows leave no trace."""
+    def append_deltas(self, m: dict, parts: Sequence[tuple[str, DataFrame, list[str]]], note: tuple[str, int] | None = None) -> int:
+        """Commit (kind, rows, columns) on top of version ``m`` as one version; parts without rows leave no trace. A ``note`` (a
+        writer's name and its number, as of a stream's batch) is kept in the manifest with the change."""
         made = [d for d in (self._write_delta(m, *p) for p in parts) if d is not None]
-        if not made:
+        if not made and note is None:
             return m["version"]
         version = m["version"] + 1
-        self._commit(m | {"version": version, "deltas": m["deltas"] + [d | {"seq": version} for d in made]})
+        notes = m.get("notes", {}) | ({note[0]: note[1]} if note else {})
+        self._commit(m | {"version": version, "deltas": m["deltas"] + [d | {"seq": version} for d in made], "notes": notes})
         return version
 
-    def apply(self, change: Callable[[DataFrame], DataFrame], touched: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] | None = None, attempts: int = 5) -> int:
+    def apply(self, change: Callable[[DataFrame], DataFrame], touched: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] | None = None, attempts: int = 5, note: tuple[str, int] | None = None) -> int:
         """Commit ``change(rows)`` for the rows that ``touched`` names, and return the version.
 
         ``change`` gets these rows and returns what they become, with new rows if there are any; every row of its result
         may depend on the rows it got and on what it joins, not on the rest of the table. Rows are named by the key, or by the
         columns ``by``, which makes the lookup read those columns of all buckets. With ``columns``, rows that stay are written as
         patches of these columns; without, whole. Rows that come out as they were are not written. After a conflict the
-        change is made again on the newer version.
+        change is made again on the newer version. With a ``note``, a number that this writer has already committed, or an
+        earlier one, changes nothing: a batch that is run again after a failure counts once.
         """
         for _ in range(attempts):
             m = self.manifest()
+            if note is not None and m.get("notes", {}).get(note[0], -1) >= note[1]:
+                return m["version"]
             key, names = m["keys"], self._names(m)
             if by is None:
                 rows = self.lookup(touched, m["version"])
@@ -257,7 +262,7 @@ class VersionedTable:
                 ("patch", same, [*key, *values]) if columns else ("put", same, names),
             ]
             try:
-                return self.append_deltas(m, parts)
+                return self.append_deltas(m, parts, note)
             except Conflict:
                 continue
         raise Conflict(f"{self.path}: {attempts} attempts")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.functions import folds
 from inkwell.operators.risk import reason_family
 from inkwell.operators.views import add_counts, count_views
+from inkwell.sources.versions import VersionedTable
 
 LATENESS = "2 minutes"
 
@@ -72,17 +73,34 @@ def risk_reason_stats(df: DataFrame, event_time: str = "event_time", width: str
     return rows.groupBy(F.window(event_time, width), "scene", reason_family(F.col("reason")).alias("family"), "decision").agg(F.count("*").alias("n"))
 
 
-def count_views_into(accepted: DataFrame, articles: DataFrame, path: str, checkpoint: str):
-    """Start a stream that keeps view counters under ``path``, one folder per batch, each holding the whole state.
-
-    A batch that is run again after a failure starts from the folder before it, so no event is counted twice.
-    """
+def merged_stream(rows: DataFrame, table: VersionedTable, change: Callable[[DataFrame, DataFrame], DataFrame], touched: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, columns: Sequence[str] | None = None, mode: str = "append"):
+    """Start a stream that commits ``change(stored rows, batch)`` to a versioned table, for the stored rows whose keys ``touched(batch)``
+    names. A batch writes what it changes, and the table's manifest keeps the batch's number, so a batch counts once."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = count_views(batch, articles)
-        if batch_id > 0:
-            new = add_counts(spark.read.parquet(f"{path}/b-{batch_id - 1:08d}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/b-{batch_id:08d}")
+        batch = batch.persist()
+        try:
+            VersionedTable(batch.sparkSession, table.path).apply(lambda stored: change(stored, batch), touched(batch), columns, note=(name, batch_id))
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def view_table(spark: SparkSession, path: str, buckets: int = 16) -> VersionedTable:
+    """View counters ``(article_id, views)``; an empty table the first time."""
+    table = VersionedTable(spark, path)
+    return table if table.version() >= 0 else VersionedTable.create(spark.createDataFrame([], "article_id long, views long"), path, ["article_id"], buckets)
+
+
+def count_views_into(accepted: DataFrame, articles: DataFrame, path: str, checkpoint: str):
+    """Start a stream that adds accepted view events to the counters of :func:`view_table` at ``path``."""
+    counts = lambda batch: count_views(batch, articles)
+    return merged_stream(accepted, view_table(accepted.sparkSession, path), lambda stored, batch: add_counts(stored, counts(batch)), counts, "views", checkpoint, ["views"])
+
 
-    return accepted.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def reason_stats_into(audit: DataFrame, table: VersionedTable, checkpoint: str):
+    """Start a stream that keeps :func:`risk_reason_stats` by minute in a versioned table with the key (start, scene, family,
+    decision): Spark's own state sums the minutes that are still open, and a batch writes the sums that it changed."""
+    sums = risk_reason_stats(audit).select(F.col("window.start").alias("start"), "scene", "family", "decision", "n")
+    return merged_stream(sums, table, lambda stored, batch: batch.select(*stored.columns), lambda batch: batch, "reasons", checkpoint, ["n"], "update")

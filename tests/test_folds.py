@@ -96,7 +96,7 @@ def test_count_views_stream(spark, tmp_path):
     spark.createDataFrame([("1",), ("1",), ("2",), ("x",)], "article_id string").write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("article_id string").parquet(str(tmp_path / "in"))
     twins.count_views_into(s, articles, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "b-00000000")).collect()] == [(1, 2)]
+    assert [tuple(r) for r in twins.view_table(spark, str(tmp_path / "out")).read().collect()] == [(1, 2)]
 
 
 def test_decisions_in_order(spark):

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import compare
-from inkwell.plans import maintenance_queries, moderation_queries, risk_queries, site_queries, source_queries, versioned_queries  # noqa: F401
+from inkwell.plans import maintenance_queries, moderation_queries, risk_queries, site_queries, source_queries, stream_queries, versioned_queries  # noqa: F401
 from inkwell.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
