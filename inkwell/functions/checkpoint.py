@@ -20,3 +20,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def co_partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """Materialise ``df`` dealt by ``keys``, so that joins and groups by them of what is made of it need no exchange.
+
+    The partitioning of a checkpoint is known to later plans only if its own plan was fixed beforehand, so adaptive
+    execution is off while it is written.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(n, *keys) if not _dealt(df, keys) else df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def _dealt(df: DataFrame, keys: tuple[str, ...]) -> bool:
+    """Whether the rows already lie by ``keys``: grouping by them adds no exchange."""
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    return plan(df.groupBy(*keys).count()) == plan(df)

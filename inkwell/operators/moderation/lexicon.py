@@ -14,30 +14,84 @@ _SAME = str.maketrans(CONFUSABLES)
 MAX_BROADCAST_TERMS = 200_000
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _pairs(last: str) -> str:
+    """SQL of the pair of code points at place ``p`` of ``__chars``, the last one alone."""
+    return f"concat(get(__chars, p - 1), coalesce(get(__chars, p), {last}))"
+
+
+def rarest_pairs(texts: DataFrame, words: list[str], text: str = "text", share: int = 16) -> dict[str, tuple[str, int]]:
+    """Of every word the pair of neighbouring code points that is rarest in the texts, and how many stand before it; a single
+    code point for itself. Pairs are counted in one of ``share`` texts by their hash: what is chosen decides speed only."""
+    pairs = {w[i : i + 2] for w in words for i in range(len(w) - 1)}
+    seen: dict[str, int] = {}
+    if any(len(w) > 2 for w in words):
+        some = texts.where((F.length(text) > 0) & (F.pmod(F.xxhash64(text), F.lit(share)) == 0)).select(F.split(F.col(text), "").alias("__chars"))
+        chosen = f"filter(transform(sequence(1, size(__chars)), p -> {_pairs(_quoted(''))}), x -> x in ({', '.join(map(_quoted, sorted(pairs)))}))"
+        seen = dict(some.select(F.explode(F.expr(chosen)).alias("pair")).groupBy("pair").count().collect())  # a row a pair at most
+    return {w: (w, 0) if len(w) == 1 else min((seen.get(w[i : i + 2], 0), i, w[i : i + 2]) for i in range(len(w) - 1))[:0:-1] for w in words}
+
+
+def anchored_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> tuple[DataFrame, list[str] | None, int, int]:
+    """Terms with ``__key`` and ``__off``, the keys themselves, how far a term reaches before its key, and the longest term.
+
+    Up to ``MAX_BROADCAST_TERMS`` different terms are brought to the driver and anchored at their rarest pair; beyond that, a
+    term's key is its first pair and the keys are not listed.
+    """
+    t = terms.where(F.length(term) > 0)
+    found = t.select(term).distinct().limit(MAX_BROADCAST_TERMS + 1).collect()
+    if len(found) > MAX_BROADCAST_TERMS:
+        return t.withColumn("__key", F.substring(term, 1, 2)).withColumn("__off", F.lit(0)), None, 0, t.agg(F.max(F.length(term))).first()[0]
+    words = [r[0] for r in found]
+    anchors = rarest_pairs(texts, words, text)
+    rows = t.sparkSession.createDataFrame([(w, key, off) for w, (key, off) in anchors.items()], f"{term} string, __key string, __off int")
+    return t.join(F.broadcast(rows), term), sorted({k for k, _ in anchors.values()}), max([0, *(o for _, o in anchors.values())]), max(map(len, words), default=1)
+
+
+def anchor_places(texts: DataFrame, keys: list[str], anchors: list[str] | None, reach: int, width: int, text: str = "text", context: bool = False) -> DataFrame:
+    """The places of the texts where an anchor stands: ``keys``, ``pos``, ``__key``, and ``__piece``, the code points around it from
+    ``__from`` on. Places without an anchor become no rows, and texts are not copied."""
+    cut = texts.where(F.length(text) > 0).select(*keys, F.split(F.col(text), "").alias("__chars"))
+    if anchors is None:
+        wanted = "x -> true"
+        every = f"array_distinct(array({_pairs(_quoted(''))}, get(__chars, p - 1)))"
+    else:
+        listed = ", ".join(map(_quoted, anchors)) or "''"
+        every = f"filter(array_distinct(array({_pairs(_quoted(''))}, get(__chars, p - 1))), k -> k in ({listed}))"
+        wanted = "x -> size(x.k) > 0"
+    begin = f"greatest(x.pos - {reach + 1}, 1)"
+    before = "array_join(slice(__chars, greatest(x.pos - {n}, 1), least(x.pos - 2, {n} - 1)), '')"
+    close, far = before.format(n=10), "array_join(slice(__chars, 1, x.pos - 2), '')"
+    colon = lambda t: f"rlike({t}, '[:：][ \\\\t\\\\n\\\\x0B\\\\f\\\\r]*$')"
+    # a quote that follows a colon and perhaps white space; only if white space fills what stands close, the rest is looked at
+    keyed = f"""case when x.pos > 2 and get(__chars, x.pos - 2) = '"' then case when {colon(close)} then true when x.pos > 11 and trim({close}) = '' then {colon(far)} else false end else false end"""
+    fields = f"x.pos as pos, x.k as k, {begin} as f, array_join(slice(__chars, {begin}, x.pos - {begin} + {width + 2}), '') as piece" + (f", {keyed} as keyed" if context else "")
+    places = f"transform(filter(transform(sequence(1, size(__chars)), p -> struct(p as pos, {every} as k)), {wanted}), x -> struct({fields}))"
+    rows = cut.select(*keys, F.explode(F.expr(places)).alias("__x"))
+    return rows.select(*keys, F.col("__x.pos").alias("pos"), F.explode("__x.k").alias("__key"), F.col("__x.f").alias("__from"), F.col("__x.piece").alias("__piece"), *([F.col("__x.keyed").alias("keyed")] if context else []))
+
+
 def term_hits(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term", context: bool = False) -> DataFrame:
     """Every occurrence of every term: ``keys``, the columns of ``terms``, and ``pos`` from 1; with ``context`` also the
-    code point ``before``, the two ``after``, and whether a quote that follows a colon stands ``before`` (``keyed``).
+    code point ``before``, the two ``after``, and for terms of one or two code points whether a quote that follows a colon stands
+    before it (``keyed``).
 
-    Each place of a text becomes one narrow row of as many code points as the longest term has, which meets the terms that
-    begin with its first one or two in an equi-join; texts themselves are not copied. Terms are broadcast only after a
-    count, beyond which the join shuffles the places. Blank and null terms match nothing.
+    A term is looked up by its rarest pair of code points, its anchor: only places with some term's anchor become rows, which
+    meet the terms in a broadcast join and are checked around the anchor. Beyond ``MAX_BROADCAST_TERMS`` terms every place
+    becomes a row and the join shuffles. Blank and null terms match nothing.
     """
-    t = terms.where(F.length(term) > 0).withColumn("__key", F.substring(term, 1, 2))
-    count, width = t.agg(F.count("*"), F.max(F.length(term))).first()
-    cut = texts.where(F.length(text) > 0).select(*keys, F.split(F.col(text), "").alias("__chars"))
-    at = lambda x: F.get(F.col("__chars"), x)
-    fields = {"__p": lambda q: q, "__piece": lambda q: F.array_join(F.slice(F.col("__chars"), q, (width or 1) + 2 * context), "")}
+    t, anchors, reach, width = anchored_terms(texts, terms, text, term)
+    places = anchor_places(texts, keys, anchors, reach, width, text, context)
+    t = F.broadcast(t) if anchors is not None else t.hint("merge")
+    begin, at = F.col("pos") - F.col("__off"), F.col("pos") - F.col("__off") - F.col("__from") + 1
+    hits = places.join(t, "__key").where((begin >= 1) & (F.substring(F.col("__piece"), at, F.length(term)) == F.col(term)))
+    extra = []
     if context:
-        quoted = lambda q: (at(q - 2) == '"') & F.array_join(F.slice(F.col("__chars"), F.lit(1), F.greatest(q - 2, F.lit(0))), "").rlike(r"[:：]\s*$")
-        fields |= {"before": lambda q: F.when(q > 1, at(q - 2)), "keyed": lambda q: F.when(q > 2, quoted(q)).otherwise(False)}
-    places = F.transform(F.sequence(F.lit(1), F.size("__chars")), lambda q: F.struct(*[f(q).alias(n) for n, f in fields.items()]))
-    cut = cut.select(*keys, F.explode(places).alias("__x")).select(*keys, "__x.*").withColumnRenamed("__p", "pos")
-    two = F.substring("__piece", 1, 2)
-    widths = cut.withColumn("__key", F.explode(F.array_distinct(F.array(two, F.substring("__piece", 1, 1)))))
-    t = F.broadcast(t) if count <= MAX_BROADCAST_TERMS else t.hint("merge")
-    hits = widths.join(t, "__key").where(F.startswith("__piece", F.col(term)))
-    extra = [F.coalesce("before", F.lit("")).alias("before"), F.substring(F.col("__piece"), F.length(term) + 1, F.lit(2)).alias("after"), "keyed"] if context else []
-    return hits.select(*keys, "pos", *terms.columns, *extra)
+        extra = [F.when(at > 1, F.substring(F.col("__piece"), at - 1, F.lit(1))).otherwise("").alias("before"), F.substring(F.col("__piece"), at + F.length(term), F.lit(2)).alias("after"), (F.col("keyed") & (F.length(term) <= 2)).alias("keyed")]
+    return hits.select(*keys, begin.alias("pos"), *terms.columns, *extra)
 
 
 def contains_any(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -101,7 +155,11 @@ def lexicon_signals(views: DataFrame, terms: DataFrame, overrides: DataFrame | N
     ``views(comment_id, view_no, text)``; ``terms(term, category, level)``. ``seq`` follows view, position and word.
     """
     tagged = views.select("comment_id", "view_no", F.trim("text").alias("text"))
-    raw = term_hits(tagged, terms.select("term", "category", "level"), ["comment_id", "view_no"], context=True)
+    return hit_signals(term_hits(tagged, terms.select("term", "category", "level"), ["comment_id", "view_no"], context=True), overrides)
+
+
+def hit_signals(raw: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The signals of dictionary hits ``raw(comment_id, view_no, pos, term, category, level, before, after, keyed)``."""
     kept = raw.where(~skipped_hit(F.col("before"), F.col("after"), F.col("keyed"), F.col("term")))
     named = lexicon_level(kept, overrides)
     first = named.groupBy("comment_id", "category", "level", "term").agg(F.min(F.struct("view_no", "pos", "term")).alias("first"))
@@ -178,23 +236,45 @@ def closest_windows(texts: list[str], word: str, distance: int) -> list[tuple[in
     return out
 
 
-def fuzzy_signals(clauses: DataFrame, candidates: list[tuple[str, str]], max_distance: int = 1, min_runes: int = 4) -> DataFrame:
+def seeds(words: list[str], max_distance: int) -> list[tuple[str, int]]:
+    """Each word in one piece more than its distance, of nearly equal length, with the word's number. A window within the
+    distance leaves one piece as it is, look-alikes aside."""
+    out = []
+    for k, w in enumerate(words):
+        plain, n = w.translate(_SAME), max_distance + 1
+        cuts = [len(w) * i // n for i in range(n + 1)]
+        out += [(plain[a:b], k) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    return sorted(set(out))
+
+
+def fuzzy_signals(clauses: DataFrame, candidates: list[tuple[str, str]], max_distance: int = 1, min_runes: int = 4, found: DataFrame | None = None) -> DataFrame:
     """``(comment_id, clause, category, word, evidence)``: near misses of candidate words, the first clause of each word.
 
-    ``candidates`` are (category, word) of a validated policy and travel with the function.
+    ``candidates`` are (category, word) of a validated policy and travel with the function. Only clauses whose skeleton holds a
+    piece of a word are compared with it: ``found(comment_id, clause, word_no)``, looked up here unless it is given.
     """
-    words = [(k, c, w) for k, (c, w) in enumerate(candidates) if len(w) >= min_runes]
     kind = "array<struct<seq: int, category: string, word: string, evidence: string>>"
+    fit = [k for k, (_, w) in enumerate(candidates) if len(w) >= min_runes]
+    if found is None:
+        pieces = [(p, fit[k]) for p, k in seeds([candidates[k][1] for k in fit], max_distance)]
+        table = clauses.sparkSession.createDataFrame(pieces, "term string, word_no int")
+        found = term_hits(clauses, table, ["comment_id", "clause"], "skeleton").select("comment_id", "clause", "word_no")
 
-    def scan(compact: pd.Series, skeleton: pd.Series) -> pd.Series:
+    def scan(compact: pd.Series, skeleton: pd.Series, numbers: pd.Series) -> pd.Series:
         out: list[list[dict]] = [[] for _ in compact]
+        rows: dict[int, list[int]] = {}
+        for i, ks in enumerate(numbers):
+            for k in ks:
+                rows.setdefault(int(k), []).append(i)
         views = compact.tolist(), ["" if s == c else s for c, s in zip(compact, skeleton, strict=True)]
-        for k, category, w in words:
-            for row, x, y in zip(out, *(closest_windows(v, w, max_distance) for v in views), strict=True):
+        for k in sorted(rows):
+            category, w = candidates[k]
+            for i, x, y in zip(rows[k], *(closest_windows([v[i] for i in rows[k]], w, max_distance) for v in views), strict=True):
                 if m := y if x is None or (y is not None and y[0] < x[0]) else x:
-                    row.append({"seq": k, "category": category, "word": w, "evidence": f"{m[1]}~{w}(d={(m[0] + 1) // 2})"})
+                    out[i].append({"seq": k, "category": category, "word": w, "evidence": f"{m[1]}~{w}(d={(m[0] + 1) // 2})"})
         return pd.Series(out)
 
-    hits = clauses.select("comment_id", "clause", F.explode(F.pandas_udf(scan, kind)("compact", "skeleton")).alias("m"))
+    met = clauses.join(found.groupBy("comment_id", "clause").agg(F.collect_set("word_no").alias("__words")), ["comment_id", "clause"])
+    hits = met.select("comment_id", "clause", F.explode(F.pandas_udf(scan, kind)("compact", "skeleton", "__words")).alias("m"))
     first = hits.groupBy("comment_id", F.col("m.category").alias("category"), F.col("m.word").alias("word")).agg(F.min(F.struct("clause", F.col("m.seq").alias("seq"), F.col("m.evidence").alias("evidence"))).alias("f"))
     return first.select("comment_id", F.col("f.clause").alias("clause"), F.col("f.seq").alias("seq"), "category", "word", F.col("f.evidence").alias("evidence"))
