@@ -1,5 +1,7 @@
 """Materialising intermediate tables where every executor can read them."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,23 +24,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def co_partitioned(df: DataFrame, *keys: str) -> DataFrame:
-    """Materialise ``df`` dealt by ``keys``, so that joins and groups by them of what is made of it need no exchange.
-
-    The partitioning of a checkpoint is known to later plans only if its own plan was fixed beforehand, so adaptive
-    execution is off while it is written.
-    """
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings, dots as double underscores, that hold inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
-        return checkpointed(df.repartition(n, *keys) if not _dealt(df, keys) else df)
+        yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def _dealt(df: DataFrame, keys: tuple[str, ...]) -> bool:
-    """Whether the rows already lie by ``keys``: grouping by them adds no exchange."""
-    plan = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
-    return plan(df.groupBy(*keys).count()) == plan(df)
+def co_partitioned(df: DataFrame, key: str) -> DataFrame:
+    """Materialise ``df`` dealt by ``key``, so that joins and groups by it, or by it and more, of what is made of several such
+    tables need no exchange inside the next one.
+
+    The partitioning of a checkpoint is known to later plans only if its own plan was fixed beforehand, so adaptive
+    execution is off while it is written; and equal keys suffice for a join by more columns.
+    """
+    spark = df.sparkSession
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__requireAllClusterKeysForCoPartition="false"):
+        return checkpointed(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key))

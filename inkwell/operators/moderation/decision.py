@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkwell.functions.checkpoint import checkpointed
 from inkwell.functions.columns import normalize_level
-from inkwell.operators.moderation.structure import is_contact, is_url
+from inkwell.operators.moderation.structure import clause_flags
 
 PENDING, REJECT = 40, 80
 STAGES = ("lexicon", "similarity", "structure", "context", "behavior", "semantic")
@@ -46,41 +45,73 @@ def evidence_terms(evidence: Column) -> Column:
     return F.filter(parts, lambda p: (p != "") & ~p.isin("url", "contact", "riskphrase"))
 
 
-def suppress_by_context(signals: DataFrame, clauses: DataFrame, severe: list[str], risk_phrases: list[str] = (), risk_patterns: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """``(kept signals with one allow signal per touched comment, suppressed signals)``.
+SIGNAL_FIELDS = ("stage", "seq", "source", "category", "level", "evidence", "rule_id", "clause", "score", "reason")
+
+
+def _signal(**given) -> Column:
+    return F.struct(*[given[f].alias(f) for f in SIGNAL_FIELDS])
+
+
+def listed_signals(signals: DataFrame) -> DataFrame:
+    """``(comment_id, signals)``: the signals of a comment in order, as an array."""
+    value = lambda c: F.col(c) if c in signals.columns else F.lit(None).cast("long" if c == "score" else "string")
+    item = _signal(**{c: value(c) for c in SIGNAL_FIELDS})
+    return signals.groupBy("comment_id").agg(F.array_sort(F.collect_list(item)).alias("signals"))
 
-    ``signals(comment_id, stage, seq, source, category, level, evidence, rule_id, clause)``;
-    ``clauses(comment_id, clause, normalized, compact, skeleton, pinyin, benign)``. Behaviour, hidden addresses, scripts
-    and text quality are never suppressed. Abuse stays iff a relevant clause has a severe mark; anything else goes iff
-    every relevant clause is benign. With no relevant clause a signal stays.
+
+def judged_in_context(listed: DataFrame, clauses: DataFrame, severe: list[str], risk_phrases: list[str] = (), risk_patterns: list[str] = ()) -> DataFrame:
+    """``(comment_id, kept, suppressed)``, arrays; where something is suppressed, ``kept`` ends with one allow signal.
+
+    ``listed(comment_id, signals)``; ``clauses(comment_id, clause, normalized, compact, skeleton, pinyin, benign)``. Behaviour, hidden
+    addresses, scripts and text quality are never suppressed. Abuse stays iff a relevant clause has a severe mark; anything
+    else goes iff every relevant clause is benign. With no relevant clause a signal stays. A comment's signals and clauses
+    meet in one row, so nothing is dealt again where both lie by comment.
     """
-    s = checkpointed(signals.withColumn("__id", F.monotonically_increasing_id()))  # numbered once: the ids are joined on
-    fixed = (F.col("source") == "behavior") | ((F.col("source") == "structure") & F.col("rule_id").isin("decoded_url", "script_injection", "text_quality"))
-    hard = F.lit(False)
+    hard, phrase = F.lit(False), F.lit(False)
     for m in severe:
         hard = hard | F.contains(F.col("compact"), F.lit(m)) | F.contains(F.col("pinyin"), F.lit(m)) | F.contains(F.col("skeleton"), F.lit(m))
-    phrase = F.lit(False)
     for m in risk_phrases:
         phrase = phrase | F.contains(F.col("compact"), F.lit(m))
     for m in risk_patterns:
         phrase = phrase | F.col("normalized").rlike(m)
-    c = clauses.select(F.col("comment_id"), F.col("clause").alias("c_clause"), "compact", "pinyin", "benign", hard.alias("c_hard"), is_url(F.col("normalized")).alias("c_url"), is_contact(F.col("normalized"), False).alias("c_contact"), phrase.alias("c_phrase"))
-    terms = evidence_terms(F.col("evidence"))
-    by_words = F.col("source").isin("lexicon", "context") & F.forall(terms, lambda t: F.contains(F.col("compact"), t) | F.contains(F.col("pinyin"), t))
-    by_rule = (F.col("source") == "structure") & (((F.col("rule_id") == "url") & F.col("c_url")) | ((F.col("rule_id") == "contact") & F.col("c_contact")) | ((F.col("rule_id") == "risk_phrase") & F.col("c_phrase")))
-    own = F.coalesce("clause", F.lit(0)) > 0
-    relevant = F.when(own, F.col("clause") == F.col("c_clause")).otherwise(by_words | by_rule)
-    judged = s.where(~fixed).join(c, "comment_id").where(relevant).groupBy("__id").agg(F.bool_and("benign").alias("all_benign"), F.bool_or("c_hard").alias("any_hard"))
-    j = s.join(judged, "__id", "left")
-    abuse = (F.col("category") == "abuse") & F.lit(bool(severe))
-    gone = F.when(F.col("all_benign").isNull(), False).when(abuse, ~F.col("any_hard")).otherwise(F.col("all_benign"))
-    j = checkpointed(j.withColumn("__gone", gone).drop("all_benign", "any_hard"))
-    suppressed = j.where("__gone").drop("__gone", "__id")
-    words = F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("stage", "seq", "evidence"))), lambda x: F.trim(x["evidence"])), lambda x: x != ""))
-    allow = suppressed.groupBy("comment_id").agg(F.array_join(words, ",").alias("evidence")).select(
-        "comment_id", F.lit(STAGES.index("semantic")).alias("stage"), F.lit(0).cast("long").alias("seq"), F.lit("semantic").alias("source"), F.lit("benign_context").alias("category"), F.lit("allow").alias("level"), "evidence", F.lit("benign_context").alias("rule_id"), F.lit(0).alias("clause")
-    )
-    return j.where("not __gone").drop("__gone", "__id").unionByName(allow, allowMissingColumns=True), suppressed
+    rows = clause_flags(clauses).select("comment_id", F.struct("clause", "compact", "pinyin", "benign", hard.alias("hard"), F.col("has_url").alias("url"), F.col("has_account").alias("contact"), phrase.alias("phrase")).alias("c"))
+    j = listed.join(rows.groupBy("comment_id").agg(F.collect_list("c").alias("__clauses")), "comment_id", "left")
+
+    def relevant(s: Column, terms: Column) -> Column:
+        """The clauses that a signal is about."""
+        rule = lambda name, flag: (s["rule_id"] == name) & flag
+        by_rule = lambda c: (s["source"] == "structure") & (rule("url", c["url"]) | rule("contact", c["contact"]) | rule("risk_phrase", c["phrase"]))
+        by_words = lambda c: s["source"].isin("lexicon", "context") & F.forall(terms, lambda t: F.contains(c["compact"], t) | F.contains(c["pinyin"], t))
+        own = F.coalesce(s["clause"], F.lit(0)) > 0
+        return F.filter("__clauses", lambda c: F.when(own, s["clause"] == c["clause"]).otherwise(by_words(c) | by_rule(c)))
+
+    def gone(s: Column) -> Column:
+        fixed = (s["source"] == "behavior") | ((s["source"] == "structure") & s["rule_id"].isin("decoded_url", "script_injection", "text_quality"))
+        about = relevant(s, evidence_terms(s["evidence"]))
+        verdict = F.transform(F.array(about), lambda cs: F.when(F.size(cs) <= 0, False).when((s["category"] == "abuse") & F.lit(bool(severe)), ~F.exists(cs, lambda c: c["hard"])).otherwise(F.forall(cs, lambda c: c["benign"])))
+        return ~fixed & F.coalesce(verdict[0], F.lit(False))
+
+    j = j.withColumn("__marked", F.transform("signals", lambda s: F.struct(s.alias("s"), gone(s).alias("gone"))))
+    pick = lambda flag: F.transform(F.filter("__marked", lambda x: x["gone"] == flag), lambda x: x["s"])
+    j = j.withColumn("suppressed", pick(True)).withColumn("__kept", pick(False))
+    words = F.array_distinct(F.filter(F.transform("suppressed", lambda x: F.trim(x["evidence"])), lambda x: x != ""))
+    text = {"source": "semantic", "category": "benign_context", "level": "allow", "rule_id": "benign_context"}
+    allow = _signal(stage=F.lit(STAGES.index("semantic")), seq=F.lit(0).cast("long"), evidence=F.array_join(words, ","), clause=F.lit(0), score=F.lit(0).cast("long"), reason=F.lit(None).cast("string"), **{k: F.lit(v) for k, v in text.items()})
+    return j.select("comment_id", F.when(F.size("suppressed") > 0, F.concat("__kept", F.array(allow))).otherwise(F.col("__kept")).alias("kept"), "suppressed")
+
+
+def unlisted(listed: DataFrame, name: str) -> DataFrame:
+    """The signals of an array column as rows."""
+    return listed.select("comment_id", F.explode(name).alias("s")).select("comment_id", *[F.col(f"s.{c}").alias(c) for c in SIGNAL_FIELDS])
+
+
+def suppress_by_context(signals: DataFrame, clauses: DataFrame, severe: list[str], risk_phrases: list[str] = (), risk_patterns: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(kept signals with one allow signal per touched comment, suppressed signals)``, as :func:`judged_in_context` decides.
+
+    ``signals(comment_id, stage, seq, source, category, level, evidence, rule_id, clause)``, with ``score`` and ``reason`` if there are.
+    """
+    judged = judged_in_context(listed_signals(signals), clauses, severe, risk_phrases, risk_patterns)
+    return unlisted(judged, "kept"), unlisted(judged, "suppressed")
 
 
 def decide(signals: DataFrame, pending: int = PENDING, reject: int = REJECT, order: tuple[str, ...] = ("stage", "seq")) -> DataFrame:
@@ -89,9 +120,14 @@ def decide(signals: DataFrame, pending: int = PENDING, reject: int = REJECT, ord
     In order: the first block signal rejects, with at least the reject score and the reasons up to it; else any review
     signal holds the comment, its sum kept between pending and reject; else it is approved with the sum.
     """
-    item = F.struct(*order, normalize_level(F.col("level")).alias("lv"), F.col("score").cast("long").alias("score"), F.col("reason").alias("reason"))
-    a = signals.groupBy("comment_id").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    at = F.array_position(F.transform("a", lambda x: x["lv"]), "block")
+    item = F.struct(*order, F.col("level").alias("__level"), F.col("score").cast("long").alias("score"), F.col("reason").alias("reason"))
+    return decided(signals.groupBy("comment_id").agg(F.array_sort(F.collect_list(item)).alias("a")), pending, reject, "__level")
+
+
+def decided(listed: DataFrame, pending: int = PENDING, reject: int = REJECT, level: str = "level") -> DataFrame:
+    """:func:`decide` on ``(comment_id, a)``, a comment's signals in order."""
+    a = listed.select("comment_id", F.transform("a", lambda x: F.struct(normalize_level(x[level]).alias("lv"), F.coalesce(x["score"], F.lit(0).cast("long")).alias("score"), x["reason"].alias("reason"))).alias("a"))
+    at = F.array_position(F.transform("a", lambda x: F.coalesce(x["lv"], F.lit(""))), "block")
     total = F.aggregate("a", F.lit(0).cast("long"), lambda t, x: t + x["score"])
     review = F.exists("a", lambda x: x["lv"] == "review")
     used = F.when(at > 0, F.slice("a", F.lit(1), at.cast("int"))).otherwise(F.col("a"))

@@ -55,13 +55,13 @@ def anchor_places(texts: DataFrame, keys: list[str], anchors: list[str] | None,
     """The places of the texts where an anchor stands: ``keys``, ``pos``, ``__key``, and ``__piece``, the code points around it from
     ``__from`` on. Places without an anchor become no rows, and texts are not copied."""
     cut = texts.where(F.length(text) > 0).select(*keys, F.split(F.col(text), "").alias("__chars"))
-    if anchors is None:
-        wanted = "x -> true"
-        every = f"array_distinct(array({_pairs(_quoted(''))}, get(__chars, p - 1)))"
-    else:
-        listed = ", ".join(map(_quoted, anchors)) or "''"
-        every = f"filter(array_distinct(array({_pairs(_quoted(''))}, get(__chars, p - 1))), k -> k in ({listed}))"
-        wanted = "x -> size(x.k) > 0"
+    pair, one = _pairs(_quoted("")), "get(__chars, p - 1)"
+    wanted, every = "true", f"array_distinct(array({pair}, {one}))"
+    if anchors is not None:
+        listed = lambda keys: ", ".join(map(_quoted, keys)) or "''"
+        single = [k for k in anchors if len(k) == 1]
+        wanted = f"{pair} in ({listed([k for k in anchors if len(k) == 2])})" + (f" or {one} in ({listed(single)})" if single else "")
+        every = f"filter({every}, k -> k in ({listed(anchors)}))"
     begin = f"greatest(x.pos - {reach + 1}, 1)"
     before = "array_join(slice(__chars, greatest(x.pos - {n}, 1), least(x.pos - 2, {n} - 1)), '')"
     close, far = before.format(n=10), "array_join(slice(__chars, 1, x.pos - 2), '')"
@@ -69,7 +69,7 @@ def anchor_places(texts: DataFrame, keys: list[str], anchors: list[str] | None,
     # a quote that follows a colon and perhaps white space; only if white space fills what stands close, the rest is looked at
     keyed = f"""case when x.pos > 2 and get(__chars, x.pos - 2) = '"' then case when {colon(close)} then true when x.pos > 11 and trim({close}) = '' then {colon(far)} else false end else false end"""
     fields = f"x.pos as pos, x.k as k, {begin} as f, array_join(slice(__chars, {begin}, x.pos - {begin} + {width + 2}), '') as piece" + (f", {keyed} as keyed" if context else "")
-    places = f"transform(filter(transform(sequence(1, size(__chars)), p -> struct(p as pos, {every} as k)), {wanted}), x -> struct({fields}))"
+    places = f"transform(transform(filter(sequence(1, size(__chars)), p -> {wanted}), p -> struct(p as pos, {every} as k)), x -> struct({fields}))"
     rows = cut.select(*keys, F.explode(F.expr(places)).alias("__x"))
     return rows.select(*keys, F.col("__x.pos").alias("pos"), F.explode("__x.k").alias("__key"), F.col("__x.f").alias("__from"), F.col("__x.piece").alias("__piece"), *([F.col("__x.keyed").alias("keyed")] if context else []))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkwell.functions.checkpoint import checkpointed
+from inkwell.functions.checkpoint import co_partitioned
 from inkwell.functions.text import analysis, text_views
 from inkwell.operators.moderation import behavior, decision, lexicon, structure
 from inkwell.sources.policy import compile_policy, policy_tables
@@ -31,7 +31,10 @@ def _signals(df: DataFrame, source: str, **columns) -> DataFrame:
 
 
 def analysed(comments: DataFrame) -> DataFrame:
-    """Comments with the struct of their views, one Arrow pass."""
+    """Comments with the struct of their views, one Arrow pass; a source of few partitions is spread first."""
+    n = comments.sparkSession.sparkContext.defaultParallelism
+    if comments.rdd.getNumPartitions() < n:
+        comments = comments.repartition(n)
     return comments.withColumn("a", analysis(F.col("content")))
 
 
@@ -41,36 +44,39 @@ def moderate(comments: DataFrame, policy: dict, lexicon_terms: DataFrame | None
     ``lexicon_terms(term, category, level)`` is an external dictionary beside the policy's own words. ``history`` are
     earlier comments of the same columns, which count for behaviour and are not judged themselves. Null contents count
     as empty; comments without a signal are approved with a score of 0.
+
+    Comments are analysed once and dealt by comment, once; all dictionaries are looked up in one pass over their texts, and
+    hits, clauses and judged signals are written dealt by comment like the comments, so detectors, suppression and decision
+    join them without an exchange. Only behaviour is dealt by users and addresses, and its signals come back.
     """
     spark = comments.sparkSession
     p = compile_policy(policy)
     dims = policy_tables(spark, policy)
-    base = checkpointed(analysed(comments))
-    views = base.select("comment_id", F.posexplode(text_views("a")).alias("view_no", "text"))
-    flat = base.select("comment_id", "a.normalized", "a.compact", "a.decoded")
-    marks = dims["term"].where(F.col("kind").isin("reporting", "rejection", "technical", "unambiguous_benign", "actionable")).select("kind", "term")
+    base = co_partitioned(analysed(comments), "comment_id")
+    fuzzy = p["lexicon"]["fuzzy"]
+    candidates = [(c, w) for c, ws in fuzzy["candidate_words"].items() for w in ws] if not fuzzy["disabled"] else []
+    hits = co_partitioned(lexicon.term_hits(_texts(base), _dictionary(spark, dims, lexicon_terms, candidates, fuzzy), ["comment_id", "kind", "no"], context=True).where(F.contains("kinds", F.col("kind"))), "comment_id")
+    of = lambda name: hits.where(F.col("dict") == name)
+
     parts = base.select("comment_id", F.explode("a.clauses").alias("c")).select("comment_id", "c.*")
     contexts = p["semantic_rules"]["contexts"]
-    clauses = structure.clause_benign(parts, marks, contexts["actionable_patterns"])
-    clauses = checkpointed(clauses)
+    marks = of("mark").select("comment_id", F.col("no").alias("clause"), F.col("category").alias("kind"))
+    clauses = co_partitioned(structure.clause_flags(structure.clause_benign(parts, None, contexts["actionable_patterns"], marks)), "comment_id")
 
-    words = dims["term"].where(F.startswith("kind", F.lit("lexicon_"))).select("term", "category", "level")
-    if lexicon_terms is not None:
-        words = words.unionByName(lexicon_terms.join(words.select("term"), "term", "left_anti").select("term", "category", F.lit("").alias("level") if "level" not in lexicon_terms.columns else F.col("level")))
     levels = {k: (v["level"] if isinstance(v, dict) else v) for k, v in p["decision"]["category_overrides"].items()}
     overrides = spark.createDataFrame(sorted(levels.items()), "category string, override string")
-    all_signals = [_signals(lexicon.lexicon_signals(views, words, overrides), "lexicon")]
-    fuzzy = p["lexicon"]["fuzzy"]
-    candidates = [(c, w) for c, ws in fuzzy["candidate_words"].items() for w in ws]
-    if candidates and not fuzzy["disabled"]:
-        near = lexicon.fuzzy_signals(clauses, candidates, fuzzy["max_distance"], fuzzy["min_word_runes"])
+    all_signals = [_signals(lexicon.hit_signals(of("lexicon").withColumnRenamed("no", "view_no"), overrides), "lexicon")]
+    if candidates:
+        met = of("piece").select("comment_id", F.col("no").alias("clause"), "word_no")
+        near = lexicon.fuzzy_signals(clauses, candidates, fuzzy["max_distance"], fuzzy["min_word_runes"], met)
         all_signals.append(_signals(near.withColumn("seq", F.col("clause").cast("long") * 1_000_000 + F.col("seq")), "similarity", clause=F.col("clause"), level=F.lit("review"), rule_id=F.lit("fuzzy_lexicon")))
-    phrases = dims["term"].where("kind = 'risk_phrase'").select("kind", "term")
     rule_levels = {k: (v["level"] if isinstance(v, dict) else v) for k, v in p["structure_rules"].items()}
-    found = structure.structure_signals(flat, clauses, phrases, p["structure_patterns"]["risk_patterns"], rule_levels)
+    flat = base.select("comment_id", "a.normalized", "a.compact", "a.decoded")
+    found = structure.structure_signals(flat, clauses, None, p["structure_patterns"]["risk_patterns"], rule_levels, of("risk_phrase").where("no = 1").select("comment_id"))
     all_signals.append(_signals(found, "structure", rule_id=F.col("rule_id")))
     if p["combination_rules"]:
-        all_signals.append(_signals(structure.combination_signals(clauses, dims["rule"]), "context", clause=F.col("clause"), rule_id=F.col("rule_id")))
+        words = hits.where("dict in ('subjects', 'predicates')").select("comment_id", F.col("no").alias("clause"), F.col("dict").alias("side"), "rule_no", "word_no", "term")
+        all_signals.append(_signals(structure.combination_signals(clauses, dims["rule"], words), "context", clause=F.col("clause"), rule_id=F.col("rule_id")))
     if with_behavior:
         all_signals.append(_behavior(base, history, p["behavior_rules"]))
 
@@ -81,22 +87,56 @@ def moderate(comments: DataFrame, policy: dict, lexicon_terms: DataFrame | None
     scored = decision.signal_scores(raw, dims["rule_score"], score["pending"], score["reject"])
     what = F.when(F.col("source") == "context", F.concat_ws(":", "rule_id", "evidence")).otherwise(F.col("evidence"))
     scored = scored.withColumn("reason", decision.format_reason(F.col("source"), F.col("category"), F.col("level"), what))
+    listed = decision.listed_signals(scored)
     if p["semantic_rules"]["disabled"]:
-        kept, gone = scored, scored.where(F.lit(False))
+        judged = listed.select("comment_id", F.col("signals").alias("kept"), F.slice("signals", 1, 0).alias("suppressed"))
     else:
         abuse = p["semantic_rules"]["abuse_policy"]
         severe = [] if abuse["disabled"] else abuse["severe_markers"]
-        kept, gone = decision.suppress_by_context(scored, clauses, severe, p["structure_patterns"]["risk_phrases"], p["structure_patterns"]["risk_patterns"])
-        kept = kept.withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
-    decided = decision.decide(kept, score["pending"], score["reject"])
-    results = comments.select("comment_id").join(decided, "comment_id", "left").select(
+        judged = decision.judged_in_context(listed, clauses, severe, p["structure_patterns"]["risk_phrases"], p["structure_patterns"]["risk_patterns"])
+    judged = co_partitioned(judged, "comment_id")
+    decided = decision.decided(judged.withColumnRenamed("kept", "a"), score["pending"], score["reject"])
+    results = base.select("comment_id").join(decided, "comment_id", "left").select(
         "comment_id",
         F.coalesce("status", F.lit("approved")).alias("status"),
         F.coalesce("score", F.lit(0).cast("long")).alias("score"),
         F.coalesce("decision", F.lit("no_risk_signal")).alias("decision"),
         F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"),
     )
-    return Moderation(results, kept, gone, base, clauses)
+    return Moderation(results, decision.unlisted(judged, "kept"), decision.unlisted(judged, "suppressed"), base, clauses)
+
+
+def _texts(base: DataFrame) -> DataFrame:
+    """All texts that any dictionary is looked up in, ``(comment_id, kind, no, text)``: views (v), and of every clause its compact
+    form (c, or d if its skeleton differs), its skeleton (s) and its pinyin (p) where they differ."""
+    item = lambda kind, no, text: F.struct(kind.alias("kind"), no.cast("int").alias("no"), text.alias("text"))
+    other = lambda c, kind, n: F.when((c[n] != "") & (c[n] != c["compact"]), item(F.lit(kind), c["clause"], c[n]))
+    compact = lambda c: item(F.when(c["skeleton"] == c["compact"], F.lit("c")).otherwise(F.lit("d")), c["clause"], c["compact"])
+    views = F.transform(text_views("a"), lambda t, i: item(F.lit("v"), i, F.trim(t)))
+    parts = F.flatten(F.transform("a.clauses", lambda c: F.array_compact(F.array(compact(c), other(c, "s", "skeleton"), other(c, "p", "pinyin")))))
+    return base.select("comment_id", F.explode(F.concat(views, parts)).alias("x")).select("comment_id", "x.*")
+
+
+def _dictionary(spark: SparkSession, dims: dict[str, DataFrame], lexicon_terms: DataFrame | None, candidates: list[tuple[str, str]], fuzzy: dict) -> DataFrame:
+    """Every dictionary's terms with what they stand for and the kinds of texts they are looked up in, so that one pass finds all."""
+    columns = ("dict", "kinds", "term", "category", "level", "rule_no", "word_no")
+    none = {"category": F.lit(""), "level": F.lit(""), "rule_no": F.lit(None).cast("long"), "word_no": F.lit(None).cast("int")}
+
+    def rows(df: DataFrame, name, kinds: str, **given) -> DataFrame:
+        have = none | {c: F.col(c) for c in columns if c in df.columns} | {"dict": name if not isinstance(name, str) else F.lit(name), "kinds": F.lit(kinds)} | given
+        return df.select(*[have[c].alias(c) for c in columns])
+
+    words = dims["term"].where(F.startswith("kind", F.lit("lexicon_"))).select("term", "category", "level")
+    if lexicon_terms is not None:
+        level = F.lit("") if "level" not in lexicon_terms.columns else F.col("level")
+        words = words.unionByName(lexicon_terms.join(words.select("term"), "term", "left_anti").select("term", "category", level.alias("level")))
+    marks = dims["term"].where(F.col("kind").isin("reporting", "rejection", "technical", "unambiguous_benign", "actionable"))
+    out = rows(words, "lexicon", "v").unionByName(rows(marks, "mark", "cd", category=F.col("kind"), level=F.lit("")))
+    out = out.unionByName(rows(dims["term"].where("kind = 'risk_phrase'"), "risk_phrase", "v", category=F.lit(""), level=F.lit("")))
+    out = out.unionByName(rows(structure.rule_words(dims["rule"]), F.col("side"), "cdp"))
+    fit = [k for k, (_, w) in enumerate(candidates) if len(w) >= fuzzy["min_word_runes"]]
+    pieces = [(t, fit[k]) for t, k in lexicon.seeds([candidates[k][1] for k in fit], fuzzy["max_distance"])]
+    return out.unionByName(rows(spark.createDataFrame(pieces, "term string, word_no int"), "piece", "cs"))
 
 
 def _behavior(base: DataFrame, history: DataFrame | None, rules: dict) -> DataFrame:

@@ -64,10 +64,13 @@ def exempt_contact(col: Column) -> Column:
     return reduce(or_, rows)
 
 
-def clause_benign(clauses: DataFrame, terms: DataFrame, patterns: list[str]) -> DataFrame:
+def clause_benign(clauses: DataFrame, terms: DataFrame | None, patterns: list[str], found: DataFrame | None = None) -> DataFrame:
     """Add ``benign`` to clauses: empty; else no actionable pattern and an unambiguous mark; else no actionable mark and a
-    reporting, rejection or technical one. Marks are found by join, one row per clause and kind."""
-    kinds = contains_any(clauses, terms, ["comment_id", "clause"], "compact").groupBy("comment_id", "clause").agg(F.collect_set("kind").alias("__kinds"))
+    reporting, rejection or technical one. Marks are found by join, one row per clause and kind: ``found(comment_id, clause,
+    kind)``, looked up here unless it is given."""
+    if found is None:
+        found = contains_any(clauses, terms, ["comment_id", "clause"], "compact")
+    kinds = found.groupBy("comment_id", "clause").agg(F.collect_set("kind").alias("__kinds"))
     j = clauses.join(kinds, ["comment_id", "clause"], "left").withColumn("__kinds", F.coalesce("__kinds", F.array().cast("array<string>")))
     has = lambda k: F.array_contains("__kinds", k)
     act = F.lit(False)
@@ -77,28 +80,38 @@ def clause_benign(clauses: DataFrame, terms: DataFrame, patterns: list[str]) ->
     return j.withColumn("benign", benign).drop("__kinds")
 
 
+def clause_flags(clauses: DataFrame) -> DataFrame:
+    """Add what the structure rules and the suppression ask of a clause, so that each pattern is tried once: ``has_script``,
+    ``has_url``, ``has_contact`` (symbols included, exempt ones not) and ``has_account`` (without symbols, exempt or not)."""
+    if "has_url" in clauses.columns:
+        return clauses
+    n = F.col("normalized")
+    plain = is_contact(n, False)
+    rows = clauses.withColumn("has_script", matches(n, SCRIPT)).withColumn("has_url", is_url(n)).withColumn("has_account", plain)
+    return rows.withColumn("has_contact", (F.col("has_account") | matches(n, SYMBOL_ACCOUNT)) & ~exempt_contact(n))
+
+
 def text_quality(compact: Column) -> Column:
     """``no_words``, ``numeric``, ``number_like``, ``repeated``, or null; in whole numbers, JVM only."""
     n = F.length(compact)
     like = n - F.length(F.regexp_replace(compact, _NUMBER_LIKE, ""))
     chars = F.split(compact, "")
-    top = F.aggregate(F.array_distinct(chars), F.lit(0), lambda a, c: F.greatest(a, F.size(F.filter(chars, lambda x: x == c))))
+    top = F.aggregate(F.array_distinct(chars), F.lit(0), lambda a, c: F.greatest(a, n - F.length(F.replace(compact, c, F.lit("")))))
     return F.when(n == 0, "no_words").when((n >= 5) & compact.rlike(r"^\p{N}+$"), "numeric").when((n >= 5) & (like * 10 >= n * 6), "number_like").when((n >= 6) & (top * 4 >= n * 3), "repeated")
 
 
-def structure_signals(comments: DataFrame, clauses: DataFrame, risk_phrases: DataFrame, risk_patterns: list[str], levels: dict[str, str]) -> DataFrame:
+def structure_signals(comments: DataFrame, clauses: DataFrame, risk_phrases: DataFrame | None, risk_patterns: list[str], levels: dict[str, str], found: DataFrame | None = None) -> DataFrame:
     """Signals ``(comment_id, seq, category, level, evidence, rule_id)`` in fixed rule order.
 
     ``comments(comment_id, normalized, compact, decoded)``; ``clauses(comment_id, clause, normalized, compact, benign)``.
-    A rule on the whole text counts unless every clause is benign; on a clause, unless that clause is.
+    A rule on the whole text counts unless every clause is benign; on a clause, unless that clause is. ``found(comment_id)``:
+    comments with a risk phrase, looked up here unless they are given.
     """
-    flags = clauses.groupBy("comment_id").agg(
-        F.bool_and("benign").alias("all_benign"),
-        F.bool_or(matches(F.col("normalized"), SCRIPT) & ~F.col("benign")).alias("script"),
-        F.bool_or(is_url(F.col("normalized")) & ~F.col("benign")).alias("url"),
-        F.bool_or(is_contact(F.col("normalized")) & ~exempt_contact(F.col("normalized")) & ~F.col("benign")).alias("contact"),
-    )
-    phrases = contains_any(comments, risk_phrases, ["comment_id"], "compact").select("comment_id", F.lit(True).alias("phrase")).distinct()
+    live = lambda name: F.bool_or(F.col(name) & ~F.col("benign"))
+    flags = clause_flags(clauses).groupBy("comment_id").agg(F.bool_and("benign").alias("all_benign"), live("has_script").alias("script"), live("has_url").alias("url"), live("has_contact").alias("contact"))
+    if found is None:
+        found = contains_any(comments, risk_phrases, ["comment_id"], "compact")
+    phrases = found.select("comment_id", F.lit(True).alias("phrase")).distinct()
     j = comments.join(flags, "comment_id", "left").join(phrases, "comment_id", "left")
     norm, live = F.col("normalized"), ~F.coalesce("all_benign", F.lit(False))
     risky = F.coalesce("phrase", F.lit(False))
@@ -120,19 +133,28 @@ def structure_signals(comments: DataFrame, clauses: DataFrame, risk_phrases: Dat
     return rows.select("comment_id", "s.seq", F.col("s.rule_id").alias("category"), F.coalesce(level[F.col("s.rule_id")], default).alias("level"), "s.evidence", "s.rule_id")
 
 
-def combination_signals(clauses: DataFrame, rules: DataFrame) -> DataFrame:
+def combination_signals(clauses: DataFrame, rules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """``(comment_id, seq, category, level, evidence, rule_id, clause)``: a subject and another predicate of one rule in one
-    clause that is not benign, each pair once, at its first clause. Both word lists are found by join."""
+    clause that is not benign, each pair once, at its first clause. Both word lists are found by join, in one pass:
+    ``found(comment_id, clause, side, rule_no, word_no, term)``, looked up here unless it is given."""
     live = clauses.where(~F.col("benign"))
-    views = live.select("comment_id", "clause", F.explode(F.array_distinct(F.array("compact", "pinyin"))).alias("text")).where("text <> ''")
+    if found is None:
+        views = live.select("comment_id", "clause", F.explode(F.array_distinct(F.array("compact", "pinyin"))).alias("text")).where("text <> ''")
+        found = term_hits(views, rule_words(rules), ["comment_id", "clause"])
+    else:
+        found = found.join(live.select("comment_id", "clause"), ["comment_id", "clause"], "left_semi")
 
     def side(column: str, name: str) -> DataFrame:
-        words = rules.select("rule_no", F.posexplode(column).alias(f"{name}_no", "term"))
-        hits = term_hits(views, words, ["comment_id", "clause"])
-        return hits.groupBy("comment_id", "clause", "rule_no", F.col("term").alias(name)).agg(F.min(f"{name}_no").alias(f"{name}_no"))
+        return found.where(F.col("side") == column).groupBy("comment_id", "clause", "rule_no", F.col("term").alias(name)).agg(F.min("word_no").alias(f"{name}_no"))
 
     pairs = side("subjects", "subject").join(side("predicates", "predicate"), ["comment_id", "clause", "rule_no"]).where("subject <> predicate")
     first = pairs.groupBy("comment_id", "rule_no", "subject", "predicate").agg(F.min(F.struct("clause", "subject_no", "predicate_no")).alias("f"))
     named = first.join(F.broadcast(rules.select("rule_no", F.col("id").alias("rule_id"), "category", "level")), "rule_no")
     seq = F.col("rule_no") * 1_000_000_000_000 + F.col("f.clause").cast("long") * 100_000_000 + F.col("f.subject_no").cast("long") * 10_000 + F.col("f.predicate_no")
     return named.select("comment_id", seq.alias("seq"), "category", "level", F.concat_ws("+", "subject", "predicate").alias("evidence"), "rule_id", F.col("f.clause").alias("clause"))
+
+
+def rule_words(rules: DataFrame) -> DataFrame:
+    """``(side, rule_no, word_no, term)`` of the combination rules."""
+    one = lambda column: rules.select(F.lit(column).alias("side"), "rule_no", F.posexplode(column).alias("word_no", "term"))
+    return one("subjects").unionByName(one("predicates"))

@@ -21,15 +21,17 @@ from inkwell.streaming import stateful, twins
 SLICES = 3
 
 
-def in_slices(spark: SparkSession, df: DataFrame, ts: str, run: Callable[[str], object], write: Callable[[DataFrame, str], None] | None = None) -> str:
-    """Write ``df`` slice by slice into one folder and call ``run(base)`` after each, which starts a stream over ``base/in``."""
+def in_slices(spark: SparkSession, df: DataFrame, ts: str, run: Callable[[str], object], write: Callable[[DataFrame, str], None] | None = None, restart: bool = True) -> str:
+    """Write ``df`` slice by slice into one folder and call ``run(base)``, which starts a stream over ``base/in``, after each; or,
+    without ``restart``, after the last one."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     low, high = df.agg(F.min(ts), F.max(ts)).first()
     for k in range(SLICES):
         a, b = low + (high - low + 1) * k // SLICES, low + (high - low + 1) * (k + 1) // SLICES
         part = df.where((F.col(ts) >= a) & (F.col(ts) < b))
         (write or (lambda d, at: d.write.mode("append").parquet(at)))(part, f"{base}/in")
-        run(base).awaitTermination()
+        if restart or k == SLICES - 1:
+            run(base).awaitTermination()
     return base
 
 
@@ -69,8 +71,9 @@ def _(spark, sf):
 @query("stream_count_views", ORACLES["count_views"])
 def _(spark, sf):
     article, event = view(spark, sf, "article").select("id", "status"), view(spark, sf, "view_event").select("event_id", "article_id")
-    read = lambda base: spark.readStream.schema(event.schema).parquet(f"{base}/in")
-    base = in_slices(spark, event, "event_id", lambda base: twins.count_views_into(read(base), article, f"{base}/views", f"{base}/checkpoint"))
+    read = lambda base: spark.readStream.schema(event.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    run = lambda base: twins.count_views_into(read(base), article, f"{base}/views", f"{base}/checkpoint")
+    base = in_slices(spark, event, "event_id", run, lambda part, at: part.coalesce(2).write.mode("append").parquet(at), restart=False)
     return twins.view_table(spark, f"{base}/views").read()
 
 

@@ -37,6 +37,64 @@ def test_fuzzy():
             assert (None if got is None else (got[1], (got[0] + 1) // 2)) == lexicon.closest_window([text], word, distance)
 
 
+def test_anchors_leave_few_places(spark):
+    """Rows that meet the dictionary are places of a term's rarest pair: at least five times fewer than places and keys."""
+    rng = random.Random(12)
+    words = ["the", "then", "of", "and", "table", "notice", "reading", "quartz", "zebra", "ox", "q", "'", "a{b", "back\\slash"]
+    prose = ["the", "and", "other", "notes", "in", "tables", "here", "reads", "quickly", "oxen", "it's", "a{bc", "back\\slashes", "{}"]
+    texts = [" ".join(rng.choice(prose) for _ in range(40)) for _ in range(200)] + ["", "q", "quartz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    terms = spark.createDataFrame([(w,) for w in [*words, "", None]], "term string")
+    hits = sorted((r.id, r.pos, r.term) for r in lexicon.term_hits(df, terms, ["id"]).collect())
+    assert hits == sorted((i, at + 1, w) for i, t in enumerate(texts) for w in words for at in range(len(t)) if t.startswith(w, at))
+    _, anchors, reach, width = lexicon.anchored_terms(df, terms)
+    few = lexicon.anchor_places(df, ["id"], anchors, reach, width).count()
+    every = lexicon.anchor_places(df, ["id"], None, reach, width).count()
+    assert few * 5 <= every
+    some = ["reading", "quartz", "table"]
+    anchors = lexicon.rarest_pairs(df, some, share=1)
+    count = lambda pair: sum(t.count(pair) for t in texts)
+    assert all(count(pair) == min(count(w[i : i + 2]) for i in range(len(w) - 1)) and w[off : off + 2] == pair for w, (pair, off) in anchors.items())
+
+
+def test_dictionaries_beyond_the_bound_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "abcabc ab"), (2, "b")], "id long, text string")
+    terms = spark.createDataFrame([("abc",), ("b",), ("bc",)], "term string")
+    want = sorted(map(tuple, lexicon.term_hits(df, terms, ["id"], context=True).collect()))
+    monkeypatch.setattr(lexicon, "MAX_BROADCAST_TERMS", 2)
+    assert sorted(map(tuple, lexicon.term_hits(df, terms, ["id"], context=True).collect())) == want
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_pieces_lose_no_near_miss(spark, distance):
+    rng = random.Random(distance)
+    words = ["abcda", "bbаcd", "dcbaab", "abab"]
+    rows = []
+    for k in range(300):
+        compact = "".join(rng.choice("abcdа") for _ in range(rng.randrange(0, 14)))
+        rows.append((k, 1, compact, T.skeleton(compact)))
+    df = spark.createDataFrame(rows, "comment_id long, clause int, compact string, skeleton string")
+    want = set()
+    for k, _, compact, skeleton in rows:
+        for w in words:
+            x, y = (lexicon.closest_windows([v], w, distance)[0] for v in (compact, skeleton if skeleton != compact else ""))
+            if m := y if x is None or (y is not None and y[0] < x[0]) else x:
+                want.add((k, w, f"{m[1]}~{w}(d={(m[0] + 1) // 2})"))
+    got = {(r.comment_id, r.word, r.evidence) for r in lexicon.fuzzy_signals(df, [("c", w) for w in words], distance).collect()}
+    assert got == want and len(got) > 50
+
+
+def test_tables_dealt_alike_join_without_an_exchange(spark):
+    from inkwell.functions.checkpoint import co_partitioned, settings
+
+    one = co_partitioned(spark.range(100).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("no")), "id")
+    two = co_partitioned(one.where("no > 1").groupBy("id", "no").count(), "id")
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__requireAllClusterKeysForCoPartition="false"):
+        plan = one.join(two, ["id", "no"], "left").unionByName(one.withColumn("count", F.lit(1).cast("long"))).groupBy("id").agg(F.sum("count"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_gray_golden(spark):
     rules = [SPAM]
     p = {"combination_rules": rules, "decision": {"rule_scores": {"context:spam_fraud:commercial_spam:review": 60}}}
