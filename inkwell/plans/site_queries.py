@@ -248,6 +248,12 @@ def _(spark, sf):
     return community.approved_parents(view(spark, sf, "comment"), page=2, page_size=2)
 
 
+@query("approved_parents_second", with_views("comment", f"select * from ({_PARENTS}) where position = 2"))
+def _(spark, sf):
+    """A page that has rows: the second parent of every article."""
+    return community.approved_parents(view(spark, sf, "comment"), page=2, page_size=1)
+
+
 _REPLIES = """select parent_id, id, user_id, content, create_time, row_number() over (partition by parent_id order by create_time, id) as position, count(*) over (partition by parent_id) as total
 from comment where status = 'approved' and parent_id in (select id from comment where status = 'approved' and parent_id = 0)"""
 

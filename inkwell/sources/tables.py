@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -23,10 +24,67 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, column: str = "id", lower: int = 0, upper: int = 1 << 62, partitions: int = 64, **options: str) -> DataFrame:
-    """A table over JDBC, read in parallel by ranges of its id."""
-    bounds = {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **bounds, **options).load().select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
+Pieces = list[tuple[int, int, int]]
+
+
+def balanced_ranges(low: int, high: int, rows: int, partitions: int, histogram: Callable[[int, int, int], dict[int, int]], bins: int = 1024) -> list[tuple[int, int]]:
+    """Ranges [start, end) that cover ``low`` to ``high`` and hold about ``rows / partitions`` rows each.
+
+    ``histogram(start, end, width)`` counts the rows by (value - start) div width. The whole range is counted in bins first; a bin
+    that alone holds more than a partition should is counted in bins again, so ids may lie as unevenly as they like. A value
+    that more rows share than that stays one range. At most ``partitions`` questions a level, of ``bins`` rows each.
+    """
+    most = max(1, -(-rows // partitions))
+    pieces: Pieces = [(low, high + 1, rows)]
+    while any(n > most and end - start > 1 for start, end, n in pieces):
+        finer: Pieces = []
+        for start, end, n in pieces:
+            if n <= most or end - start <= 1:
+                finer.append((start, end, n))
+                continue
+            width = -(-(end - start) // bins)
+            finer += [(start + b * width, min(end, start + (b + 1) * width), k) for b, k in sorted(histogram(start, end, width).items())]
+        pieces = finer
+    out: list[tuple[int, int]] = []
+    begin, held = low, 0
+    for start, _, n in pieces:
+        if held and held + n > most:
+            out.append((begin, start))
+            begin, held = start, 0
+        held += n
+    return [*out, (begin, high + 1)]
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str = "id", partitions: int = 64, table: str | None = None, bins: int = 1024, **options: str) -> DataFrame:
+    """The table ``name`` over JDBC, read in parallel by ranges of a whole-number column that hold equally many rows.
+    ``column`` and ``table`` are written as the source's SQL wants them, quoted if need be.
+
+    The bounds come from counts that the source makes itself; rows without a value are read with the first range. Rows that
+    change value meanwhile may be missed or seen twice, as with any read in several statements.
+    """
+    source = table or name
+
+    def ask(sql: str) -> list:
+        return spark.read.format("jdbc").options(url=url, query=sql, **options).load().collect()
+
+    low, high, rows = ask(f"select min({column}) as lo, max({column}) as hi, count({column}) as n from {source}")[0]
+
+    def histogram(start: int, end: int, width: int) -> dict[int, int]:
+        bin_of = f"floor(cast({column} - {start} as double precision) / {width})"
+        found = ask(f"select b, count(*) as n from (select {bin_of} as b from {source} where {column} >= {start} and {column} < {end}) t group by b")
+        last = (end - start - 1) // width
+        out: dict[int, int] = {}
+        for b, n in found:  # doubles may put the last values of a bin into the next one, which unbalances nothing
+            out[min(int(b), last)] = out.get(min(int(b), last), 0) + int(n)
+        return out
+
+    none = f"{column} is null"
+    ranges = balanced_ranges(int(low), int(high), int(rows), partitions, histogram, bins) if low is not None else []
+    predicates = [f"({column} >= {a} and {column} < {b})" for a, b in ranges] or [none]
+    if ranges:
+        predicates[0] = f"({predicates[0]} or {none})"
+    df = spark.read.jdbc(url, source, predicates=predicates, properties=dict(options))
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
