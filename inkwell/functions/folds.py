@@ -130,6 +130,23 @@ def anchored_step(window: int) -> Step:
     return step
 
 
+def anchored_chain_step(windows: Sequence[int]) -> Step:
+    """Counters like :func:`anchored_step` of one key, one after the other: the first one that is exceeded stops the chain, so
+    later ones do not see the event. The thresholds come with each row. Gives the number of that counter, or None."""
+
+    def step(state, row):
+        ts, *thresholds = row
+        held = list(state) if state is not None else [None] * len(windows)
+        for k, (window, threshold) in enumerate(zip(windows, thresholds, strict=True)):
+            start, n = held[k] if held[k] is not None and ts <= held[k][0] + window else (ts, 0)
+            held[k] = (start, n + 1)
+            if n + 1 > threshold:
+                return tuple(held), (k,)
+        return tuple(held), (None,)
+
+    return step
+
+
 def sliding_step(limit: int, window: int) -> Step:
     """Admit while fewer than ``limit`` admitted events lie in (now - window, now]; refused events leave no trace."""
 

@@ -44,6 +44,12 @@ def anchored_rate(df: DataFrame, keys: Sequence[str], window: int, threshold: st
     return folds.ordered_fold(df, keys, [ts, tie], [ts, threshold], f"{out}_count long, {out}_exceeded boolean", folds.anchored_step(window), active, split)
 
 
+def anchored_chain(df: DataFrame, keys: Sequence[str], windows: Sequence[int], thresholds: Sequence[str], ts: str = "ts", tie: str = "id", active=None, out: str = "exceeded", split_rows: int | None = SPLIT_ROWS, source: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: the number of the first of several windows of one key that the event exceeds, null if none. One shuffle for all."""
+    split = silences(source, df, keys, ts, max(windows), split_rows)
+    return folds.ordered_fold(df, keys, [ts, tie], [ts, *thresholds], f"{out} int", folds.anchored_chain_step(windows), active, split)
+
+
 def sliding_admission(df: DataFrame, keys: Sequence[str], limit: int, window: int, ts: str = "ts", tie: str = "id", active=None, prefix: str = "", split_rows: int | None = SPLIT_ROWS, source: DataFrame | None = None) -> DataFrame:
     """Add ``allowed``, ``admitted`` (admitted events in the window) and ``retry_ms`` (at least a second when refused). Hot keys are
     folded in segments."""

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkwell.operators.rates import SPLIT_ROWS, anchored_rate, throttle_first
+from inkwell.operators.rates import SPLIT_ROWS, anchored_chain, throttle_first
 
 # User-agent marks, fetch modes, scores and limits.
 UA_BLOCKED = "bot spider crawl slurp googlebot baiduspider bingbot yandexbot duckduckbot headless phantomjs curl wget python-requests go-http-client".split()
@@ -159,12 +159,15 @@ def _limit(k: int, scale: dict | None = None) -> Column:
 
 def risk_rate_chain(df: DataFrame, limits: dict | None = None, active: Column | None = None, ts: str = "server_ms", tie: str = "request_id", split_rows: int | None = SPLIT_ROWS, source: DataFrame | None = None) -> DataFrame:
     """Address per minute, address per hour, fingerprint per minute; the first one exceeded stops the chain, so later
-    counters do not see the request. Adds ``rate_reason`` (null if none)."""
+    counters do not see the request. The two windows of an address are one fold. Adds ``rate_reason`` (null if none)."""
     out = df.withColumn("rate_reason", F.lit(None).cast("string"))
-    on = active if active is not None else F.lit(True)
-    for k, (column, window, reason) in enumerate((("ip", 60_000, "L3_RATE_IP"), ("ip", 3_600_000, "L3_RATE_IP"), ("fp", 60_000, "L3_RATE_FP"))):
-        out = anchored_rate(out.withColumn("__limit", _limit(k, limits)), ["scene", column], window, "__limit", ts, tie, on & F.col("rate_reason").isNull(), "__n", split_rows, source if source is not None else df)
-        out = out.withColumn("rate_reason", F.when(F.col("__n_exceeded"), reason).otherwise(F.col("rate_reason"))).drop("__n_count", "__n_exceeded", "__limit")
+    on, source = active if active is not None else F.lit(True), source if source is not None else df
+    for column, windows, first, reason in (("ip", (60_000, 3_600_000), 0, "L3_RATE_IP"), ("fp", (60_000,), 2, "L3_RATE_FP")):
+        names = [f"__limit{k}" for k in range(len(windows))]
+        for k, name in enumerate(names):
+            out = out.withColumn(name, _limit(first + k, limits))
+        out = anchored_chain(out, ["scene", column], windows, names, ts, tie, on & F.col("rate_reason").isNull(), "__over", split_rows, source)
+        out = out.withColumn("rate_reason", F.when(F.col("__over").isNotNull(), reason).otherwise(F.col("rate_reason"))).drop("__over", *names)
     return out
 
 
