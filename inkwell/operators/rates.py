@@ -30,6 +30,27 @@ def silences(source: DataFrame | None, df: DataFrame, keys: Sequence[str], ts: s
     return folds.silences(source if source is not None else df, keys, ts, reset, split_rows) if split_rows is not None else None
 
 
+# Per scene the limits in the order in which they are checked: name, key columns, events, seconds.
+LIMITS = {
+    "account_login": [("ip", ("ip",), 8, 600), ("username", ("username",), 5, 1800), ("username_ip", ("username", "ip"), 3, 600)],
+    "bind_dynamic_code": [("ip", ("ip",), 6, 600), ("challenge", ("challenge",), 4, 180)],
+    "verify_dynamic_code": [("ip", ("ip",), 10, 600), ("challenge", ("challenge",), 4, 180)],
+    "comment_submit": [("ip", ("ip",), 20, 600), ("user", ("user_id",), 10, 300), ("user_article", ("user_id", "article_id"), 5, 300)],
+    "comment_report": [("ip", ("ip",), 30, 86_400), ("user", ("user_id",), 10, 86_400), ("ip_comment", ("ip", "comment_id"), 2, 86_400)],
+    "bug_feedback": [("ip", ("ip",), 3, 3600)],
+}
+
+
+def rules_for(scene: str, settings: dict | None = None) -> list[Rule]:
+    """The rules of a scene for :func:`admission_chain`. ``settings`` may be ``disabled`` (no rules) and may give a rule's ``limit`` and
+    ``window_seconds``; what is absent or not positive is the scene's own."""
+    settings = settings or {}
+    if settings.get("disabled"):
+        return []
+    given = lambda name, field, default: value if (value := (settings.get(name) or {}).get(field) or 0) > 0 else default
+    return [Rule(name, keys, given(name, "limit", limit), 1000 * given(name, "window_seconds", seconds)) for name, keys, limit, seconds in LIMITS[scene]]
+
+
 def throttle_first(df: DataFrame, keys: Sequence[str], ttl: int, ts: str = "ts", tie: str = "id", active=None, out: str = "kept", split_rows: int | None = SPLIT_ROWS, source: DataFrame | None = None) -> DataFrame:
     """Add ``kept``: the first event of a key and each one more than ``ttl`` after the last kept one. A key of more than
     ``split_rows`` rows is folded in segments, between silences that reset it."""

@@ -248,6 +248,24 @@ def admission_chain(spark, sf):
     return rates.admission_chain(_attempts(spark, sf), rules, "ts_ms", "attempt_id")
 
 
+def _login_step(k: int, key: str, source: str, limit: int, window: int) -> str:
+    return _STEP.format(k=k, key=key, source=source, limit=limit).replace("60000", str(window))
+
+
+@query(
+    "login_admission",
+    _recursive(
+        "attempt",
+        _login_step(1, "ip", "attempt", 8, 600_000) + _login_step(2, "username", "a1", 5, 1_800_000) + _login_step(3, "username || '/' || ip", "a2", 3, 600_000)
+        + """ select a.*, case when not f1.ok then 'ip' when not f2.ok then 'username' when not f3.ok then 'username_ip' end as refused_by, coalesce(f3.wait, f2.wait, f1.wait) as retry_ms
+from attempt a join f1 using (attempt_id) left join f2 using (attempt_id) left join f3 using (attempt_id)""",
+    ),
+)
+def _(spark, sf):
+    """The rules of logins as they stand."""
+    return rates.admission_chain(_attempts(spark, sf), rates.rules_for("account_login"), "ts_ms", "attempt_id")
+
+
 # State after each attempt: failures n from start, level from since, locked until. The first attempt meets the state of none.
 _BACKOFF = """, o as (select *, row_number() over (partition by username order by ts_ms, attempt_id) as rn from attempt),
 z as (select username, cast(0 as bigint) as rn, cast(null as bigint) as attempt_id, cast(0 as bigint) as n, cast(0 as bigint) as start, cast(0 as bigint) as level, cast(0 as bigint) as since, cast(-1 as bigint) as until, '' as outcome, cast(0 as bigint) as shown, cast(0 as bigint) as wait_ms from (select distinct username from attempt)

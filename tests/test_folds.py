@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import folds
+from inkwell.functions import columns as C, folds
 from inkwell.operators import rates, risk
 from inkwell.operators.moderation import behavior
 from inkwell.streaming import twins
@@ -58,6 +58,21 @@ def test_chain_keeps_earlier_admissions(spark):
     assert got == {1: None, 2: "user", 3: None, 4: "ip", 5: None}
 
 
+def test_rules_of_a_scene():
+    brief = lambda scene, settings=None: [(r.name, r.limit, r.window_ms // 1000) for r in rates.rules_for(scene, settings)]
+    assert brief("comment_submit") == [("ip", 20, 600), ("user", 10, 300), ("user_article", 5, 300)]
+    assert brief("comment_report") == [("ip", 30, 86400), ("user", 10, 86400), ("ip_comment", 2, 86400)]
+    assert brief("comment_submit", {"user": {"limit": 7, "window_seconds": 0}, "ip": None})[:2] == [("ip", 20, 600), ("user", 7, 300)]
+    assert brief("account_login", {"disabled": True}) == []
+
+
+def test_limit_keys_use_separate_dimensions(spark):
+    """User 10001 on article or comment 20002 from one address, with and without white space around it."""
+    row = spark.range(1).select(*[C.rate_key(*[F.lit(p) for p in parts]).alias(n) for n, parts in {"ip": [" 127.0.0.1 "], "same": ["127.0.0.1"], "user": [10001], "user_article": [10001, 20002], "ip_comment": ["127.0.0.1", 20002], "none": [" "], "unknown": ["unknown"]}.items()]).first()
+    assert row.ip == row.same and row.none == row.unknown
+    assert len({row.ip, row.user, row.user_article, row.ip_comment, row.none}) == 5
+
+
 def test_backoff(spark):
     rows = [(i, "u", t, ok) for i, (t, ok) in enumerate([(0, False), (10, False), (20, True), (30, False), (40, False), (50, False), (300_051, False), (300_052, False), (1_200_060, True)])]
     df = spark.createDataFrame(rows, "id long, k string, ts long, success boolean")
