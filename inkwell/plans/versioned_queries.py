@@ -14,8 +14,8 @@ from inkwell.plans.views import view, with_views
 from inkwell.sources.versions import VersionedTable
 
 
-def stored(spark: SparkSession, df: DataFrame, keys: list[str], buckets: int = 16) -> VersionedTable:
-    return VersionedTable.create(df, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", keys, buckets)
+def stored(spark: SparkSession, df: DataFrame, keys: list[str]) -> VersionedTable:
+    return VersionedTable.create(df, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", keys)
 
 
 @query("versioned_upsert_images", ORACLES["upsert_images"])

@@ -80,6 +80,7 @@ class VersionedTable:
 
     #: What may be broadcast of the deltas: rows and bytes on disk, as the manifest counts them.
     BROADCAST = (200_000, 8 << 20)
+    BUCKET_BYTES = 64 << 20
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), _Files(spark, path)
@@ -87,9 +88,13 @@ class VersionedTable:
     # -- versions --
 
     @classmethod
-    def create(cls, df: DataFrame, path: str, keys: Sequence[str], buckets: int = 64) -> VersionedTable:
-        """Version 0 from all rows of ``df``. A null or repeated key is an error. Choose ``buckets`` for some hundred MB each."""
+    def create(cls, df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> VersionedTable:
+        """Version 0 from all rows of ``df``. A null or repeated key is an error. Without ``buckets``, as many as the plan's size
+        estimate has stretches of ``BUCKET_BYTES``, 16 at least and 65,536 at most."""
         table = cls(df.sparkSession, path)
+        if buckets is None:
+            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            buckets = min(1 << 16, max(16, -(-size // cls.BUCKET_BYTES)))
         bad = df.groupBy(*keys).count().where(" or ".join(["count > 1", *(f"`{k}` is null" for k in keys)]))
         if not bad.isEmpty():
             raise ValueError(f"{', '.join(keys)} has to be unique and not null")

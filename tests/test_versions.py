@@ -160,6 +160,16 @@ def test_vacuum(spark, base, tmp_path):
     assert table.version() == 2
 
 
+def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(2000)], "id long, v string")
+    df.write.parquet(str(tmp_path / "src"))
+    src = spark.read.parquet(str(tmp_path / "src"))
+    assert VersionedTable.create(src, str(tmp_path / "one"), ["id"]).manifest()["buckets"] == 16
+    monkeypatch.setattr(VersionedTable, "BUCKET_BYTES", 500)
+    table = VersionedTable.create(src, str(tmp_path / "two"), ["id"])
+    assert table.manifest()["buckets"] > 16 and table.read().count() == 2000
+
+
 def test_keys_are_checked(spark, tmp_path):
     for bad in ([(1, "a"), (1, "b")], [(None, "a")]):
         with pytest.raises(ValueError, match="unique"):
