@@ -93,7 +93,7 @@ class VersionedTable:
         estimate has stretches of ``BUCKET_BYTES``, 16 at least and 65,536 at most."""
         table = cls(df.sparkSession, path)
         if buckets is None:
-            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
             buckets = min(1 << 16, max(16, -(-size // cls.BUCKET_BYTES)))
         bad = df.groupBy(*keys).count().where(" or ".join(["count > 1", *(f"`{k}` is null" for k in keys)]))
         if not bad.isEmpty():
