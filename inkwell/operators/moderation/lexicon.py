@@ -30,8 +30,8 @@ def rarest_pairs(texts: DataFrame, words: list[str], text: str = "text", share:
     seen: dict[str, int] = {}
     if any(len(w) > 2 for w in words):
         some = texts.where((F.length(text) > 0) & (F.pmod(F.xxhash64(text), F.lit(share)) == 0)).select(F.split(F.col(text), "").alias("__chars"))
-        chosen = f"filter(transform(sequence(1, size(__chars)), p -> {_pairs(_quoted(''))}), x -> x in ({', '.join(map(_quoted, sorted(pairs)))}))"
-        seen = dict(some.select(F.explode(F.expr(chosen)).alias("pair")).groupBy("pair").count().collect())  # a row a pair at most
+        spread = some.where("size(__chars) > 0").select("__chars", F.expr("explode(sequence(1, size(__chars))) as p")).select(F.expr(_pairs(_quoted(""))).alias("pair"))
+        seen = dict(spread.where(F.col("pair").isin(sorted(pairs))).groupBy("pair").count().collect())  # a row a pair at most
     return {w: (w, 0) if len(w) == 1 else min((seen.get(w[i : i + 2], 0), i, w[i : i + 2]) for i in range(len(w) - 1))[:0:-1] for w in words}
 
 
@@ -56,22 +56,25 @@ def anchor_places(texts: DataFrame, keys: list[str], anchors: list[str] | None,
     ``__from`` on. Places without an anchor become no rows, and texts are not copied."""
     cut = texts.where(F.length(text) > 0).select(*keys, F.split(F.col(text), "").alias("__chars"))
     pair, one = _pairs(_quoted("")), "get(__chars, p - 1)"
-    wanted, every = "true", f"array_distinct(array({pair}, {one}))"
-    if anchors is not None:
-        listed = lambda keys: ", ".join(map(_quoted, keys)) or "''"
-        single = [k for k in anchors if len(k) == 1]
-        wanted = f"{pair} in ({listed([k for k in anchors if len(k) == 2])})" + (f" or {one} in ({listed(single)})" if single else "")
-        every = f"filter({every}, k -> k in ({listed(anchors)}))"
-    begin = f"greatest(x.pos - {reach + 1}, 1)"
-    before = "array_join(slice(__chars, greatest(x.pos - {n}, 1), least(x.pos - 2, {n} - 1)), '')"
-    close, far = before.format(n=10), "array_join(slice(__chars, 1, x.pos - 2), '')"
+    listed = lambda keys: ", ".join(map(_quoted, keys)) or "''"
+    if anchors is None:
+        wanted, found = "true", f"explode(array_distinct(array({pair}, {one})))"
+    else:
+        double, single = f"{pair} in ({listed([k for k in anchors if len(k) == 2])})", f"{one} in ({listed([k for k in anchors if len(k) == 1])})"
+        wanted, found = double, pair
+        if any(len(k) == 1 for k in anchors):
+            wanted, found = f"({double} or {single})", f"explode(array(case when {double} then {pair} end, case when {single} then {one} end))"
+    begin = f"greatest(p - {reach + 1}, 1)"
+    before = "array_join(slice(__chars, greatest(p - {n}, 1), least(p - 2, {n} - 1)), '')"
+    close, far = before.format(n=10), "array_join(slice(__chars, 1, p - 2), '')"
     colon = lambda t: f"rlike({t}, '[:：][ \\\\t\\\\n\\\\x0B\\\\f\\\\r]*$')"
     # a quote that follows a colon and perhaps white space; only if white space fills what stands close, the rest is looked at
-    keyed = f"""case when x.pos > 2 and get(__chars, x.pos - 2) = '"' then case when {colon(close)} then true when x.pos > 11 and trim({close}) = '' then {colon(far)} else false end else false end"""
-    fields = f"x.pos as pos, x.k as k, {begin} as f, array_join(slice(__chars, {begin}, x.pos - {begin} + {width + 2}), '') as piece" + (f", {keyed} as keyed" if context else "")
-    places = f"transform(transform(filter(sequence(1, size(__chars)), p -> {wanted}), p -> struct(p as pos, {every} as k)), x -> struct({fields}))"
-    rows = cut.select(*keys, F.explode(F.expr(places)).alias("__x"))
-    return rows.select(*keys, F.col("__x.pos").alias("pos"), F.explode("__x.k").alias("__key"), F.col("__x.f").alias("__from"), F.col("__x.piece").alias("__piece"), *([F.col("__x.keyed").alias("keyed")] if context else []))
+    keyed = f"""case when p > 2 and get(__chars, p - 2) = '"' then case when {colon(close)} then true when p > 11 and trim({close}) = '' then {colon(far)} else false end else false end as keyed"""
+    fields = ["p as pos", f"{begin} as __from", f"array_join(slice(__chars, {begin}, p - {begin} + {width + 2}), '') as __piece", *([keyed] if context else [])]
+    # the place is generated and tested in one compiled stage, so a place without an anchor is never a row in memory
+    places = cut.select(*keys, "__chars", F.expr("explode(sequence(1, size(__chars))) as p")).where(wanted)
+    rows = places.select(*keys, *map(F.expr, fields), F.expr(found).alias("__key")).where("__key is not null")
+    return rows.select(*keys, "pos", "__key", "__from", "__piece", *(["keyed"] if context else []))
 
 
 def term_hits(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term", context: bool = False) -> DataFrame:

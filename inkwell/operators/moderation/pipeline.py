@@ -55,7 +55,9 @@ def moderate(comments: DataFrame, policy: dict, lexicon_terms: DataFrame | None
     base = co_partitioned(analysed(comments), "comment_id")
     fuzzy = p["lexicon"]["fuzzy"]
     candidates = [(c, w) for c, ws in fuzzy["candidate_words"].items() for w in ws] if not fuzzy["disabled"] else []
-    hits = co_partitioned(lexicon.term_hits(_texts(base), _dictionary(spark, dims, lexicon_terms, candidates, fuzzy), ["comment_id", "kind", "no"], context=True).where(F.contains("kinds", F.col("kind"))), "comment_id")
+    found = lexicon.term_hits(_texts(base), _dictionary(spark, dims, lexicon_terms, candidates, fuzzy), ["comment_id", "kind", "no"], context=True).where(F.contains("kinds", F.col("kind")))
+    packed = co_partitioned(_packed(found), "comment_id")
+    hits = packed.select("comment_id", F.inline("hits"))
     of = lambda name: hits.where(F.col("dict") == name)
 
     parts = base.select("comment_id", F.explode("a.clauses").alias("c")).select("comment_id", "c.*")
@@ -117,6 +119,14 @@ def _texts(base: DataFrame) -> DataFrame:
     return base.select("comment_id", F.explode(F.concat(views, parts)).alias("x")).select("comment_id", "x.*")
 
 
+def _packed(hits: DataFrame) -> DataFrame:
+    """``(comment_id, hits)``: hits as arrays, which are cheaper to keep than rows. An array is those within 64 texts of a comment and
+    4,096 places, so a very long comment is many rows, not one."""
+    rest = [c for c in hits.columns if c not in ("comment_id", "kinds")]
+    near = [F.col("no").bitwiseAND(-64).alias("__texts"), F.col("pos").bitwiseAND(-4096).alias("__places")]
+    return hits.groupBy("comment_id", *near).agg(F.collect_list(F.struct(*rest)).alias("hits")).select("comment_id", "hits")
+
+
 def _dictionary(spark: SparkSession, dims: dict[str, DataFrame], lexicon_terms: DataFrame | None, candidates: list[tuple[str, str]], fuzzy: dict) -> DataFrame:
     """Every dictionary's terms with what they stand for and the kinds of texts they are looked up in, so that one pass finds all."""
     columns = ("dict", "kinds", "term", "category", "level", "rule_no", "word_no")

@@ -49,13 +49,24 @@ def _any(col: Column, parts: list[str]) -> Column:
     return out
 
 
+def _with(col: Column, parts: list[str], pattern: str) -> Column:
+    """:func:`matches`, tried only on texts that hold one of the parts, as every match does."""
+    return _any(F.lower(col), parts) & matches(col, pattern)
+
+
 def is_url(col: Column) -> Column:
-    return matches(col, DOMAIN) | matches(col, HIDDEN_DOMAIN)
+    return _with(col, [".", "http"], DOMAIN) | _with(col, ["hxxp", "点", "["], HIDDEN_DOMAIN)
 
 
 def is_contact(col: Column, symbols: bool = True) -> Column:
-    out = matches(col, PHONE) | matches(col, ACCOUNT) | matches(col, INTENT) | matches(col, HIDDEN_MAIL)
-    return out | matches(col, SYMBOL_ACCOUNT) if symbols else out
+    account = _with(col, ["v", "qq", "加", "群", "微信", "筘", "扣", "抠", "薇", "威", "扫码", "二维码"], ACCOUNT)
+    intent = _with(col, ["加", "v我", "联系", "私信", "进群", "扫码", "二维码", "绿泡泡", "绿信", "微信号", "账号写图片"], INTENT)
+    out = matches(col, PHONE) | account | intent | _with(col, ["dot"], HIDDEN_MAIL)
+    return out | is_symbol_account(col) if symbols else out
+
+
+def is_symbol_account(col: Column) -> Column:
+    return _with(col, [":", "："], SYMBOL_ACCOUNT)
 
 
 def exempt_contact(col: Column) -> Column:
@@ -88,7 +99,7 @@ def clause_flags(clauses: DataFrame) -> DataFrame:
     n = F.col("normalized")
     plain = is_contact(n, False)
     rows = clauses.withColumn("has_script", matches(n, SCRIPT)).withColumn("has_url", is_url(n)).withColumn("has_account", plain)
-    return rows.withColumn("has_contact", (F.col("has_account") | matches(n, SYMBOL_ACCOUNT)) & ~exempt_contact(n))
+    return rows.withColumn("has_contact", (F.col("has_account") | is_symbol_account(n)) & ~exempt_contact(n))
 
 
 def text_quality(compact: Column) -> Column:
@@ -96,8 +107,10 @@ def text_quality(compact: Column) -> Column:
     n = F.length(compact)
     like = n - F.length(F.regexp_replace(compact, _NUMBER_LIKE, ""))
     chars = F.split(compact, "")
-    top = F.aggregate(F.array_distinct(chars), F.lit(0), lambda a, c: F.greatest(a, n - F.length(F.replace(compact, c, F.lit("")))))
-    return F.when(n == 0, "no_words").when((n >= 5) & compact.rlike(r"^\p{N}+$"), "numeric").when((n >= 5) & (like * 10 >= n * 6), "number_like").when((n >= 6) & (top * 4 >= n * 3), "repeated")
+    kinds = F.array_distinct(chars)
+    top = F.aggregate(kinds, F.lit(0), lambda a, c: F.greatest(a, n - F.length(F.replace(compact, c, F.lit("")))))
+    few = (F.size(kinds) - 1) * 4 <= n  # else no one character can be three quarters
+    return F.when(n == 0, "no_words").when((n >= 5) & compact.rlike(r"^\p{N}+$"), "numeric").when((n >= 5) & (like * 10 >= n * 6), "number_like").when((n >= 6) & few & (top * 4 >= n * 3), "repeated")
 
 
 def structure_signals(comments: DataFrame, clauses: DataFrame, risk_phrases: DataFrame | None, risk_patterns: list[str], levels: dict[str, str], found: DataFrame | None = None) -> DataFrame:
