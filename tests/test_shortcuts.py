@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -58,3 +59,12 @@ def test_repeated_characters(spark):
     texts = ["".join(rng.choices("ab好😀", weights=[12, 1, 1, 1], k=rng.randrange(6, 13))) for _ in range(500)]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(structure.text_quality(F.col("t"))).collect()]
     assert got == ["repeated" if max(map(t.count, t)) * 4 >= 3 * len(t) else None for t in texts]
+
+
+def test_long_texts_leave_in_portions():
+    """A batch of many long texts is never analysed as one frame, and every text comes out once, in order."""
+    texts = ["a. " * 60_000, None, "", "b: c", *["long text. " * 40_000] * 8, "end"]
+    frames = list(text._analyse_series(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["x"])])))
+    assert max(f["normalized"].str.len().sum() for f in frames) <= text.ANALYSED and len(frames) > 4
+    assert [d for f in frames for d in f["normalized"]] == [text.analyse(t)["normalized"] for t in [*texts, "x"]]
+    assert [len(c) for f in frames for c in f["clauses"]] == [len(text.analyse(t)["clauses"]) for t in [*texts, "x"]]
