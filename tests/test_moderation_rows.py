@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators.moderation import decision, pipeline
+from inkwell.operators.moderation import decision, lexicon, pipeline
 from inkwell.plans.moderation_queries import POLICY
 from inkwell.plans.views import view
 from tests import rowwise
@@ -113,3 +113,22 @@ def test_preview_has_the_lines(spark):
 def test_empty_input(spark):
     m = pipeline.moderate(spark.createDataFrame([], INPUT), CHINESE)
     assert m.results.collect() == [] and m.signals.collect() == [] and m.suppressed.collect() == []
+
+
+def test_copies_are_judged_once(spark, monkeypatch):
+    """Every different text is analysed once, and the join back to the comments gives the same with and without a broadcast."""
+    df = table(spark, [t for t in texts(12, 11) for _ in range(6)], 4)
+    once = pipeline.distinct_texts(df)
+    assert once.few and once.texts.count() == len({t or "" for t in texts(12, 11)}) < once.rows.count() == df.count()
+    compare(df, CHINESE)
+    monkeypatch.setattr(pipeline, "FEW_TEXTS", 0)
+    assert not pipeline.distinct_texts(df).few
+    compare(df, CHINESE)
+
+
+def test_near_misses_are_not_broadcast(spark):
+    """Clauses and the numbers of their words both grow with the texts: whatever their sizes are taken for, they meet in a shuffle."""
+    clauses = table(spark, texts(20, 5)).select(F.col("comment_id"), F.lit(1).alias("clause"), F.coalesce("content", F.lit("")).alias("compact")).withColumn("skeleton", F.col("compact"))
+    found = clauses.select("comment_id", "clause", F.lit(0).alias("word_no"))
+    plan = lexicon.fuzzy_signals(clauses, [("abuse", "滚出去吧")], found=found)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
