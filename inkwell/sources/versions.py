@@ -1,6 +1,6 @@
 """Versioned tables with merge on read: a bucketed base, small deltas beside it, and a manifest that names both.
 
-    <path>/base/<id>/bucket=<b>/    rows by bucket of the key, sorted by key
+    <path>/base/<id>/bucket=<b>/    rows by bucket of the key, in one or more files, each sorted by key
     <path>/delta/<id>/              put (whole rows), patch (key and a few columns) or drop (keys: tombstones)
     <path>/manifests/v-<n>.json     the state of version n
 
@@ -131,7 +131,8 @@ class VersionedTable:
         """The table's rows whose key is in ``rows``; reads the buckets of those keys only."""
         m = self.manifest(version)
         wanted = rows.select(*m["keys"]).distinct()
-        return self._merged(m, self._buckets_of(m, wanted)).join(wanted, m["keys"], "left_semi").select(*self._names(m))
+        buckets, few = self._buckets_of(m, wanted)
+        return self._merged(m, buckets).join(F.broadcast(wanted) if few else wanted, m["keys"], "left_semi").select(*self._names(m))
 
     @staticmethod
     def _names(m: dict) -> list[str]:
@@ -142,9 +143,11 @@ class VersionedTable:
         """By the key's text, so that an int and a long of one value share a bucket."""
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in m["keys"]]), F.lit(m["buckets"]).cast("long")).cast("int")
 
-    def _buckets_of(self, m: dict, wanted: DataFrame) -> set[int]:
-        """At most as many numbers as there are buckets."""
-        return {r[0] for r in wanted.select(self._bucket(m)).distinct().collect()}
+    def _buckets_of(self, m: dict, wanted: DataFrame) -> tuple[set[int], bool]:
+        """At most as many numbers as there are buckets, and whether the keys are few enough to be broadcast."""
+        size = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in m["keys"]), F.lit(0))
+        found = wanted.groupBy(self._bucket(m).alias("b")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+        return {r["b"] for r in found}, sum(r["n"] for r in found) <= self.BROADCAST[0] and sum(r["bytes"] for r in found) <= self.BROADCAST[1]
 
     def _base(self, m: dict, buckets: set[int] | None) -> DataFrame:
         schema = T.StructType(T.StructType.fromJson(m["schema"]).fields + [BUCKET])
@@ -210,7 +213,8 @@ class VersionedTable:
         root = uuid.uuid4().hex
         at = f"{self.path}/base/{root}"
         typed = rows.select(*[F.col(c) for c in self._names(m)]).withColumn(BUCKET.name, self._bucket(m))
-        typed.repartition(m["buckets"], BUCKET.name).sortWithinPartitions(BUCKET.name, *m["keys"]).write.partitionBy(BUCKET.name).parquet(at)
+        # tasks of about the advisory partition size, however large buckets are; several of them may write files of one bucket
+        typed.hint("rebalance", 4 * m["buckets"], BUCKET.name).sortWithinPartitions(BUCKET.name, *m["keys"]).write.partitionBy(BUCKET.name).parquet(at)
         there = self.spark.read.schema(T.StructType(T.StructType.fromJson(m["schema"]).fields + [BUCKET])).parquet(at)
         return {str(r[0]): [root, r[1]] for r in there.groupBy(BUCKET.name).count().collect()}  # a row a bucket
 

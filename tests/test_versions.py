@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 
+from inkwell.functions.checkpoint import settings
 from inkwell.operators import maintenance as M, versioned as V
 from inkwell.sources.versions import Conflict, VersionedTable
 
@@ -170,6 +171,45 @@ def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
     assert table.manifest()["buckets"] > 16 and table.read().count() == 2000
 
 
+def test_what_a_task_writes_stays_bounded(spark, base, tmp_path):
+    """Of large buckets, too, and of several that meet in one partition."""
+
+    def largest(table):
+        tasks: dict[str, int] = {}
+        for f in (tmp_path / table).glob("base/*/*/part-*.parquet"):
+            at = f"{f.parts[-3]} {f.name.split('-')[1]}"  # a task's files of all buckets have its number
+            tasks[at] = tasks.get(at, 0) + f.stat().st_size
+        return max(tasks.values())
+
+    small = {"spark__sql__adaptive__advisoryPartitionSizeInBytes": "256k", "spark__sql__adaptive__coalescePartitions__minPartitionSize": "64k", "spark__sql__files__maxPartitionBytes": "256k"}
+    with settings(spark, **small):
+        for name, buckets in (("many", 16), ("few", 2), ("one", 1)):
+            table = VersionedTable.create(base.repartition(16), str(tmp_path / name), ["id"], buckets)
+            assert len(table.manifest()["base"]) == buckets
+            assert largest(name) < 400_000
+            assert rows(table.read()) == rows(base)
+        V.write_back_views(table, spark.range(0, 2000).selectExpr("id as article_id", "id as views"))
+        want = rows(table.read())
+        table.compact(0.0)
+        assert largest("one") < 400_000
+        assert rows(table.read()) == want
+
+
+def test_few_keys_move_no_rows_of_the_table(spark, base, tmp_path, monkeypatch):
+    table = make(base, tmp_path)
+    wanted = spark.createDataFrame([(5,), (6,), (6,), (None,), (9999,)], "id long")
+    want = rows(base.where("id in (5, 6)"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = table.lookup(wanted)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found) == want
+        for most in ((2, 8 << 20), (200_000, 5)):  # keys that are too many, or too long
+            monkeypatch.setattr(VersionedTable, "BROADCAST", most)
+            found = table.lookup(wanted)
+            assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+            assert rows(found) == want
+
+
 def test_keys_are_checked(spark, tmp_path):
     for bad in ([(1, "a"), (1, "b")], [(None, "a")]):
         with pytest.raises(ValueError, match="unique"):
